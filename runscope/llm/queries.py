@@ -33,8 +33,15 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_documents(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id"]))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runscope.llm import simhash
+
+    found = simhash.groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_files, op6_sentencepiece)}
+    return {f.__name__: f for f in (op4_token_files, op6_sentencepiece, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
