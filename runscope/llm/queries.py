@@ -40,8 +40,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runscope.llm import langid
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.trained_on(docs), keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(langid.remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runscope.llm import quality
+    from runscope.llm.langid import remainder
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.trained_on(docs, read_table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_files, op6_sentencepiece, op9_simhash)}
+    return {f.__name__: f for f in (op2_quality, op4_token_files, op6_sentencepiece, op8_language, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
