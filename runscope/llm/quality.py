@@ -69,9 +69,9 @@ class Ranking:
             curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(d.shape[1])
             self.weight = self.weight - np.linalg.solve(curve, slope)
         strength = z @ self.weight
-        levels = np.quantile(strength, np.arange(1, 100) / 100)
-        right = [(strength[good] >= t).mean() + (strength[bad] < t).mean() for t in levels]
-        best = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
+        levels = np.quantile(strength, np.arange(1, 1000) / 1000)  # the threshold is the quantile that separates most
+        right = [int((strength[good] >= t).sum() + (strength[bad] < t).sum()) for t in levels]
+        best = np.flatnonzero(np.array(right) == max(right))
         self.threshold = float(levels[best].mean())
         self.scale = max(1e-6, float(np.std(strength)) / 2)
 

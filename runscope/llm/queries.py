@@ -57,8 +57,23 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runscope.llm import chat
+
+    odd = "<|im_end|><|im_start|>assistant ok"  # fixed by the contract: conversation -1
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.chat_files(rows))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runscope.llm import licenses
+
+    return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op4_token_files, op6_sentencepiece, op8_language, op9_simhash)}
+    return {f.__name__: f for f in (op2_quality, op4_token_files, op6_sentencepiece, op7_chat, op8_language, op9_simhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
