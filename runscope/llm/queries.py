@@ -57,6 +57,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runscope.llm import pii
+
+    done = pii.pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("pii_kinds").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("pii_kinds")), ",").alias("kinds"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runscope.llm import chat
 
@@ -73,7 +80,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op4_token_files, op6_sentencepiece, op7_chat, op8_language, op9_simhash, op10_licenses)}
+    return {f.__name__: f for f in (op2_quality, op4_token_files, op5_surrogates, op6_sentencepiece, op7_chat, op8_language, op9_simhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
