@@ -48,6 +48,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(langid.remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op1_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runscope.llm import decontaminate
+
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runscope.llm import quality
     from runscope.llm.langid import remainder
@@ -80,7 +86,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op4_token_files, op5_surrogates, op6_sentencepiece, op7_chat, op8_language, op9_simhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_leaks, op2_quality, op4_token_files, op5_surrogates, op6_sentencepiece, op7_chat, op8_language, op9_simhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
