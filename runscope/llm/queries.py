@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runscope.llm import vamana
+
+    return vamana.nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runscope.llm import rans
     from runscope.llm.wordtokens import tokenizer
@@ -86,7 +92,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_leaks, op2_quality, op4_token_files, op5_surrogates, op6_sentencepiece, op7_chat, op8_language, op9_simhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_leaks, op2_quality, op3_neighbours, op4_token_files, op5_surrogates, op6_sentencepiece, op7_chat, op8_language, op9_simhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
