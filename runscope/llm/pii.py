@@ -163,8 +163,11 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
         if int(value[-1]) == _luhn(value[:-1]):
             body = value[0] + _shuffle(value[1:-1], [_DIGITS] * (len(value) - 2), tweak + value[0].encode() + b"v")
             return body + str(_luhn(body))
-        body = value[0] + _shuffle(value[1:], [_DIGITS] * (len(value) - 1), tweak + value[0].encode())
-        return body if int(body[-1]) != _luhn(body[:-1]) else surrogate("card", body, attempt, key)  # walks on to the next without a valid digit
+        body = value
+        while True:  # values with a valid check digit walk on
+            body = value[0] + _shuffle(body[1:], [_DIGITS] * (len(value) - 1), tweak + value[0].encode())
+            if int(body[-1]) != _luhn(body[:-1]):
+                return body
     if kind == "phone":
         keep = max(0, len(value) - 10)
         return value[:keep] + _shuffle(value[keep:], [_DIGITS] * (len(value) - keep), tweak + value[:keep].encode())

@@ -34,10 +34,10 @@ class WordTokenizer:
         known = self.cache.get(word)
         if known is None:
             text = word
-            if not word.isascii():
+            if not (word.isascii() and word.isprintable()):
                 for c in set(word):
                     if ord(c) not in self.shown:
-                        self.shown[ord(c)] = c if c.isascii() else self.bytes_of.pre_tokenize_str(c)[0][0]
+                        self.shown[ord(c)] = c if c.isascii() and c.isprintable() else self.bytes_of.pre_tokenize_str(c)[0][0]
                 text = word.translate(self.shown)
             known = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
             self._remember(word, known)
