@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from runscope.functions import redaction as R
 from runscope.functions import text as X
@@ -104,22 +107,24 @@ def assess(packets: DataFrame, assessor: Assessor, partitions: int | None = None
     never an instruction; it gets no tools) and returns the columns of ASSESSMENT
     that it knows.  Select the packets that are due before this step.
     """
-    names = [f.split(" ")[0] for f in ASSESSMENT.replace("array<struct<", "").split(", ")]
-    names = [n for n in names if n.isidentifier()]
+    arrow = to_arrow_schema(T.StructType.fromDDL(ASSESSMENT))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
         for b in batches:
             made = []
-            for packet_id, session_id, text in zip(b["packet_id"], b["session_id"], b["json"], strict=True):
-                made.append({"packet_id": packet_id, "session_id": session_id, "schema_version": SCHEMA_VERSION} | assessor(json.loads(text)))
-            out = pd.DataFrame(made, columns=names)
-            out["assessed_at"] = pd.to_datetime(out["assessed_at"])
-            yield out
+            for row in b.to_pylist():
+                a = {"packet_id": row["packet_id"], "session_id": row["session_id"], "schema_version": SCHEMA_VERSION} | assessor(json.loads(row["json"]))
+                at = a.get("assessed_at")
+                if isinstance(at, str):
+                    at = datetime.fromisoformat(at)
+                a["assessed_at"] = at.replace(tzinfo=timezone.utc) if at is not None and at.tzinfo is None else at
+                made.append({n: a.get(n) for n in arrow.names})
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     rows = packet_json(packets).join(packets.select("packet_id", "session_id"), "packet_id")
-    return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, ASSESSMENT)
+    return (rows.repartition(partitions) if partitions else rows).mapInArrow(run, ASSESSMENT)
 
 
 def rule_assessment(sessions: DataFrame, signals: DataFrame, markers: DataFrame, ev: DataFrame) -> DataFrame:

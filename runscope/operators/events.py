@@ -54,7 +54,7 @@ def normalize(raw: DataFrame, mapping: dict[str, str] | None = None, prefixes: t
     v = good.withColumn("__v", F.try_parse_json("line"))
     kinds = F.create_map(*[F.lit(x) for kv in (mapping or MAPPING).items() for x in kv])
     table = R.patterns(prefixes, usernames)
-    body = F.coalesce(_field("payload.text"), _field("payload.command"), _field("payload.output"), _field("payload.message"), F.lit(""))
+    body = F.coalesce(_field("payload.text"), _field("payload.output"), _field("payload.message"), _field("payload.command"), F.lit(""))
     source_type = F.coalesce(_field("type"), F.lit("missing"))
     workspace = F.coalesce(_field("payload.workspace"), F.lit(""))
     code = _field("payload.exit_code", "int")
