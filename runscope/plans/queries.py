@@ -6,6 +6,7 @@ since the epoch.  Thresholds are in hours here, as the table's gaps are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ from runscope.operators import notify as N
 from runscope.operators import rules as G
 from runscope.operators import status as S
 from runscope.operators import validate as D
-from runscope.session import read_table
+from runscope.session import read_table, work_dir
 from runscope.sources.projection import EXPECTED, FORBIDDEN, project_events
+from runscope.streaming import processors as P
 
 DAY = 86_400
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,6 +663,48 @@ def us_max(c: str):
     return F.unix_micros(F.max(c))
 
 
+def replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The event table as a stream of files."""
+    schema = read_table(spark, d, "events").schema
+    return project_events(spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]"))  # a pattern may name a file as well as a folder
+
+
+def run_stream(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFrame:
+    """Drives a stream to the end of its input and gives what it wrote to the shared folder."""
+    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    if mode == "complete":
+        started = out.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out"))
+    else:
+        started = out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out")
+    started.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query(f"WITH {EV} SELECT session_id, epoch_us(time_bucket(INTERVAL 1 DAY, event_ts)) AS start_us, count(*) AS n_events, count(*) FILTER (kind = 'error') AS n_errors FROM ev GROUP BY ALL")
+def stream_activity(spark, d):
+    return run_stream(spark, E.activity(replayed(spark, d), "1 day"), "complete").select("session_id", us("window_start").alias("start_us"), "n_events", "n_errors")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id FROM events")
+def stream_dedupe(spark, d):
+    """Every event comes twice and leaves once."""
+    ev = replayed(spark, d)
+    return run_stream(spark, P.dedupe_stream(ev.unionByName(replayed(spark, d))).select("event_id"))
+
+
+@query(f"WITH {EV},{REPEATED},{RECURRING} SELECT session_id, 'repeated_command' AS kind, command_norm AS subject, CAST(3 AS BIGINT) AS n FROM repeated UNION ALL SELECT session_id, 'recurring_error', error_fp, 3 FROM recurring")
+def stream_repetition(spark, d):
+    """A row whenever a run reaches three: as many as the batch rules find."""
+    return run_stream(spark, P.apply(replayed(spark, d), P.Repetition(3))).select("session_id", "kind", "subject", "n")
+
+
+@query(f"WITH {EV},{STATES} SELECT session_id, state FROM states WHERE state <> 'unknown'")
+def stream_lifecycle(spark, d):
+    """The last state that the stream gave each session."""
+    out = run_stream(spark, P.apply(replayed(spark, d), P.Lifecycle()))
+    return out.groupBy("session_id").agg(F.max_by("state", "at").alias("state"))
+
+
 @query()
 def packets(spark, d):
     """Whole observation packets as JSON; lists of structs are checked by tests."""

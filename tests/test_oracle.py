@@ -33,6 +33,9 @@ def test_query_equals_its_sql(spark, duck, name):
     got = Q.QUERIES[name](spark, SF)
     want = duck.execute(Q.SQL[name])
     names = [c[0] for c in want.description]
+    kinds = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+    types = {c[0]: kinds.get(str(c[1]), str(c[1])) for c in want.description}
+    assert types == dict(got.dtypes)
     assert sorted(got.columns) == sorted(names)
     key = lambda r: tuple((v is not None, str(v)) for v in r)
     rows = sorted((tuple(flat(r[n]) for n in sorted(names)) for r in got.collect()), key=key)
