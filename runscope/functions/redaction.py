@@ -26,16 +26,36 @@ def patterns(prefixes: tuple[str, ...] = (), usernames: tuple[str, ...] = ()) ->
     return PATTERNS + own
 
 
+#: What a text must hold, in lower case, before a class's pattern is tried: plain searches are far cheaper than patterns.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "private_key": ("-----begin",),
+    "bearer": ("bearer ", "basic "),
+    "cookie": ("cookie:",),
+    "oauth": ("access_token", "refresh_token", "id_token"),
+    "env_secret": ("secret", "token", "password", "passwd", "api_key", "apikey", "private_key"),
+    "api_key": ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "eyj"),
+}
+
+
+def _worth(text: Column, name: str) -> Column:
+    low = F.lower(text)
+    out = F.lit(name not in NEEDS)
+    for literal in NEEDS.get(name, ()):
+        out = out | F.contains(low, F.lit(literal))
+    return out & F.contains(text, F.lit("=")) if name == "env_secret" else out
+
+
 def redact(text: Column, table: tuple = PATTERNS) -> Column:
-    for _, pattern, replacement in table:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    out = text
+    for name, pattern, replacement in table:
+        out = F.when(_worth(text, name), F.regexp_replace(out, pattern, replacement)).otherwise(out)
+    return out
 
 
 def classes(text: Column, table: tuple = PATTERNS, limit: int | None = None) -> Column:
     """Sorted classes that a redaction of the text applies, never the values."""
     names = sorted({c for c, _, _ in table})
-    found = {n: F.rlike(text, F.lit("|".join(f"(?:{p})" for c, p, _ in table if c == n))) for n in names}
+    found = {n: _worth(text, n) & F.rlike(text, F.lit("|".join(f"(?:{p})" for c, p, _ in table if c == n))) for n in names}
     if limit is not None:
         found["oversized_output"] = F.length(text) > limit
     return F.array_compact(F.array(*[F.when(found[n], F.lit(n)) for n in sorted(found)]))

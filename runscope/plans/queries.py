@@ -22,7 +22,8 @@ from runscope.operators import notify as N
 from runscope.operators import rules as G
 from runscope.operators import status as S
 from runscope.operators import validate as D
-from runscope.session import read_table, work_dir
+from runscope.plans.layout import by_session
+from runscope.session import materialize, read_table, work_dir
 from runscope.sources.projection import EXPECTED, FORBIDDEN, project_events
 from runscope.streaming import processors as P
 
@@ -93,14 +94,25 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_events(read_table(spark, sf_dir, "events"))
 
 
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries of many rules: one scan and one shuffle serve all of them."""
+    return by_session(events(spark, sf_dir))
+
+
 def bounds(ev: DataFrame) -> DataFrame:
     """The same path bounds for every session."""
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
     return ev.select("session_id").distinct().withColumns({"goal_text": F.lit("demo"), "expected_paths": lit(EXPECTED), "forbidden_paths": lit(FORBIDDEN), "acceptance_criteria": F.array().cast("array<string>")})
 
 
-def signals(ev: DataFrame) -> DataFrame:
-    return G.all_signals(ev, bounds(ev), DAY)
+def signals(ev: DataFrame, markers: DataFrame | None = None) -> DataFrame:
+    return G.all_signals(ev, bounds(ev), DAY, markers=markers)
+
+
+def found(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signals, progress markers), each written once for a query that uses them more than once."""
+    markers = materialize(E.progress_markers(ev), "markers")
+    return materialize(signals(ev, markers), "signals"), markers
 
 
 @query(f"WITH {EV} SELECT event_id, session_id, kind, source_type, path, CAST(exit_code AS BIGINT) AS exit_code, phase, command_norm, error_fp, test_target, CAST(tests_failed AS BIGINT) AS tests_failed, epoch_us(event_ts) AS at_us, strftime(event_ts, '%Y-%m-%d') AS day FROM ev")
@@ -160,18 +172,18 @@ def test_trend(spark, d):
 
 @query(f"WITH {EV},{MARKERS} SELECT session_id, event_id, marker FROM markers")
 def progress_markers(spark, d):
-    return E.progress_markers(events(spark, d)).select("session_id", "event_id", "marker")
+    return E.progress_markers(stored_events(spark, d)).select("session_id", "event_id", "marker")
 
 
 @query(f"WITH {EV},{MARKERS}, m AS (SELECT DISTINCT event_id, true AS m FROM markers), l AS (SELECT ev.*, last_value(CASE WHEN m THEN event_ts END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY event_ts, source_offset ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_progress FROM ev LEFT JOIN m USING (event_id)) SELECT event_id, session_id, epoch_us(last_progress) AS last_us, (epoch_us(event_ts) - epoch_us(last_progress)) // 1000000 AS seconds FROM l")
 def since_progress(spark, d):
-    ev = events(spark, d)
+    ev = stored_events(spark, d)
     return E.since_progress(ev, E.progress_markers(ev)).select("event_id", "session_id", us("last_progress").alias("last_us"), "seconds")
 
 
 @query(f"WITH {EV},{MARKERS},{GAPS} SELECT session_id, epoch_us(gap_start) AS start_us, epoch_us(gap_end) AS end_us FROM gaps")
 def stagnation(spark, d):
-    ev = events(spark, d)
+    ev = stored_events(spark, d)
     gaps = E.suppress_active(E.stagnation_gaps(ev, E.progress_markers(ev), DAY), E.pair_commands(ev))
     return gaps.select("session_id", us("gap_start").alias("start_us"), us("gap_end").alias("end_us"))
 
@@ -179,7 +191,7 @@ def stagnation(spark, d):
 @query(f"WITH {EV},{MARKERS},{GAPS}, busy AS (SELECT session_id, event_ts AS started, event_ts + INTERVAL 12 HOUR AS until FROM ev WHERE kind = 'error' AND k >= 50) SELECT session_id, epoch_us(gap_start) AS start_us, epoch_us(gap_end) AS end_us FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM busy b WHERE b.session_id = g.session_id AND b.started < g.gap_end AND b.until > g.gap_start)")
 def suppressed_stagnation(spark, d):
     """Errors of the upper half stand for commands without a result, which count for twelve hours."""
-    ev = events(spark, d)
+    ev = stored_events(spark, d)
     k = F.regexp_extract("summary", "([0-9]+)", 1).cast("int")
     commands = ev.where("kind = 'error'").where(k >= 50).select("session_id", F.col("event_ts").alias("started"), F.lit(None).cast("timestamp").alias("ended"))
     gaps = E.suppress_active(E.stagnation_gaps(ev, E.progress_markers(ev), DAY), commands, DAY // 2)
@@ -211,12 +223,12 @@ def paired_commands(spark, d):
 
 @query(f"WITH {ALL} SELECT session_id, kind, subject, severity, epoch_us(observed_at) AS at_us FROM signals")
 def all_signals(spark, d):
-    return signals(events(spark, d)).select("session_id", "kind", "subject", "severity", us("observed_at").alias("at_us"))
+    return signals(stored_events(spark, d)).select("session_id", "kind", "subject", "severity", us("observed_at").alias("at_us"))
 
 
 @query(f"WITH {ALL} SELECT session_id, CASE max(CASE severity WHEN 'critical' THEN 2 ELSE 1 END) WHEN 2 THEN 'critical' ELSE 'warning' END AS max_severity, count(*) AS n_signals, bool_or(severity = 'critical') AS needs_attention FROM signals GROUP BY ALL")
 def attention(spark, d):
-    return G.attention(signals(events(spark, d)))
+    return G.attention(signals(stored_events(spark, d)))
 
 
 @query(f"WITH {EV},{RECURRING}, s AS (SELECT session_id, error_fp, 'local_rule' AS source, 1 AS rank, last_ts, 'local' AS txt FROM recurring UNION ALL SELECT session_id, error_fp, 'supplemental', 2, last_ts + INTERVAL 1 HOUR, 'outside' FROM recurring WHERE error_fp IN ('err_0', 'err_1')) SELECT session_id, error_fp AS subject, CASE max(rank) WHEN 2 THEN 'critical' ELSE 'warning' END AS severity, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, 'local' AS summary, epoch_us(max(last_ts)) AS at_us FROM s GROUP BY ALL")
@@ -312,8 +324,9 @@ def due_retries(spark, d):
 
 @query(f"WITH {ALL},{RULED} SELECT session_id, status, goal_alignment, needs_attention, CAST(n_concerns AS BIGINT) AS n_concerns FROM ruled")
 def rule_assessment(spark, d):
-    ev = events(spark, d)
-    a = A.rule_assessment(G.lifecycle(ev), signals(ev), E.progress_markers(ev), ev)
+    ev = stored_events(spark, d)
+    sig, marks = found(ev)
+    a = A.rule_assessment(G.lifecycle(ev), sig, marks, ev)
     return a.select("session_id", "status", "goal_alignment", "needs_attention", F.size("concerns").cast("long").alias("n_concerns"))
 
 
@@ -328,16 +341,16 @@ ROUTINE = "routine AS (SELECT session_id, arg_max(status, event_cursor) AS statu
 
 @query(f"WITH {ALL},{DEMO},{ROUTINE}, s AS (SELECT session_id, bool_or(severity = 'critical') AS crit, bool_or(kind IN ('repeated_command', 'recurring_error', 'stagnation')) AS warn, bool_or(kind = 'stagnation') AS stag FROM signals GROUP BY ALL) SELECT session_id, concat_ws(',', CASE WHEN confidence < 0.72 THEN 'low_confidence' END, CASE WHEN goal_alignment = 'possibly_aligned' THEN 'alignment' END, CASE WHEN status IN ('stalled', 'looping') THEN 'status' END, CASE WHEN crit THEN 'critical_signal' END, CASE WHEN status = 'progressing' AND (crit OR warn) THEN 'conflict' END, CASE WHEN stag THEN 'stagnation' END) AS reasons FROM routine LEFT JOIN s USING (session_id)")
 def escalations(spark, d):
-    ev = events(spark, d)
+    ev = stored_events(spark, d)
     return A.needs_escalation(routine(ev), signals(ev)).select("session_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"WITH {ALL},{RULED},{DEMO},{ROUTINE}, strong AS (SELECT * FROM routine WHERE c % 5 = 0) SELECT r.session_id, coalesce(CASE WHEN s.session_id IS NOT NULL THEN 'investigating' END, a.status, r.status) AS status, CASE WHEN s.session_id IS NOT NULL THEN 'strong' WHEN a.session_id IS NOT NULL THEN 'routine' ELSE 'rules' END AS assessed_by, (r.needs_attention OR coalesce(CASE WHEN s.session_id IS NOT NULL THEN false END, a.needs_attention, r.needs_attention)) AS needs_attention FROM ruled r LEFT JOIN routine a USING (session_id) LEFT JOIN strong s USING (session_id)")
 def reconciled(spark, d):
-    ev = events(spark, d)
-    sig, states, first = signals(ev), G.lifecycle(ev), routine(ev)
+    ev = stored_events(spark, d)
+    (sig, marks), states, first = found(ev), G.lifecycle(ev), routine(ev)
     strong = first.where("event_cursor % 5 = 0").withColumns({"status": F.lit("investigating"), "needs_attention": F.lit(False), "assessed_by": F.lit("strong")})
-    out = A.reconcile(A.rule_assessment(states, sig, E.progress_markers(ev), ev), first, strong, sig, states)
+    out = A.reconcile(A.rule_assessment(states, sig, marks, ev), first, strong, sig, states)
     return out.select("session_id", "status", "assessed_by", "needs_attention")
 
 
@@ -416,7 +429,7 @@ def events_page(spark, d):
 
 @query(f"WITH {ALL} SELECT s.session_id, s.state, coalesce(bool_or(severity = 'critical'), false) AS needs_attention, epoch_us(s.last_ts) AS last_us FROM states s LEFT JOIN signals USING (session_id) GROUP BY s.session_id, s.state, s.last_ts")
 def list_sessions(spark, d):
-    ev = events(spark, d)
+    ev = stored_events(spark, d)
     return S.list_sessions(S.active_sessions(G.lifecycle(ev)).unionByName(G.lifecycle(ev).where("state = 'unknown'")), G.attention(signals(ev))).select("session_id", "state", "needs_attention", us("last_ts").alias("last_us"))
 
 
@@ -651,8 +664,8 @@ def retention(spark, d):
 @query(f"WITH {ALL},{RULED}, lm AS (SELECT session_id, max(event_ts) AS m FROM markers GROUP BY ALL) SELECT r.session_id, r.state, r.status, coalesce(n_signals, 0) AS n_signals, CASE WHEN critical THEN 'critical' WHEN n_signals > 0 THEN 'warning' END AS max_severity, r.needs_attention, epoch_us(m) AS last_progress_us FROM ruled r LEFT JOIN per USING (session_id) LEFT JOIN lm USING (session_id)")
 def session_health(spark, d):
     """The flagship: one row for each session."""
-    ev = events(spark, d)
-    sig, marks, states = signals(ev), E.progress_markers(ev), G.lifecycle(ev)
+    ev = stored_events(spark, d)
+    (sig, marks), states = found(ev), G.lifecycle(ev)
     status = A.rule_assessment(states, sig, marks, ev).select("session_id", "status", "needs_attention")
     last = marks.groupBy("session_id").agg(us_max("event_ts").alias("last_progress_us"))
     out = states.join(status, "session_id").join(G.attention(sig).select("session_id", "n_signals", "max_severity"), "session_id", "left").join(last, "session_id", "left")
@@ -708,7 +721,7 @@ def stream_lifecycle(spark, d):
 @query()
 def packets(spark, d):
     """Whole observation packets as JSON; lists of structs are checked by tests."""
-    ev = events(spark, d)
+    ev = stored_events(spark, d)
     first = ev.groupBy("session_id").agg(F.min("event_ts").alias("started_at")).withColumns({"workspace": F.lit("/w"), "model": F.lit(None).cast("string")})
     states = G.lifecycle(ev).select("session_id", "state").join(first, "session_id")
     a = demo_assessments(ev)
