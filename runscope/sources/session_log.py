@@ -86,7 +86,7 @@ class _Range(InputPartition):
 class SessionLogReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root = Path(options["path"].removeprefix("file://"))
-        self.known: dict[str, tuple[int, int, float]] = {}  # path: size, end of the last line, mtime
+        self.known: dict[str, tuple[int, int, list | None]] = {}  # path: size, time of change, offset; unchanged files are not opened again
 
     def initialOffset(self) -> dict:
         return {}
@@ -116,9 +116,13 @@ class SessionLogReader(DataSourceStreamReader):
             for n in names:
                 path = os.path.join(folder, n)
                 if NAME.search(n) and os.path.isfile(path) and not os.path.islink(path):
-                    end = self._end(path)
-                    if end:
-                        out[path] = [end, self._mark(path, end)]
+                    stat = os.stat(path)
+                    known = self.known.get(path)
+                    if known is None or known[:2] != (stat.st_size, stat.st_mtime_ns):
+                        end = self._end(path)
+                        known = self.known[path] = (stat.st_size, stat.st_mtime_ns, [end, self._mark(path, end)] if end else None)
+                    if known[2]:
+                        out[path] = known[2]
         return dict(sorted(out.items()))
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
