@@ -32,20 +32,26 @@ SHARD_ROWS, FANOUT, PAIRS = 8192, 8, 1 << 20
 WIDTHS = (16, 12, 9)
 
 
-def fingerprint(text: str | None) -> int:
-    """Of a whole text, unsigned; zero for a text without words."""
+def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> list[int]:
+    """Hashes of a whole text's word shingles; of all words together where they are fewer than ``width``."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
-    if len(words) < SHINGLE_WORDS:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends]
-        hashes = [xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE_WORDS - 1 :], strict=False)]
+    if len(words) < width:
+        return [xxh64_intdigest(joined, SEED)]
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends]
+    return [xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)]
+
+
+def fingerprint(text: str | None) -> int:
+    """Of a whole text, unsigned; zero for a text without words."""
+    hashes = shingle_hashes(text)
+    if not hashes:
+        return 0
     bits = np.zeros(64, np.int64)
     raw = np.array(hashes, "<u8")
     for k in range(0, len(raw), 1 << 14):
