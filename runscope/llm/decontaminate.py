@@ -1,6 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into passages.  If a passage of m characters stands in a
+Benchmark items are cut into passages: of 100 characters, a new one every 50, for
+runs with edits, and of 50 characters, a new one every 10, for fragments.  Any
+unedited fragment of SURE compared characters holds a whole short passage.  If a passage of m characters stands in a
 document with at most k edits, at least m + 1 - q * (k + 1) of its q-grams are
 found there, all on diagonals that differ by at most k.  Shared q-grams are
 counted in diagonal bands that overlap by half; bands that reach the bound are
@@ -23,6 +25,10 @@ from runscope.llm.batches import map_batches, struct
 
 #: Characters of a q-gram, of a passage, from a passage to the next; edits for each character; diagonals that bands are apart.
 Q, PASSAGE, STEP, EDIT_RATE, BAND = 12, 100, 50, 0.05, 16
+#: Characters of a short passage, and from one to the next.
+SHORT, SHORT_STEP = 50, 10
+#: Compared characters from which an unedited fragment of an item is found wherever it begins.
+SURE = SHORT + SHORT_STEP - 1
 #: Characters of benchmark items that tasks hold at once; a larger benchmark is searched in blocks.
 BLOCK_CHARS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,9 +74,10 @@ class Passages:
                 c = c[:-1]
             if len(c) < Q:
                 continue
-            for k in sorted({*range(0, max(1, len(c) - PASSAGE + 1), STEP), max(0, len(c) - PASSAGE)}):
+            cuts = {(k, min(k + size, len(c))) for size, step in ((PASSAGE, STEP), (SHORT, SHORT_STEP)) for k in (*range(0, len(c) - size + 1, step), max(0, len(c) - size))}
+            for a, b in sorted(cuts):
                 self.items.append(item)
-                self.codes.append(c[k : k + PASSAGE])
+                self.codes.append(c[a:b])
         sizes = np.array([len(c) for c in self.codes], np.int64)
         self.sizes = sizes
         self.edits = np.minimum((sizes * EDIT_RATE).astype(np.int64), np.minimum(sizes // Q - 1, BAND))
@@ -167,13 +174,13 @@ def search(passages: Passages, texts: list[str | None]) -> list[tuple[int, int,
             windows = padded[margin + begin[:, None] + np.arange(m + width)]
             wanted = np.stack([passages.codes[w] for w in which[rows]])
             least, end = align(wanted, windows)
-            for r in np.flatnonzero(least <= edits):
+            good = np.flatnonzero(least <= edits)
+            source = end[good, None] + m - 1 + slack - np.arange(m + width)
+            tails = np.where((source >= 0) & (source < end[good, None] + m), np.take_along_axis(windows[good], np.clip(source, 0, m + width - 1), axis=1), np.uint64(0))
+            _, diagonals = align(wanted[good][:, ::-1], tails, slack)
+            for r, diagonal in zip(good.tolist(), diagonals.tolist(), strict=True):
                 stop = int(begin[r] + end[r] + m)
-                back = windows[r, : end[r] + m][::-1]
-                tail = np.zeros(m + width, np.uint64)
-                tail[slack : slack + len(back)] = back[: m + width - slack]
-                _, diagonal = align(wanted[r : r + 1, ::-1], tail[None], slack)
-                head = stop - m - (int(diagonal[0]) - slack)
+                head = stop - m - (diagonal - slack)
                 text = int(np.searchsorted(starts, head, "right")) - 1
                 where = places[text]
                 a, b = where[max(0, head - starts[text])], where[min(len(where), stop - starts[text]) - 1] + 1
@@ -201,8 +208,9 @@ MATCHES = (("item_id", T.LongType()), ("begin", T.IntegerType()), ("end", T.Inte
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, item_id, begin, end, edits): every row of ``docs`` that holds a passage of an item.
 
-    A passage is a whole item of up to PASSAGE compared characters, else PASSAGE of
-    them.  Items of fewer than Q compared characters cannot be told from chance and
+    A passage is a whole item of up to PASSAGE compared characters, PASSAGE of a
+    longer one, or SHORT of one: a fragment of SURE or more unedited characters (59, some
+    ten words) is always found, a shorter one if it holds a passage.  Items of fewer than Q compared characters cannot be told from chance and
     are left out.  Null and empty texts hold nothing; repeated rows repeat their
     matches; an empty table of either kind gives no row; other columns are ignored.
     """

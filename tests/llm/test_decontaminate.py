@@ -77,3 +77,13 @@ def test_benchmark_in_blocks(spark):
     parts = list(d.blocks(spark.createDataFrame(items, "item_id long, text string"), 200))
     assert sum(map(len, parts)) == sum(t is not None for _, t in items) and len(parts) > 2
     assert np.array_equal(d.gram_codes(d.normalized("Ab, c" * 20)[0]), d.gram_codes(d.normalized("aB  c" * 20)[0]))
+
+
+def test_unedited_fragments_of_the_stated_length_are_found_wherever_they_begin():
+    r = random.Random(11)
+    item = invented(r, 60)[:300]
+    c = "".join(map(chr, d.normalized(item)[0]))
+    fragments = [c[a : a + d.SURE] for a in range(len(c) - d.SURE + 1)] + [c[15:135]]
+    hits = d.search(d.Passages([(1, item)]), [f"{invented(r, 5)}zz{f}zz{invented(r, 5)}" for f in fragments])
+    assert d.SURE < 95 and [(h[0], h[1]) for h in hits] == [(k, 1) for k in range(len(fragments))]
+    assert len(d.Passages([(1, "short item here"), (2, c[:70])]).codes) == 1 + 4  # the whole item, and 50 characters at 0, 10 and 20
