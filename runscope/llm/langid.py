@@ -62,17 +62,17 @@ class Profiles:
             self.ranks[at, k] = np.arange(len(at))
             self.missing[at, k] = False
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The nearest language (the first by name of equals) and 1 less its share of the largest distance."""
+    def predict(self, text: str | None) -> tuple[str, float, int]:
+        """The nearest language (the first by name of equals), 1 less its share of the largest distance, and the n-grams ranked."""
         codes, counts = grams(text or "")
         if not len(codes) or not self.names:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0
         top = ranked(codes, counts, self.size)
         at = np.minimum(np.searchsorted(self.codes, top), len(self.codes) - 1)
         at = np.where(self.codes[at] == top, at, len(self.codes))
         apart = np.where(self.missing[at], self.size, np.abs(self.ranks[at] - np.arange(len(top))[:, None])).sum(axis=0)
         best = int(apart.argmin())
-        return self.names[best], float(1 - apart[best] / (self.size * len(top)))
+        return self.names[best], float(1 - apart[best] / (self.size * len(top))), len(top)
 
 
 def remainder(key: Column, n: int) -> Column:
@@ -80,6 +80,16 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
+def _sample(labelled: DataFrame, per_lang: int) -> DataFrame | None:
+    """(lang, text) of about ``per_lang`` rows of each language, by hashed doc_id; None without a language."""
+    known = labelled.where("lang is not null and text is not null")
+    shares = {r["lang"]: min(1.0, per_lang / r["count"]) for r in known.groupBy("lang").count().collect()}  # a row for each language
+    if not shares:
+        return None
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang"))
+    return known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("profile")), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+
+
 def learn(labelled: DataFrame, size: int = PROFILE, per_lang: int = LEARN_PER_LANG) -> dict[str, list[int]]:
     """Profiles of the languages in ``labelled`` (doc_id, text, lang); rows without text or lang teach nothing.
 
@@ -88,12 +98,9 @@ def learn(labelled: DataFrame, size: int = PROFILE, per_lang: int = LEARN_PER_LA
     the tasks and again after a shuffle by n-gram; ``size`` rows a language reach
     the driver.
     """
-    known = labelled.where("lang is not null and text is not null")
-    shares = {r["lang"]: min(1.0, per_lang / r["count"]) for r in known.groupBy("lang").count().collect()}  # a row for each language
-    if not shares:
+    sample = _sample(labelled, per_lang)
+    if sample is None:
         return {}
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("profile")), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def make():
         def run(batch: pa.RecordBatch):
@@ -119,22 +126,22 @@ def learn(labelled: DataFrame, size: int = PROFILE, per_lang: int = LEARN_PER_LA
     return profiles
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) to the columns ``keep`` (all by default).
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", keep: list[str] | None = None, ranked_as: str | None = None) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (0 to 1) to the columns ``keep`` (all by default), and the number of n-grams ranked as ``ranked_as``.
 
     A null text, a text without a letter, and any text where no profile was
     learned are ``und`` with score 0.  Every row is judged by its whole text
     alone, so repeated rows agree; columns named like the new ones are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([T.StructField(ranked_as, T.LongType())] if ranked_as else []))
 
     def make():
         judge = Profiles(profiles)
 
         def run(batch: pa.RecordBatch):
             found = [judge.predict(t) for t in batch.column(len(keep)).to_pylist()]
-            return [*[batch.column(k) for k in range(len(keep))], [f[0] for f in found], [f[1] for f in found]]
+            return [*[batch.column(k) for k in range(len(keep))], *[[f[k] for f in found] for k in range(3 if ranked_as else 2)]]
 
         return run
 
@@ -144,3 +151,22 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
 def trained_on(docs: DataFrame) -> dict[str, list[int]]:
     """Profiles from the rows of documents that are not held out."""
     return learn(docs.where(remainder(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
+
+
+#: Labelled texts of a length from which a bound is taken, and the part of their lowest score that it is.
+BOUND_ROWS, BOUND_SHARE = 30, 0.95
+
+
+def length_class(n: Column) -> Column:
+    """Texts of about as many ranked n-grams."""
+    return F.floor(F.log2(n.cast("double"))).cast("int")
+
+
+def least_scores(docs: DataFrame, profiles: dict[str, list[int]], per_lang: int = LEARN_PER_LANG) -> dict[int, float]:
+    """For each length class just under the lowest score of a learned text that gets its own language; none where few are of that length."""
+    sample = _sample(docs.where(remainder(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"), per_lang)
+    if sample is None:
+        return {}
+    right = identify(sample, profiles, ranked_as="n").where("lang = lang_pred")
+    found = right.groupBy(length_class(F.col("n")).alias("k")).agg(F.min("score").alias("least"), F.count("*").alias("rows")).collect()  # nine rows at most
+    return {r["k"]: r["least"] * BOUND_SHARE for r in found if r["rows"] >= BOUND_ROWS}
