@@ -118,6 +118,16 @@ def test_seeded_secrets_do_not_survive(spark):
     assert one(spark, F.array_join(R.classes(F.col("t"), limit=10), ","), t="x" * 11) == "oversized_output"
 
 
+def test_summaries_of_long_texts_without_spaces_are_full(spark):
+    blob = '{"k":[' + "1,2,3," * 5000
+    assert one(spark, R.safe_summary(F.col("t"), 4000), t=blob) == blob[:4000]
+    assert one(spark, R.safe_summary(F.col("t"), 4000), t="word " + blob) == ("word " + blob)[:4000]
+    text = "Cookie: " + "x" * 30_000 + "\n" + "y" * 9000
+    assert one(spark, R.safe_summary(F.col("t"), 1000), t=text) == ("[REDACTED:cookie]\n" + "y" * 9000)[:1000]
+    key = "-----BEGIN PRIVATE KEY-----\n" + "MIIE abc\n" * 3000 + "-----END PRIVATE KEY-----"
+    assert "MIIE" not in one(spark, R.safe_summary(F.col("t"), 1000), t=key + "z" * 2000)
+
+
 def test_normalize_keeps_unknown_and_drops_payloads(spark):
     lines = [json.dumps({"type": "exec_result", "timestamp": "2026-01-01T00:00:00Z", "payload": {"session_id": "s", "command": "ls  /tmp/x1", "output": "token DB_PASSWORD=hunter2 " + "y" * 9000, "exit_code": 2}}),
              json.dumps({"type": "future_thing", "timestamp": "not a time", "payload": {}}), "{broken", "[1]", json.dumps({"payload": {"exit_code": "x"}})]
