@@ -46,6 +46,8 @@ _SYLLABLES = {
 }
 _FORMS = [f for forms in _ADDRESS.values() for f in forms]
 _PERSON = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, _FORMS))})[  ]+([^\W\d_a-zа-яα-ω][\w'’-]+)(?:[  ]([^\W\d_a-zа-яα-ω][\w'’-]+))?")
+_OWNER = re.compile(r"['’]s$|['’-]+$")
+_WORD = re.compile(r"[^\W_]+")
 _GENDER = {f: g for g, forms in _ADDRESS.items() for f in forms}
 
 
@@ -54,11 +56,32 @@ def script_of(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000 else "latin"
 
 
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Mentions of the names that stand behind a form of address somewhere in the text."""
+    spans, first, forms = [], {}, set()
+    for m in _PERSON.finditer(text):
+        words = [k for k in (2, 3) if m[k]]
+        for k in words:
+            name = _OWNER.sub("", m[k])
+            spans.append((m.start(k), m.start(k) + len(name)))
+            forms |= {name, name.upper()}
+            if k != words[-1]:
+                first.setdefault(name.lower(), _GENDER[m[1]])
+    if not spans:
+        return []
+    given = set(spans)
+    words = _WORD if all(map(str.isalpha, forms)) else re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(forms, key=len, reverse=True)))})(?!\w)")
+    spans += [w.span() for w in words.finditer(text) if w[0] in forms and w.span() not in given]
+    return [(a, b, f"name-{first.get(text[a:b].lower(), 's')}-{script_of(text[a:b])}", text[a:b].lower()) for a, b in spans]
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of each entity, without overlaps, in order.
 
     ``value`` is canonical: lower case for mail, digits alone for numbers.  A name
-    after a form of address gives an entity for each of its words.
+    after a form of address gives an entity for each of its words, and so does every
+    other mention of such a word, before or after, as written there or in capitals.
+    A word that is once a first name in the text has that kind wherever it stands.
     """
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
@@ -74,11 +97,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if any(p in text for p in ("AKIA", "ASIA", "gh", "sk-", "xox")):
         found += [(*m.span(), "credential", m[0]) for m in _CREDENTIAL.finditer(text)]
     if any(f in text for f in _FORMS):
-        for m in _PERSON.finditer(text):
-            words = [k for k in (2, 3) if m[k]]
-            for k in words:
-                role = "s" if k == words[-1] else _GENDER[m[1]]
-                found.append((*m.span(k), f"name-{role}-{script_of(m[k])}", m[k].lower()))
+        found += _names(text)
     found.sort(key=lambda e: (e[0], -e[1]))
     out, last = [], -1
     for e in found:
@@ -134,12 +153,12 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
-def _name(kind: str, value: str, tweak: bytes) -> str:
+def _name(kind: str, value: str, tweak: bytes, attempt: int) -> str:
     _, role, script = kind.split("-")
     syllables, endings = _SYLLABLES[script]
     n = len(syllables)
-    x = int.from_bytes(hashlib.shake_256(tweak + kind.encode() + value.encode()).digest(16), "big")
-    count, end = 2 + x % 2, endings[role][x // 2 % 4]
+    x = int.from_bytes(hashlib.shake_256(tweak + kind.encode() + value.encode()).digest(16 + attempt), "big")
+    count, end = 2 + x % 2 + attempt, endings[role][x // 2 % 4]
     x //= 8
     out = []
     for _ in range(count):
@@ -152,7 +171,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
     """The replacement of a canonical value; another attempt gives another one."""
     tweak = hashlib.blake2b(f"{kind}/{attempt}".encode(), key=hashlib.sha256(key.encode()).digest(), digest_size=16).digest()
     if kind.startswith("name-"):
-        return _name(kind, value, tweak)
+        return _name(kind, value, tweak, attempt)
     if kind == "ipv4":
         first, *rest = map(int, value.split("."))
         low, high = (1, 224) if 1 <= first < 224 else (224, 256) if first else (0, 1)

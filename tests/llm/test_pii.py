@@ -70,3 +70,22 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len({(x["kind"], x["surrogate"]) for x in got}) == len(rows)
     assert not {(x["kind"], x["surrogate"]) for x in got} & set(rows)
     assert max(x["attempt"] for x in got) > 0  # so many names cannot all differ at once
+
+
+def test_more_names_than_short_surrogates(spark):
+    assert len({pii.surrogate("name-f-greek", f"n{k}", 4) for k in range(60_000)}) > 59_000  # 38,808 at most with two or three syllables
+    first, later = (pii.surrogate("name-m-latin", "john", a) for a in (0, 5))
+    assert len(later) > len(first)
+
+
+def test_later_mentions_of_names_are_replaced():
+    text = "Yesterday Smith came. Mr. John Smith spoke. Then Smith and JOHN left, Smithson and smith stayed; Mr. John nodded, so did O Smith's dog."
+    found = pii.detect(text)
+    assert [(text[a:b], kind) for a, b, kind, _ in found] == [
+        ("Smith", "name-s-latin"), ("John", "name-m-latin"), ("Smith", "name-s-latin"), ("Smith", "name-s-latin"), ("JOHN", "name-m-latin"), ("John", "name-m-latin"), ("Smith", "name-s-latin"),
+    ]
+    made, _ = pii.replace(text, {}, pii.KEY)
+    smith = pii.dressed("name-s-latin", "Smith", pii.surrogate("name-s-latin", "smith"))
+    assert made.count(smith) == 4 and "John" not in made and "JOHN" not in made and "Smith " not in made and "Smithson" in made
+    assert pii.detect("Smith and John met.") == []
+    assert [v for *_, v in pii.detect("Mrs. Anna-Maria Smith's hat; Anna-Maria saw Smith.")] == ["anna-maria", "smith", "anna-maria", "smith"]
