@@ -47,3 +47,14 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 
 def struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it differ from all columns (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

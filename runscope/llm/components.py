@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runscope.session import materialize
 
@@ -37,3 +38,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(_small_star(_large_star(now)), "edges")
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def one_row_each(rows: DataFrame, group: str, row: str, columns: list[str], text: str) -> DataFrame:
+    """The columns ``columns`` of one row of each ``group`` of a written table with a number ``row`` for each row.
+
+    It is the row with the smallest doc_id, a null id coming last; of equals the one
+    with the smaller hash of its text, then of all its columns.  The order of the
+    rows plays no part: what ties beyond that is alike in every column.
+    """
+    nested = (T.MapType, T.StructType, T.ArrayType)
+    all_of = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if isinstance(rows.schema[c].dataType, nested) else F.col(f"`{c}`") for c in columns])
+    place = F.struct(F.isnull("doc_id"), F.col("doc_id"), F.xxhash64(F.col(f"`{text}`")), all_of, F.col(row))
+    best = rows.select(group, place.alias("p")).groupBy(group).agg(F.min("p").alias("p")).select(F.col(f"p.{row}").alias(row))
+    return rows.join(best, row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])

@@ -17,12 +17,12 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runscope.llm.batches import map_batches, struct
-from runscope.llm.components import components
+from runscope.llm.batches import fresh, map_batches, struct
+from runscope.llm.components import components, one_row_each
 from runscope.session import materialize
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -47,9 +47,13 @@ def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> list[int]:
     return [xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)]
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     """Of a whole text, unsigned; zero for a text without words."""
-    hashes = shingle_hashes(text)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits set in over half of the hashes; zero without any."""
     if not hashes:
         return 0
     bits = np.zeros(64, np.int64)
@@ -70,7 +74,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
         return run
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), make, schema)
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(fresh(list(keep), "text")[0])), make, schema)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -212,6 +216,12 @@ def link_forest(fps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return edges
 
 
+def _roots(fps: DataFrame) -> DataFrame:
+    """(fp, root) for every fingerprint of ``fps`` (distinct ``fp``): the smallest one reachable over links."""
+    roots = materialize(components(link_forest(fps)), "roots")
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): near-duplicate groups of all documents.
 
@@ -223,8 +233,7 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     own = materialize(fingerprints(docs, text), "fingerprints")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = materialize(components(link_forest(first.select("fp"))), "roots")
-    classes = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = first.join(_roots(first.select("fp")), "fp")
     named = classes.join(classes.groupBy("root").agg(F.min("first_doc").alias("component_id")), "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -234,16 +243,16 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id; all columns stay.
+def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of each near-duplicate group, with all its columns.
 
-    A row whose doc_id is repeated is kept once.  Documents without an id form
-    groups by themselves unless a group has one with an id.
+    Rows are grouped by their own texts' fingerprints, so rows of one doc_id with
+    unlike texts are of different groups.  Of a group the row with the smallest
+    doc_id stays (a null id comes last), of equals the one with the smaller hash of
+    its text, then of all columns; the order of the rows plays no part.  Texts
+    without words are one group; an empty table gives no row.
     """
-    own = materialize(groups(docs), "groups")
-    stay = own.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi")
-    once = named.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__n = 1").select(*docs.columns)
-    orphans = own.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    nameless = fingerprints(docs.where("doc_id is null"), keep=tuple(docs.columns), name="__fp").join(orphans, "__fp", "left_semi")
-    return once.unionByName(nameless.dropDuplicates(["__fp"]).select(*docs.columns))
+    fp, root, row = fresh(docs.columns, "fp", "root", "row")
+    own = materialize(fingerprints(docs, text, tuple(docs.columns), fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    roots = _roots(own.select(F.col(fp).alias("fp")).distinct())
+    return one_row_each(own.join(roots.select(F.col("fp").alias(fp), F.col("root").alias(root)), fp), root, row, docs.columns, text)

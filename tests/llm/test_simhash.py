@@ -3,7 +3,7 @@ import random
 import numpy as np
 from xxhash import xxh64_intdigest
 
-from runscope.llm import simhash
+from runscope.llm import jaccard, simhash
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
 
@@ -96,3 +96,17 @@ def test_groups_on_awkward_rows(spark):
     assert simhash.keep_one(docs).columns == docs.columns
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_the_order(spark):
+    r = random.Random(9)
+    invented = lambda: " ".join(f"w{r.randrange(9999)}" for _ in range(120))
+    w, x, z, lone = invented(), invented(), invented(), invented()
+    y = invented()
+    rows = [(2, z), (5, z), (5, w), (9, x), (9, y), (None, lone), (None, lone), (None, w), (2, z)]
+    wanted = sorted([(2, z), (5, w), (9, x), (9, y), (None, lone)], key=str)
+    for made in (simhash.keep_one, jaccard.keep_one):
+        for seed in range(3):
+            random.Random(seed).shuffle(rows)
+            docs = spark.createDataFrame([(i, t, "clash", 0, {"k": "v"}) for i, t in rows], SCHEMA + ", m map<string,string>").repartition(3)
+            assert sorted(((k["doc_id"], k["text"]) for k in made(docs).collect()), key=str) == wanted
