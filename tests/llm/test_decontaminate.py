@@ -1,4 +1,6 @@
 import random
+import resource
+import time
 
 import numpy as np
 
@@ -7,15 +9,42 @@ from runscope.llm import decontaminate as d
 SCHEMA = "doc_id long, text string, item_id long, begin string"
 
 
-def least_edits(passage, text):
-    """Fewest edits of the whole passage anywhere in the text, by the full table."""
-    row = [0] * (len(text) + 1)
-    for i, p in enumerate(passage, 1):
-        new = [i]
-        for j, t in enumerate(text, 1):
-            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
+def compared(text):
+    """The compared characters, by the definition: letters and digits in lower case, runs of others as a space, none in front."""
+    out = []
+    for c in text or "":
+        if c.isalnum():
+            out.append(c.lower() if len(c.lower()) == 1 else c)
+        elif out and out[-1] != " ":
+            out.append(" ")
+    return "".join(out)
+
+
+def edits_of_windows(windows, text):
+    """Fewest edits of each window (all of one length) anywhere in the text, by the full table."""
+    text = np.array([ord(c) for c in text], np.int64)
+    windows = np.array([[ord(c) for c in w] for w in windows], np.int64)
+    steps = np.arange(len(text) + 1)
+    row = np.zeros((len(windows), len(text) + 1), np.int64)
+    for i in range(windows.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, :-1] + (windows[:, i : i + 1] != text), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return row.min(axis=1)
+
+
+def brute(item, text):
+    """The fewest edits of a window of the item in the text, None where all are over their budget; every window is tried."""
+    p, t = compared(item).strip(), compared(text)
+    if not p:
+        return None
+    if len(p) < 12:
+        return 0 if f" {p} " in f" {t.strip()} " else None
+    m = min(50, len(p))
+    k = 2 if m == 50 else 1 if m >= 25 else 0
+    least = int(edits_of_windows([p[i : i + m] for i in range(len(p) - m + 1)], t).min())
+    return least if least <= k else None
 
 
 def invented(r, n):
@@ -32,32 +61,32 @@ def edited(r, text, n):
 
 def cases():
     r = random.Random(7)
-    items = [(k, invented(r, n)) for k, n in enumerate([12, 20, 30, 45, 60, 4])] + [(90, ""), (91, "ab"), (92, None)]
-    docs = [(0, None), (1, ""), (2, "ab")]
-    for k in range(60):
+    items = [(k, invented(r, n)) for k, n in enumerate([12, 20, 30, 45, 60, 4])] + [(70, "Ab cd"), (71, "one 2 three four"), (72, "just over the short ones"), (90, ""), (92, None), (93, "?!")]
+    docs = [(0, None), (1, ""), (2, "ab"), (3, "xab cd"), (4, "so ab, CD it is"), (5, "ab cd"), (6, "one 2 three four five"), (7, "one 2 three fours")]
+    for k in range(50):
         item = r.choice(items[:6])[1]
         a = r.randrange(0, max(1, len(item) - 160))
-        piece = edited(r, item[a : a + r.choice([60, 120, 170, 1000])], r.choice([0, 0, 2, 4, 6, 9]))
+        piece = edited(r, item[a : a + r.choice([45, 60, 100, 170, 1000])], r.choice([0, 0, 2, 3, 4, 6, 9]))
         docs.append((10 + k, invented(r, r.randint(0, 12)) + r.choice([" ", "", ". "]) + r.choice([piece, piece.upper(), piece.replace(" ", ",\n")]) + " " + invented(r, r.randint(0, 12))))
     docs += [(500, "x " * 60_000 + items[2][1] + " y" * 10), (501, items[0][1]), (501, items[0][1])]
     return items, docs
 
 
-def test_matches_are_those_of_brute_force(spark):
+def test_matches_are_those_of_brute_force_over_all_windows(spark):
     items, docs = cases()
     got = d.matches(spark.createDataFrame([(i, t, 5, "clash") for i, t in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
-    passages = d.Passages([(i, t or "") for i, t in items])
     want = []
     for i, t in docs:
-        c = d.normalized(t or "")[0].tolist()
-        c = c[-3000:]  # the planted part of the one long text
-        hits = {item for item, p, k in zip(passages.items, passages.codes, passages.edits, strict=True) if least_edits(p.tolist(), c) <= k}
-        want += [(i, item) for item in hits]
-    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)
-    assert len(want) > 20
+        hits = [(item, brute(p, (t or "")[-3000:])) for item, p in items]  # the planted part of the one long text
+        want += [(i, item, k) for item, k in hits if k is not None]
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == sorted(want)
+    assert len(want) >= 40 and {k for _, _, k in want} == {0, 1, 2} and {70, 71} <= {i for _, i, _ in want}
     whole = dict(docs)
     for r in got:
         assert 0 <= r["begin"] < r["end"] <= len(whole[r["doc_id"]])
+        if r["edits"] == 0:  # the span begins and ends with an unedited window
+            span, item = compared(whole[r["doc_id"]][r["begin"] : r["end"]]), compared(dict(items)[r["item_id"]])
+            assert span[:50] in item and span.strip()[-50:] in item
         if r["doc_id"] == 500:
             assert whole[500][r["begin"] : r["end"]].strip() == items[2][1]
     stay = d.without_leaks(spark.createDataFrame([(i, t, 5, "clash") for i, t in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
@@ -72,18 +101,45 @@ def test_empty_tables(spark):
     assert d.without_leaks(some, items).count() == 1
 
 
-def test_benchmark_in_blocks(spark):
-    items, _ = cases()
-    parts = list(d.blocks(spark.createDataFrame(items, "item_id long, text string"), 200))
-    assert sum(map(len, parts)) == sum(t is not None for _, t in items) and len(parts) > 2
+def test_benchmark_in_blocks_gives_the_same_rows(spark):
+    items, docs = cases()
+    items += [(0, items[1][1]), (0, items[1][1])]  # rows of one item
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    parts = list(d.blocks(bench, 200))
+    assert sum(map(len, parts)) == len({i for i in items if i[1] is not None}) and len(parts) > 2
+    assert all(not {i for i, _ in a} & {i for i, _ in b} for a, b in zip(parts, parts[1:], strict=False))
     assert np.array_equal(d.gram_codes(d.normalized("Ab, c" * 20)[0]), d.gram_codes(d.normalized("aB  c" * 20)[0]))
+    texts = [t for _, t in docs]
+    apart = sorted(h for p in parts for h in d.search(d.Index(p), texts))
+    assert apart == d.search(d.Index([x for p in parts for x in p]), texts)
 
 
-def test_unedited_fragments_of_the_stated_length_are_found_wherever_they_begin():
+def test_every_window_of_a_hundred_characters_with_five_edits_is_found():
     r = random.Random(11)
-    item = invented(r, 60)[:300]
-    c = "".join(map(chr, d.normalized(item)[0]))
-    fragments = [c[a : a + d.SURE] for a in range(len(c) - d.SURE + 1)] + [c[15:135]]
-    hits = d.search(d.Passages([(1, item)]), [f"{invented(r, 5)}zz{f}zz{invented(r, 5)}" for f in fragments])
-    assert d.SURE < 95 and [(h[0], h[1]) for h in hits] == [(k, 1) for k in range(len(fragments))]
-    assert len(d.Passages([(1, "short item here"), (2, c[:70])]).codes) == 1 + 4  # the whole item, and 50 characters at 0, 10 and 20
+    item = invented(r, 80)[:330]
+    c = compared(item)
+    index = d.Index([(1, item)])
+    texts = []
+    for a in range(len(c) - 100 + 1):
+        piece = list(c[a : a + 100])
+        for k in r.sample(range(100), 5):
+            piece[k] = r.choice(["", "ß", piece[k] + "ß"])
+        texts.append(f"{invented(r, 5)} zz{''.join(piece)}zz {invented(r, 5)}")
+    assert [h[0] for h in d.search(index, texts)] == list(range(len(texts)))
+    fragments = [c[a : a + d.SURE] for a in range(len(c) - d.SURE + 1)]
+    hits = d.search(index, [f"{invented(r, 5)}zz{f}zz{invented(r, 5)}" for f in fragments])
+    assert [(h[0], h[4]) for h in hits] == [(k, 0) for k in range(len(fragments))]
+
+
+def test_a_phrase_that_many_items_share_stays_cheap():
+    r = random.Random(3)
+    phrase = "choose the best answer to the question below "
+    items = [(k, phrase + invented(r, 12)) for k in range(20_000)]
+    index = d.Index(items)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    began = time.time()
+    hits = d.search(index, [" ".join(phrase + f"{invented(r, 2)} filler {k}" for k in range(20)) + items[77][1]])
+    assert 77 in {h[1] for h in hits}
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 900_000
+    one = d.search(d.Index(items[:200]), [phrase * 3 + items[5][1], phrase])
+    assert {h[1] for h in one if h[0] == 0} == {k for k, t in items[:200] if brute(t, phrase * 3 + items[5][1]) is not None}
