@@ -49,6 +49,7 @@ class PieceEncoder:
                 self.automaton.add_word(piece, (len(piece), i))
                 joined.update(piece[k : k + 2] for k in range(len(piece) - 1))
         self.automaton.make_automaton()
+        self.longest_piece = max(map(len, self.id_of), default=1)
         self.size_of = [len(self.piece_of.get(i, "")) for i in range(sp.get_piece_size())]
         self.shorter = [next((self.id_of[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id_of), -1) if (p := self.piece_of.get(i)) else -1 for i in range(sp.get_piece_size())]
         self.joined = joined  # neighbours inside some piece; between other characters a text may be cut
@@ -122,11 +123,12 @@ class PieceEncoder:
             left = piece
         if at == stop:
             return ids
-        failed = 0  # bit field of places from which nothing compatible follows
-        size_of, shorter = self.size_of, self.shorter
+        failed = bytearray((stop >> 3) + 1)  # bit field of places from which nothing compatible follows
+        size_of, shorter, reach = self.size_of, self.shorter, self.longest_piece
         while at < stop:
             size = size_of[piece]
-            if not failed >> (at + size) & 1:
+            end = at + size
+            if not failed[end >> 3] >> (end & 7) & 1:
                 if ids:
                     fits = compatible.get(ids[-1] << 24 | piece)
                     if fits is None:
@@ -135,15 +137,15 @@ class PieceEncoder:
                     fits = size < stop or self.reached(piece)
                 if fits:
                     ids.append(piece)
-                    at += size
-                    if at < stop:
-                        piece = next(longest(part, at))[1][1]
+                    at = end
+                    if at < stop:  # only what the longest piece can span is looked at
+                        piece = next(longest(part[at : at + reach]))[1][1]
                     continue
             piece = shorter[piece]
             if piece < 0:
                 if not ids:
                     return [self.id_of[p] for p in self.merge(part)]  # not reached for a merge-type model
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = ids.pop()  # ends at a failed place: its shorter prefix is next
                 at -= size_of[piece]
         return ids
