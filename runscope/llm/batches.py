@@ -9,31 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows handed to a Python worker at once; long documents make a batch of thousands too large.
+#: Rows that a function gets at once; Spark hands over more, up to a size in bytes.
 BATCH_ROWS = 1000
 
 
-def configure(df: DataFrame) -> None:
-    """Keep Arrow batches small enough for long texts."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list | None]], schema: T.StructType) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list | None]], schema: T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` with a per-task set-up.
 
-    ``make()`` runs once in each task and returns the function of a batch; that
-    function returns columns in the order of ``schema`` (or None for no rows).
+    ``make()`` runs once in each task and returns the function of a batch of at
+    most ``rows`` rows; that function returns columns in the order of ``schema``
+    (or None for no rows).
     """
-    configure(df)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
-            if b.num_rows:
-                cols = f(b)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                cols = f(whole.slice(at, rows))
                 if cols is not None:
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 

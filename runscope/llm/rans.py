@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runscope.llm.batches import configure, map_batches, struct, texts_of
+from runscope.llm.batches import map_batches, struct, texts_of
 from runscope.session import materialize
 
 #: Frequencies sum to 2**PRECISION; ids of a block, lanes, and rows between checkpoints.
 PRECISION, BLOCK_IDS, LANES, CHECKPOINT_ROWS = 18, 1 << 18, 512, 128
+#: Blocks that a task decodes at once.
+READ_BLOCKS = 4
+#: Characters of a text that tell shards apart where ids are equal.
+PREFIX = 64
 LOW = np.uint64(1 << 31)
 _32, _M, _MASK = np.uint64(32), np.uint64(PRECISION), np.uint64((1 << PRECISION) - 1)
 
@@ -131,11 +135,16 @@ TOKENS = struct(("shard", T.IntegerType()), ("offset", T.LongType()), ("doc_id",
 def tokenize_in_order(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]], end_id: int = 1, shards: int | None = None) -> DataFrame:
     """Range-partitions by ``doc_id`` and tokenizes: one row for each document with its place in its shard.
 
-    ``encode()`` gives a function from a text to little-endian 32-bit ids; the end id follows each document.
+    ``encode()`` gives a function from a text to little-endian 32-bit ids; the end id
+    follows each document.  Rows of one doc_id are ordered by their texts and may lie
+    in several shards, so a repeated or null id is no hot shard; only its rows with the
+    same first PREFIX characters and more stay together.
     """
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    configure(docs)
+    # short texts are told apart by their row too: equal ones may be parted
+    beyond = F.when(F.length("text") > PREFIX, (1 << 63) - 1).otherwise(F.monotonically_increasing_id())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, PREFIX).alias("prefix"), beyond.alias("beyond"))
+    ordered = rows.repartitionByRange(shards, "doc_id", "prefix", "beyond").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
@@ -190,6 +199,8 @@ def _table_of(rows: list) -> np.ndarray:
 def write(tokens: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> None:
     """Writes ``tokens`` (see tokenize_in_order; read twice, so a written table) as token-id files.
 
+    A document without ids, an empty table and ids beyond 16 bits are written like
+    any other; a document of more than BLOCK_IDS ids is a block by itself.
     The table's counts come to the driver: at most one row for each vocabulary
     entry, 2**18 or fewer.  So do the shards' totals, one row each.
     """
@@ -230,7 +241,11 @@ def write(tokens: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> None:
 
 
 def read(spark: SparkSession, path: str, what: Callable[[np.ndarray], object], kind: T.DataType, name: str) -> DataFrame:
-    """Decodes every block: (doc_id, start, n_tokens, <name>) with ``what(ids)`` for each document."""
+    """Decodes every block: (doc_id, start, n_tokens, <name>) with ``what(ids)`` for each document.
+
+    A task holds READ_BLOCKS blocks at once.  A block whose words or ids do not fit
+    their checksums raises CorruptBlock; files without a block give no row.
+    """
     table_rows = spark.read.parquet(f"{path}/table").collect()  # one row for each vocabulary entry at most
     freq = _table_of([(r["id"], r["freq"]) for r in table_rows])
     schema = struct(("doc_id", T.LongType()), ("start", T.LongType()), ("n_tokens", T.LongType()), (name, kind))
@@ -254,7 +269,7 @@ def read(spark: SparkSession, path: str, what: Callable[[np.ndarray], object], k
 
         return run
 
-    return map_batches(spark.read.parquet(f"{path}/blocks").drop("shard").select(*[f.name for f in BLOCKS if f.name != "shard"]), make, schema)
+    return map_batches(spark.read.parquet(f"{path}/blocks").drop("shard").select(*[f.name for f in BLOCKS if f.name != "shard"]), make, schema, READ_BLOCKS)
 
 
 def crc_of(ids: np.ndarray) -> int:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -105,3 +106,25 @@ def test_files_hold_what_was_encoded(spark):
     first = [r["start"] for r in spark.read.parquet(f"{out}/blocks").orderBy("shard", "start").collect()]
     assert first == sorted(first)
     assert rans.token_files(docs.limit(0), lambda: tokenizer(path).encode, out + "2").count() == 0
+
+
+def test_a_hot_id_is_dealt_to_several_shards(spark):
+    r = random.Random(2)
+    rows = [(None, " ".join(r.choice("abcdefgh") * 3 for _ in range(r.randint(1, 40)))) for _ in range(400)] + [(5, "same")] * 400
+    tokens = rans.tokenize_in_order(spark.createDataFrame(rows, "doc_id long, text string"), lambda: lambda t: b"".join(ord(c).to_bytes(4, "little") for c in t), shards=8).collect()
+    assert len({t["shard"] for t in tokens if t["doc_id"] is None}) > 2 and len({t["shard"] for t in tokens if t["doc_id"] == 5}) > 2
+    texts = ["".join(map(chr, np.frombuffer(t["ids"], "<u2")[:-1].tolist())) for t in sorted(tokens, key=lambda t: (t["shard"], t["offset"]))]
+    assert texts == sorted(t for i, t in rows if i is None) + ["same"] * 400
+
+
+def test_long_unspaced_text_is_encoded_in_linear_time():
+    enc = pieces.encoder(vocabulary("piece_bpe_32k.model"))
+    r = random.Random(8)
+    times = []
+    for n in (56_000, 224_000):
+        text = "".join(r.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "X", "9", "é"]) for _ in range(n // 2))
+        began = time.perf_counter()
+        ids = enc.encode(text)
+        times.append(time.perf_counter() - began)
+        assert np.frombuffer(ids, "<i4").tolist() == enc.processor.encode(text)
+    assert times[1] < 10 * times[0] + 0.1
