@@ -4,21 +4,25 @@ Vectors are dealt to shards of a bounded size.  In a shard, nodes join a graph i
 batches: a greedy search over what is there proposes neighbours, relaxed distance
 pruning keeps edges to a diverse few of them, and each edge is offered back.  A
 query runs a beam search in every shard; what the beams hold is scored exactly.
-An extra coordinate gives all vectors the same length, so that nearness and inner
-product order alike.  Equal vectors are one node.
+A shard holds vectors of about one length (within a factor of two), measured by
+its longest; an extra coordinate then gives all of them length one, so that
+nearness and inner product order alike, and no long vector elsewhere blurs the
+differences.  Equal vectors are one node.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runscope.session import materialize
 
 #: Nodes of a shard; edges of a node; beams of building and of queries; relaxation; nodes that join at once.
 SHARD_NODES, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA, BATCH = 4096, 32, 48, 128, 1.2, 256
+#: Bytes of vectors and edges that a task may hold as a shard.
+SHARD_BYTES = 32 << 20
 #: Nodes expanded at each step of a search; entry nodes; queries searched together in a task.
 WIDTH, ENTRIES, QUERY_BLOCK = 4, 16, 4096
 FOUND = "query long, rep long, score double"
@@ -66,20 +70,20 @@ def search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray,
     return ids, near
 
 
-def prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int, alpha: float, level: float) -> np.ndarray:
+def prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Relaxed pruning: the nearest candidate stays, and drops those that it is ``alpha`` times nearer to than the node.
 
-    ``level`` is the square of the vectors' common length; -1 marks no candidate.
+    Vectors have length one, distances are taken in double precision; -1 marks no candidate.
     """
     # a candidate that stands twice counts once
     cand = np.sort(cand, axis=1)
     cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
     cand[cand == own[:, None]] = -1
-    points = x[cand]
-    far = np.where(cand >= 0, level - np.einsum("ikd,id->ik", points, x[own]), np.inf)
+    points = x[cand].astype(np.float64)
+    far = np.where(cand >= 0, 1 - np.einsum("ikd,id->ik", points, x[own].astype(np.float64)), np.inf)
     order = np.argsort(far, axis=1, kind="stable")
     cand, far, points = np.take_along_axis(cand, order, 1), np.take_along_axis(far, order, 1), np.take_along_axis(points, order[:, :, None], 1)
-    between = level - np.matmul(points, points.transpose(0, 2, 1))
+    between = 1 - np.matmul(points, points.transpose(0, 2, 1))
     alive = np.isfinite(far)
     out = np.full((len(own), degree), -1, np.int64)
     rows = np.arange(len(own))
@@ -94,10 +98,9 @@ def prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int, alpha:
     return out
 
 
-def build(vectors: np.ndarray, longest: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, entries) of a shard's graph."""
-    x = lifted(vectors, longest)
-    n, level = len(x), float(longest) ** 2
+def build(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, entries) of a shard's graph over vectors of length one."""
+    n = len(x)
     order = np.random.default_rng(seed).permutation(n)
     edges = np.full((n, DEGREE + DEGREE // 2), -1, np.int64)
     entries = order[:ENTRIES]
@@ -109,13 +112,13 @@ def build(vectors: np.ndarray, longest: float, seed: int = 0) -> tuple[np.ndarra
         at += len(own)
         found, _ = search(x, edges, entries, x[own], BUILD_BEAM)
         mates = np.argsort(-(x[own] @ x[own].T), axis=1)[:, :17]  # those that join together do not find each other
-        kept = prune(x, own, np.concatenate([found, own[mates]], axis=1), DEGREE, ALPHA, level)
+        kept = prune(x, own, np.concatenate([found, own[mates]], axis=1), DEGREE, ALPHA)
         edges[own, :DEGREE] = kept
-        _offer_back(x, edges, own, kept, level)
+        _offer_back(x, edges, own, kept)
     return edges, entries
 
 
-def _offer_back(x: np.ndarray, edges: np.ndarray, own: np.ndarray, kept: np.ndarray, level: float) -> None:
+def _offer_back(x: np.ndarray, edges: np.ndarray, own: np.ndarray, kept: np.ndarray) -> None:
     """Every edge's end gets an edge back; a node over its room is pruned again."""
     r, k = np.nonzero(kept >= 0)
     to, by = kept[r, k], own[r]
@@ -135,15 +138,27 @@ def _offer_back(x: np.ndarray, edges: np.ndarray, own: np.ndarray, kept: np.ndar
         more = np.full((len(part), most), -1, np.int64)
         for row, f in enumerate(part):
             more[row, : count[f]] = by[first[f] : first[f] + count[f]]
-        kept = prune(x, nodes[part], np.concatenate([edges[nodes[part]], more], axis=1), DEGREE, ALPHA, level)
+        kept = prune(x, nodes[part], np.concatenate([edges[nodes[part]], more], axis=1), DEGREE, ALPHA)
         edges[nodes[part]] = -1
         edges[nodes[part], :DEGREE] = kept
 
 
-def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
-    """One more coordinate, which gives every vector the length ``longest``."""
-    v = vectors.astype(np.float64)
-    return np.concatenate([v, np.sqrt(np.maximum(0, longest**2 - (v * v).sum(axis=1)))[:, None]], axis=1).astype(np.float32)
+def lifted(vectors: np.ndarray) -> np.ndarray:
+    """Divided by the longest's length, with one more coordinate that gives every vector length one.
+
+    Components are scaled by the largest first, so that no square overflows.
+    """
+    most = np.abs(vectors).max(initial=0.0)
+    v = vectors / (most or 1.0)
+    v /= max(float(np.sqrt((v * v).sum(axis=1)).max(initial=0.0)), np.finfo(float).tiny)
+    return np.concatenate([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1)))[:, None]], axis=1).astype(np.float32)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Queries at length one, the added coordinate zero; the length of a query changes no order."""
+    v = vectors / np.maximum(np.abs(vectors).max(axis=1, keepdims=True), np.finfo(float).tiny)
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.concatenate([v, np.zeros((len(v), 1))], axis=1).astype(np.float32)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -160,14 +175,25 @@ def usable(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> D
     return fine.where(F.size("v") == (common["n"] if common else 0))
 
 
-def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_nodes: int = SHARD_NODES, beam: int = QUERY_BEAM) -> DataFrame:
+def _log2_length(v) -> Column:
+    """The binary logarithm of a vector's length, without overflow."""
+    most = F.array_max(F.transform(v, F.abs))
+    return F.log2(most) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, c: a + (c / most) * (c / most))) / 2
+
+
+def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_nodes: int | None = None, beam: int = QUERY_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row where ``is_query`` (a condition on vec_id) holds.
 
     Every usable row is indexed and no row is its own neighbour.  Nearest first,
     ties to the smaller vec_id; fewer than ``k`` rows if there are no more
     candidates.  Null, zero and non-finite vectors, vectors of another length than
     most, and rows without id take no part; a repeated vec_id counts once for each
-    vector; an empty table gives no row; other columns are ignored.
+    vector; a score beyond double precision is infinite, and one of infinities that
+    cancel comes last; an empty table gives no row; other columns are ignored.
+
+    Shards have ``shard_nodes`` nodes at most; by default SHARD_NODES, more (up to what
+    SHARD_BYTES hold) where there are several shards for every core, as a query visits
+    every shard.
     """
     spark = rows.sparkSession
     own = materialize(usable(rows, key, vector).distinct(), "vectors")
@@ -176,8 +202,16 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     few = own.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("n", by("v", "part")).where(F.col("n") <= k + 1)
     few = few.withColumn("n", by("v")).where(F.col("n") <= k + 1)
     classes = materialize(few.groupBy("v").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("members")), "classes")
-    total = classes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("m")).first()
-    shards, longest = max(1, -(-total["n"] // shard_nodes)), float(total["m"] or 1.0) ** 0.5
+    # shards by length: at most some 2,100 ranges of a factor of two, each dealt to as many shards as its vectors fill
+    octave = F.floor(_log2_length(F.col("v"))).cast("int")
+    sizes = {r["octave"]: (r["n"], r["d"]) for r in classes.groupBy(octave.alias("octave")).agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).collect()}
+    if shard_nodes is None:
+        room = SHARD_BYTES // (20 * max([d for _, d in sizes.values()], default=1) + 18 * DEGREE)
+        shard_nodes = max(SHARD_NODES, min(room, sum(n for n, _ in sizes.values()) // (4 * spark.sparkContext.defaultParallelism)))
+    ranges = {k: -(-n // shard_nodes) for k, (n, _) in sizes.items()}
+    starts = dict(zip(sorted(ranges), np.cumsum([0, *[ranges[k] for k in sorted(ranges)]]).tolist(), strict=False))
+    shards = max(1, sum(ranges.values()))
+    place = F.create_map(*[F.lit(x) for k in starts for x in (k, F.array(F.lit(starts[k]), F.lit(ranges[k])))]) if starts else F.lit(None).cast("map<int,array<int>>")
     asked = own.where(is_query(F.col("vec_id")))
     # a vector that many queries share is searched once
     queries = materialize(asked.join(classes.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")), "queries")
@@ -185,14 +219,15 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     blocks = max(1, -(-queries.select("query").distinct().count() // QUERY_BLOCK))
 
     def grow(table: pa.Table) -> pa.Table:
-        edges, entries = build(_matrix(table["v"]), longest)
+        edges, entries = build(lifted(_matrix(table["v"])))
         entry = np.zeros(table.num_rows, bool)
         entry[entries] = True
         links = pa.ListArray.from_arrays(pa.array(np.arange(len(edges) + 1, dtype=np.int32) * edges.shape[1]), pa.array(edges.astype(np.int32).reshape(-1)))
-        place = pa.array(np.arange(table.num_rows, dtype=np.int32))
-        return pa.table({"shard": table["shard"], "place": place, "rep": table["rep"], "v": table["v"], "edges": links, "entry": entry})
+        at = pa.array(np.arange(table.num_rows, dtype=np.int32))
+        return pa.table({"shard": table["shard"], "place": at, "rep": table["rep"], "v": table["v"], "edges": links, "entry": entry})
 
-    dealt = classes.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), "rep", "v")
+    own_range = place[octave]
+    dealt = classes.select((own_range[0] + F.pmod(F.xxhash64("rep"), own_range[1])).cast("int").alias("shard"), "rep", "v")
     index = materialize(dealt.groupBy("shard").applyInArrow(grow, "shard int, place int, rep long, v array<double>, edges array<int>, entry boolean"), "graphs")
 
     def ask(nodes: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -201,13 +236,15 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
             nodes = nodes.sort_by("place")
             v, edges = _matrix(nodes["v"]), _matrix(nodes["edges"]).astype(np.int64)
             reps, entries = nodes["rep"].to_numpy(), np.flatnonzero(nodes["entry"].to_numpy())
-            x, q = lifted(v, longest), _matrix(wanted["v"])
+            x, q = lifted(v), _matrix(wanted["v"])
             names = wanted["query"].to_numpy()
             for a in range(0, len(q), BATCH):
                 part = q[a : a + BATCH]
-                ids, _ = search(x, edges, entries, np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32), min(beam, max(len(x), ENTRIES)))
+                ids, _ = search(x, edges, entries, unit(part), min(beam, max(len(x), ENTRIES)))
                 r, c = np.nonzero(ids >= 0)
-                score = np.einsum("ij,ij->i", v[ids[r, c]], part[r])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = np.einsum("ij,ij->i", v[ids[r, c]], part[r])
+                score = np.where(np.isnan(score), -np.inf, score)  # sums of both infinities
                 order = np.lexsort((reps[ids[r, c]], -score, r))
                 rank = np.arange(len(r)) - np.searchsorted(r[order], r[order])
                 order = order[rank <= k]

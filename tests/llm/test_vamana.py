@@ -39,3 +39,24 @@ def test_few_rows_and_none(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vamana.nearest(few, lambda c: c == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
     assert vamana.nearest(spark.createDataFrame([], SCHEMA), lambda c: c == 0).count() == 0
+
+
+def test_recall_at_64_components_over_shards_with_very_long_vectors(spark):
+    r = np.random.default_rng(6)
+    vectors = r.normal(size=(5000, 64))  # no direction is favoured: the hard case
+    vectors[17] *= 1e5
+    vectors[29] *= 1e200 / np.abs(vectors[29]).max()
+    vectors[31] *= 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = vamana.nearest(df, lambda c: c % 50 == 0, shard_nodes=2000).collect()
+    near = {}
+    for x in sorted(got, key=lambda x: (x["query_id"], x["rank"])):
+        near.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    hits = 0
+    for q in range(0, 5000, 50):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        want = np.lexsort((np.arange(5000), -scores))[:20]
+        hits += len({i for i, _ in near[q]} & set(want.tolist()))
+        assert near[q][0][0] == want[0] and all(np.isclose(s, scores[i]) for i, s in near[q])
+    assert hits >= 0.95 * 100 * 20
