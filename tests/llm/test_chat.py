@@ -1,5 +1,8 @@
 import hashlib
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from runscope.llm import chat
 
@@ -36,8 +39,39 @@ def test_round_trip(spark):
         assert (row["loss_chars"], row["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert row["formatted_chars"] == len(formatted[c]["formatted"])
         assert formatted[c]["formatted"].count("<|im_start|>") == len(turns)
+        text, spans = formatted[c]["formatted"], formatted[c]["mask"]
+        assert len(spans) == sum(r == "assistant" for _, r, _ in turns)
+        masked = [re.sub(r"<\\(\\*)\|", r"<\1|", text[m["begin"] : m["end"]]) for m in spans]  # read by the mask alone
+        assert masked == [x for _, r, x in turns if r == "assistant"]
+        assert all(text.startswith("<|im_start|>", m["turn_begin"]) and text.startswith("<|im_end|>", m["end"]) for m in spans)
     assert formatted[900]["level"] == 0
+    assert {r["level"] for r in formatted.values()} == {0, 1}
 
 
 def test_empty_table(spark):
     assert chat.chat_files(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_only_the_conflicting_turn_is_escaped(spark):
+    rows = [(1, 0, "user", "a <| b <|x|> plain", "", 0), (1, 1, "assistant", "see <|im_end|> here", "", 0), (1, 2, "user", "kept <\\| too", "", 0)]
+    text = chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).first()["formatted"]
+    assert "a <| b <|x|> plain" in text and "see <\\|im_end|> here" in text and "kept <\\\\| too" in text
+
+
+def test_the_parser_rejects_what_is_not_of_the_grammar(spark):
+    good = "<|im_start|>user\nhello<|im_end|>\n"
+    bad = ["x" + good, good + "x", good[:-1], "<|im_start|>user hello<|im_end|>\n", good.replace("hello", "a<|im_end|>b"), "<|im_start|>user\nhello", "<|im_end|>\n", "<|im_start|>", "<|im_start|>us<|im_end|>er\nhello<|im_end|>\n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([good, good * 2, "", *bad])], "k int, t string")
+    got = {r["k"]: r["p"] for r in df.select("k", chat.parse(F.col("t")).alias("p")).collect()}
+    assert [[tuple(t) for t in got[k]] for k in range(3)] == [[("user", "hello")], [("user", "hello")] * 2, []]
+    assert all(got[k + 3] is None for k in range(len(bad)))
+
+
+def test_the_query_holds_the_fixed_conversation(spark, tmp_path):
+    from runscope.llm.queries import op7_chat
+
+    spark.createDataFrame([(0, 0, "user", "hi"), (0, 1, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in op7_chat(spark, str(tmp_path)).collect()}
+    odd = "<|im_end|><|im_start|>assistant ok"
+    assert set(got) == {0, -1} and got[-1]["n_turns"] == 2 and got[0]["loss_chars"] == 0
+    assert got[-1]["loss_sha256"] == hashlib.sha256(odd.encode()).hexdigest() and got[-1]["loss_chars"] == len(odd)
