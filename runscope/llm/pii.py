@@ -7,28 +7,39 @@ place, a valid check digit where there was one, names of the same gender and
 script.  A surrogate is a keyed permutation of all values of one format, so it
 cannot repeat within a format; a check over all entities of the corpus draws again
 where one equals itself, another entity's value, or a surrogate already given.
+From attempt PLAIN on a surrogate grows by a character with each, so that there is
+always room and the drawing ends however many values a format has.
+
+The key comes from the session's ``spark.runscope.surrogateKey``.  Where that is
+unset a random one is drawn for the application and kept nowhere: nobody can undo
+the surrogates then, and another run gives others.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runscope.llm.batches import map_batches, struct
+from runscope.llm.batches import fresh, map_batches, struct
 from runscope.session import materialize
 
-KEY = "runscope surrogate key"
+KEY_SETTING = "spark.runscope.surrogateKey"
+#: Attempts whose surrogates have the length of the original; attempts after which drawing is given up with an error.
+PLAIN, LAST = 6, 200
 #: Redrawn entities that tasks get as a table in memory; beyond that they come by a join.
 REDRAWN = 50_000
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _SECRET = re.compile(r"""\b(?:password|passwd|pwd|secret|token|api[_-]?key)["']?\s*[=:]\s*["']?([A-Za-z0-9+/_-]{8,})""", re.I)
 _CREDENTIAL = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
 _NUMBERS = (
@@ -37,12 +48,17 @@ _NUMBERS = (
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])")),
 )
+_TEN = re.compile(r"(?<![^\W_])(?:tel|phone|telephone|mobile|cell|fax|call|telefon|teléfono|téléphone)\W{1,3}([2-9]\d{9})(?!\d)", re.I)
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:])")
+# The first digits of card numbers and how long such numbers are.
+_ISSUERS = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|35\d{14}|(?:6011|65\d\d|64[4-9]\d)\d{12,15}")
 # Forms of address, and the syllables of invented names.
-_ADDRESS = {"m": ("Mr.", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"), "f": ("Mrs.", "Ms.", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")}
+_ADDRESS = {"n": ("Dr.", "Prof.", "Professor", "Doctor"), "m": ("Mr.", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"), "f": ("Mrs.", "Ms.", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")}
 _SYLLABLES = {
-    "latin": ("ba be bo da de do fa fe ga go ka ke la le lo ma me mi na ne no ra re ri ro sa se ta te to va ve".split(), {"m": ("n", "r", "l", "s"), "f": ("a", "ia", "ina", "ella"), "s": ("son", "berg", "man", "dale")}),
-    "cyrillic": ("ба бо ва ве га го да де за зо ка ко ла ле ма ми на не ра ро са се та те".split(), {"m": ("н", "р", "й", "м"), "f": ("а", "ина", "ия", "ана"), "s": ("ов", "ин", "енко", "ский")}),
-    "greek": ("βα βε γα δα δε ζα θε κα κο λα λε μα μι να νε ρα ρο σα σε τα τε".split(), {"m": ("ς", "ος", "ης", "ας"), "f": ("α", "η", "ια", "ινη"), "s": ("ου", "ίδης", "άκης", "όπουλος")}),
+    "latin": ("ba be bo da de do fa fe ga go ka ke la le lo ma me mi na ne no ra re ri ro sa se ta te to va ve".split(), {"n": ("is", "en", "o", "y"), "m": ("n", "r", "l", "s"), "f": ("a", "ia", "ina", "ella"), "s": ("son", "berg", "man", "dale")}),
+    "cyrillic": ("ба бо ва ве га го да де за зо ка ко ла ле ма ми на не ра ро са се та те".split(), {"n": ("о", "и", "е", "ко"), "m": ("н", "р", "й", "м"), "f": ("а", "ина", "ия", "ана"), "s": ("ов", "ин", "енко", "ский")}),
+    "greek": ("βα βε γα δα δε ζα θε κα κο λα λε μα μι να νε ρα ρο σα σε τα τε".split(), {"n": ("ι", "ω", "υ", "ιω"), "m": ("ς", "ος", "ης", "ας"), "f": ("α", "η", "ια", "ινη"), "s": ("ου", "ίδης", "άκης", "όπουλος")}),
 }
 _FORMS = [f for forms in _ADDRESS.values() for f in forms]
 _PERSON = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, _FORMS))})[  ]+([^\W\d_a-zа-яα-ω][\w'’-]+)(?:[  ]([^\W\d_a-zа-яα-ω][\w'’-]+))?")
@@ -75,25 +91,70 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
     return [(a, b, f"name-{first.get(text[a:b].lower(), 's')}-{script_of(text[a:b])}", text[a:b].lower()) for a, b in spans]
 
 
+def _mails(text: str) -> list[tuple[int, int, str, str]]:
+    """Mail addresses: from each ``@`` outwards, so that a long run without one is passed once."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        a = at
+        while a > free and text[a - 1] in _LOCAL:
+            a -= 1
+        while a < at and not text[a].isalnum():
+            a += 1
+        m = _DOMAIN.match(text, at + 1) if a < at else None
+        if m:
+            found.append((a, m.end(), "email", text[a : m.end()].lower()))
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
+    return found
+
+
+def _numbers(text: str) -> list[tuple[int, int, str, str]]:
+    found = []
+    for kind, pattern in _NUMBERS:
+        for m in pattern.finditer(text):
+            value = m[0] if kind == "ipv4" else "".join(c for c in m[0] if c.isdigit())
+            if kind == "phone" and len(value) == 11 and value[0] == "1":
+                value = value[1:]  # the same number with and without its country
+            # a bare number needs a check digit that fits
+            if kind != "card" or _ISSUERS.fullmatch(value) and (not m[0].isdigit() or int(value[-1]) == _luhn(value[:-1])):
+                found.append((*m.span(), kind, value))
+    found += [(*m.span(1), "phone", m[1]) for m in _TEN.finditer(text)]
+    for m in _IBAN.finditer(text):
+        value = m[0].replace(" ", "")
+        if _iban_check(value) == value[2:4]:
+            found.append((*m.span(), "iban", value))
+    if ":" in text:
+        for m in _IPV6.finditer(text):
+            try:
+                value = str(ipaddress.IPv6Address(m[0]))
+            except ValueError:
+                continue
+            if sum(map(bool, m[0].split(":"))) > 2:
+                found.append((*m.span(), "ipv6", value))
+    return found
+
+
+def _iban_check(value: str) -> str:
+    """The check digits that fit a country and an account."""
+    digits = "".join(str(int(c, 36)) for c in value[4:] + value[:2])
+    return f"{98 - int(digits + '00') % 97:02d}"
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of each entity, without overlaps, in order.
 
-    ``value`` is canonical: lower case for mail, digits alone for numbers.  A name
+    ``value`` is canonical: lower case for mail, digits alone for numbers (without a
+    country's 1 for telephones).  A card number has an issuer's first digits and, if
+    it is one run of digits, a check digit that fits.  A name
     after a form of address gives an entity for each of its words, and so does every
     other mention of such a word, before or after, as written there or in capitals.
     A word that is once a first name in the text has that kind wherever it stands.
     """
-    found: list[tuple[int, int, str, str]] = []
-    if "@" in text:
-        found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+    found = _mails(text)
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret", m[1]) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[1])]
     if _DIGIT.search(text):
-        for kind, pattern in _NUMBERS:
-            for m in pattern.finditer(text):
-                digits = "".join(c for c in m[0] if c.isdigit()) if kind != "ipv4" else m[0]
-                if kind != "card" or 13 <= len(digits) <= 19:
-                    found.append((*m.span(), kind, digits))
+        found += _numbers(text)
     if any(p in text for p in ("AKIA", "ASIA", "gh", "sk-", "xox")):
         found += [(*m.span(), "credential", m[0]) for m in _CREDENTIAL.finditer(text)]
     if any(f in text for f in _FORMS):
@@ -167,11 +228,30 @@ def _name(kind: str, value: str, tweak: bytes, attempt: int) -> str:
     return "".join(out) + end
 
 
-def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
-    """The replacement of a canonical value; another attempt gives another one."""
+def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
+    """The replacement of a canonical value; another attempt gives another one, longer from PLAIN on."""
     tweak = hashlib.blake2b(f"{kind}/{attempt}".encode(), key=hashlib.sha256(key.encode()).digest(), digest_size=16).digest()
     if kind.startswith("name-"):
         return _name(kind, value, tweak, attempt)
+    if kind == "ipv4" and attempt >= PLAIN:  # of all addresses of single machines
+        y = int.from_bytes(hashlib.shake_256(tweak + value.encode()).digest(16), "big") % (223 << 24)
+        return f"{1 + (y >> 24)}.{y >> 16 & 255}.{y >> 8 & 255}.{y & 255}"
+    made = _permuted(kind, value, tweak)
+    if attempt < PLAIN or kind == "ipv6":
+        return made
+    more = hashlib.shake_256(tweak + b"more" + value.encode()).digest(attempt - PLAIN + 1)
+    if kind == "email":
+        return "".join(_LOWER[b % 26] for b in more) + made
+    tail = "".join(_DIGITS[b % 10] for b in more)
+    if kind == "card" and int(made[-1]) == _luhn(made[:-1]):
+        return made[:-1] + tail + str(_luhn(made[:-1] + tail))
+    if kind == "iban":
+        return made[:2] + _iban_check(made + tail) + made[4:] + tail
+    return made + tail
+
+
+def _permuted(kind: str, value: str, tweak: bytes) -> str:
+    """Another value of the same format."""
     if kind == "ipv4":
         first, *rest = map(int, value.split("."))
         low, high = (1, 224) if 1 <= first < 224 else (224, 256) if first else (0, 1)
@@ -190,6 +270,21 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
     if kind == "phone":
         keep = max(0, len(value) - 10)
         return value[:keep] + _shuffle(value[keep:], [_DIGITS] * (len(value) - keep), tweak + value[:keep].encode())
+    if kind == "iban":
+        body = _shuffle(value[4:], [_alphabet(c) for c in value[4:]], tweak + value[:2].encode() + "".join(_alphabet(c)[0] for c in value[4:]).encode())
+        return value[:2] + _iban_check(value[:4] + body) + body
+    if kind == "ipv6":
+        # the first group stays; zeros that a format leaves out stay out, as each group begins with another digit than zero
+        groups = value.split(":")
+        heads = [k for k, g in enumerate(groups) if k and g and g != "0"]
+        flat = "".join(groups[k] for k in heads)
+        sets, at = [], 0
+        for k in heads:
+            sets += [_HEX[1:], *[_HEX] * (len(groups[k]) - 1)]
+        flat = _shuffle(flat, sets, tweak + value.translate(str.maketrans(_HEX[1:], "1" * 15)).encode()) if flat else flat
+        for k in heads:
+            groups[k], at = flat[at : at + len(groups[k])], at + len(groups[k])
+        return ":".join(groups)
     if kind == "ssn":
         return _shuffle(value, [_DIGITS] * len(value), tweak)
     if kind == "email":
@@ -206,12 +301,19 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
 def dressed(kind: str, original: str, made: str) -> str:
     """The surrogate in the format of the occurrence: its separators and its case."""
     if kind in ("card", "ssn", "phone"):
-        digits = iter(made)
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        country = max(0, sum(c.isdigit() for c in original) - len(made))  # digits before the number itself stay
+        digits = iter("".join(c for c in original if c.isdigit())[:country] + made)
+        return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)
+    if kind == "iban":
+        chars = iter(made)
+        return "".join(next(chars) if c.isalnum() else c for c in original) + "".join(chars)
+    if kind == "ipv6":
+        return made.upper() if original.upper() == original and original.lower() != original else made
     if kind.startswith("name-"):
         return made.upper() if original.isupper() and len(original) > 1 else made[0].upper() + made[1:]
     if kind == "email":
-        return "".join(m.upper() if o.isupper() else m for o, m in zip(original, made, strict=True))
+        more = len(made) - len(original)
+        return made[:more] + "".join(m.upper() if o.isupper() else m for o, m in zip(original, made[more:], strict=True))
     return made
 
 
@@ -236,7 +338,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return run
 
-    return map_batches(docs.select(text), make, struct(("kind", T.StringType()), ("value", T.StringType()))).distinct()
+    return map_batches(docs.select(F.col(f"`{text}`")), make, struct(("kind", T.StringType()), ("value", T.StringType()))).distinct()
 
 
 def _drawn(pending: DataFrame, attempt: int, key: str) -> DataFrame:
@@ -246,13 +348,29 @@ def _drawn(pending: DataFrame, attempt: int, key: str) -> DataFrame:
     return map_batches(pending.select("kind", "value"), make, struct(("kind", T.StringType()), ("value", T.StringType()), ("attempt", T.IntegerType()), ("surrogate", T.StringType())))
 
 
-def assign(found: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's setting, else one drawn at random for this application."""
+    sc = spark.sparkContext
+    given = spark.conf.get(KEY_SETTING, None)
+    if given:
+        return given
+    if not hasattr(sc, "_runscope_surrogate_key"):
+        sc._runscope_surrogate_key = secrets.token_hex(32)
+    return sc._runscope_surrogate_key
+
+
+def assign(found: DataFrame, key: str) -> DataFrame:
     """(kind, value, attempt, surrogate): no surrogate twice within a kind, none that is a value of the corpus.
 
-    Rounds of attempts over what is still open; almost all settle in the first.
+    Rounds of attempts over what is still open; almost all settle in the first.  From
+    PLAIN on each round draws from ten times as many strings or more, while the values
+    stay as many as they are, so the open ones dwindle to none.  Only addresses of
+    networks cannot grow; a corpus with nearly all of them raises after LAST rounds.
     """
     settled, pending, attempt = None, found, 0
     while True:
+        if attempt > LAST:
+            raise ValueError("no free surrogates are left")
         drawn = _drawn(pending, attempt, key)
         taken = found.select("kind", F.col("value").alias("surrogate"))
         if settled is not None:
@@ -268,18 +386,21 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
         attempt += 1
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, redrawn: int = REDRAWN) -> DataFrame:
-    """``docs`` with surrogates in the column ``text``, and the kinds replaced in ``pii_kinds`` (in order of place).
+def pseudonymize(docs: DataFrame, text: str = "text", key: str | None = None, redrawn: int = REDRAWN, kinds: str = "pii_kinds") -> DataFrame:
+    """``docs`` with surrogates in the column ``text``, and the kinds replaced in the column ``kinds`` (in order of place).
 
     A null text stays null and an empty one empty, both without kinds; a text
     without an entity is unchanged; repeated rows get the same text; an empty table
-    gives no row; other columns are kept, one named ``pii_kinds`` is replaced.
+    gives no row; other columns are kept, one named like ``kinds`` is replaced.  The
+    key is the session's (``session_key``) if none is given.
     """
+    key = key or session_key(docs.sparkSession)
     found = materialize(entities(docs, text), "entities")
     again = materialize(assign(found, key).where("attempt > 0").select("kind", "value", "attempt"), "redrawn")
-    keep = [c for c in docs.columns if c != "pii_kinds"]
+    keep = [c for c in docs.columns if c != kinds]
+    own_hash, again_name = fresh(keep, "own", "again")
     at = keep.index(text)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("pii_kinds", T.ArrayType(T.StringType()))])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(kinds, T.ArrayType(T.StringType()))])
     if again.count() <= redrawn:
         shared = {(r["kind"], r["value"]): r["attempt"] for r in again.collect()}
         source = docs.select(*[F.col(f"`{c}`") for c in keep])
@@ -294,9 +415,9 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, redrawn: i
 
             return run
 
-        used = map_batches(docs.select(own(text), text), list_entities, struct(("__own", T.StringType()), ("kind", T.StringType()), ("value", T.StringType()))).distinct()
-        by_text = used.join(again, ["kind", "value"]).groupBy("__own").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__again"))
-        source = docs.select(*[F.col(f"`{c}`") for c in keep], own(text).alias("__own")).join(by_text, "__own", "left").drop("__own")
+        used = map_batches(docs.select(own(text), F.col(f"`{text}`")), list_entities, struct((own_hash, T.StringType()), ("kind", T.StringType()), ("value", T.StringType()))).distinct()
+        by_text = used.join(again, ["kind", "value"]).groupBy(own_hash).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(again_name))
+        source = docs.select(*[F.col(f"`{c}`") for c in keep], own(text).alias(own_hash)).join(by_text, own_hash, "left").select(*[F.col(f"`{c}`") for c in keep], again_name)
 
     def make():
         def run(batch: pa.RecordBatch):

@@ -1,10 +1,14 @@
 import itertools
 import random
+import re
+import string
+import time
 
 import pytest
 
 from runscope.llm import pii
 
+KEY = "a key of tests"
 SCHEMA = "doc_id long, text string, kind string, value string, pii_kinds string"
 TEXTS = [
     None, "", "nothing here, 12 and 3.", "Write to Ada.L@mail3.example.com or ada.l@MAIL3.example.com.", "call +1 (616) 555-1165 or (212) 555-0199", "from 14.203.211.238, and 14.203.211.238.",
@@ -17,7 +21,7 @@ def test_permutation_is_one():
     for size in (1, 2, 3, 10, 26, 257, 1000):
         assert sorted(pii.permute(x, size, b"k") for x in range(size)) == list(range(size))
     for kind, values in (("ssn", ["000000001", "123456789"]), ("email", ["".join(p) + "@x.com" for p in itertools.product("abc", repeat=3)]), ("card", ["4111111111111111", "4111111111111112"])):
-        assert len({pii.surrogate(kind, v) for v in values}) == len(values)
+        assert len({pii.surrogate(kind, v, 0, KEY) for v in values}) == len(values)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -25,16 +29,16 @@ def test_formats_stay(seed):
     r = random.Random(seed)
     for _ in range(200):
         ip = ".".join(str(r.randint(1, 255)) for _ in range(4))
-        assert all(0 <= int(x) <= 255 for x in pii.surrogate("ipv4", ip).split("."))
+        assert all(0 <= int(x) <= 255 for x in pii.surrogate("ipv4", ip, 0, KEY).split("."))
         body = "4" + "".join(r.choice("0123456789") for _ in range(14))
         valid = body + str(pii._luhn(body))
-        made = pii.surrogate("card", valid)
+        made = pii.surrogate("card", valid, 0, KEY)
         assert len(made) == 16 and made[0] == "4" and int(made[-1]) == pii._luhn(made[:-1])
         other = body + str((int(valid[-1]) + 1) % 10)
-        made = pii.surrogate("card", other)
+        made = pii.surrogate("card", other, 0, KEY)
         assert int(made[-1]) != pii._luhn(made[:-1])
         mail = "".join(r.choice("abcz") for _ in range(5)) + ".42@mail3.example.com"
-        made = pii.surrogate("email", mail)
+        made = pii.surrogate("email", mail, 0, KEY)
         assert [c.isalpha() for c in made] == [c.isalpha() for c in mail] and made.endswith(".com") and made != mail
 
 
@@ -65,7 +69,7 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     r = random.Random(1)
     rows = sorted({("ssn", f"{r.randrange(10**9):09d}") for _ in range(300)} | {("name-f-latin", f"name{k}") for k in range(3000)})
     found = spark.createDataFrame(rows, "kind string, value string")
-    got = pii.assign(found).collect()
+    got = pii.assign(found, KEY).collect()
     assert sorted((x["kind"], x["value"]) for x in got) == rows
     assert len({(x["kind"], x["surrogate"]) for x in got}) == len(rows)
     assert not {(x["kind"], x["surrogate"]) for x in got} & set(rows)
@@ -73,8 +77,8 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
 
 
 def test_more_names_than_short_surrogates(spark):
-    assert len({pii.surrogate("name-f-greek", f"n{k}", 4) for k in range(60_000)}) > 59_000  # 38,808 at most with two or three syllables
-    first, later = (pii.surrogate("name-m-latin", "john", a) for a in (0, 5))
+    assert len({pii.surrogate("name-f-greek", f"n{k}", 4, KEY) for k in range(60_000)}) > 59_000  # 38,808 at most with two or three syllables
+    first, later = (pii.surrogate("name-m-latin", "john", a, KEY) for a in (0, 5))
     assert len(later) > len(first)
 
 
@@ -84,8 +88,78 @@ def test_later_mentions_of_names_are_replaced():
     assert [(text[a:b], kind) for a, b, kind, _ in found] == [
         ("Smith", "name-s-latin"), ("John", "name-m-latin"), ("Smith", "name-s-latin"), ("Smith", "name-s-latin"), ("JOHN", "name-m-latin"), ("John", "name-m-latin"), ("Smith", "name-s-latin"),
     ]
-    made, _ = pii.replace(text, {}, pii.KEY)
-    smith = pii.dressed("name-s-latin", "Smith", pii.surrogate("name-s-latin", "smith"))
+    made, _ = pii.replace(text, {}, KEY)
+    smith = pii.dressed("name-s-latin", "Smith", pii.surrogate("name-s-latin", "smith", 0, KEY))
     assert made.count(smith) == 4 and "John" not in made and "JOHN" not in made and "Smith " not in made and "Smithson" in made
     assert pii.detect("Smith and John met.") == []
     assert [v for *_, v in pii.detect("Mrs. Anna-Maria Smith's hat; Anna-Maria saw Smith.")] == ["anna-maria", "smith", "anna-maria", "smith"]
+
+
+def planted(r):
+    """(value as written, kind): entities made by other means than the detector's."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    body = r.choice(["4" + digits(14), "51" + digits(13), "37" + digits(12)])
+    card = next(body + str(d) for d in range(10) if sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(body + str(d)))) % 10 == 0)
+    account = "DE00" + digits(18)
+    iban = next(f"DE{k:02d}{account[4:]}" for k in range(2, 99) if int(account[4:] + "1314" + f"{k:02d}") % 97 == 1)
+    return r.choice([
+        (f"{r.choice('abcd')}.{hexes(6)}@mail{digits(1)}.example.com", "email"), (".".join(str(r.randint(1, 223)) for _ in range(4)), "ipv4"), (card, "card"), (" ".join(card[k : k + 4] for k in range(0, 16, 4)), "card") if len(card) == 16 else (card, "card"),
+        (f"+1 ({digits(3)}) 555-{digits(4)}", "phone"), (f"({digits(3)}) 555-{digits(4)}", "phone"), (f"{digits(3)}-555-{digits(4)}", "phone"), (iban, "iban"), (f"2001:db8:{hexes(4)}::{hexes(4)}", "ipv6"), (f"{digits(3)}-{digits(2)}-{digits(4)}", "ssn"),
+        (f"AKIA{''.join(r.choice('ABCDEFGH234567') for _ in range(16))}", "credential"),
+    ])
+
+
+def test_what_is_detected_is_what_was_planted():
+    r = random.Random(12)
+    filler = ["words", "and", "12", "3.", "v2.0.1", "10:30:45", "2024-01-02", "a@b", "x::y", "#55", "9807915762804490", "1700000000", "(see)", "std::vector", "40%", "AB12", "key"]
+    for _ in range(400):
+        want, text = [], ""
+        for _ in range(r.randint(0, 6)):
+            text += " ".join(r.choice(filler) for _ in range(r.randint(1, 6))) + " , "
+            value, kind = planted(r)
+            want.append((len(text), len(text) + len(value), kind))
+            text += value + r.choice([" ", ", ", ".\n", ")"])
+        text += " ".join(r.choice(filler) for _ in range(4))
+        assert [e[:3] for e in pii.detect(text)] == want, text
+
+
+def test_one_number_in_several_formats_is_one_person():
+    text = "Dr. Ann Lee: 415-555-0132, (415) 555-0132, +1 415 555 0132, tel: 4155550132. Prof. Lee said so to Ann; DE89 3704 0044 0532 0130 00 or DE89370400440532013000."
+    made, kinds = pii.replace(text, {}, KEY)
+    assert kinds.count("phone") == 4 and kinds.count("iban") == 2 and kinds.count("name-n-latin") == 2 and kinds.count("name-s-latin") == 2
+    numbers = ["".join(c for c in m if c.isdigit())[-10:] for m in re.split(r"[:,;] |\. ", made) if "555" not in m and sum(c.isdigit() for c in m) in (10, 11)]
+    assert len(numbers) == 4 and len(set(numbers)) == 1 and "Ann" not in made and "Lee" not in made
+    ibans = [m.replace(" ", "") for m in re.findall(r"DE\d\d[ \d]+", made)]
+    assert len(set(ibans)) == 1 and int(ibans[0][4:] + "1314" + ibans[0][2:4]) % 97 == 1
+    assert "tel: 4155550132" not in made and "+1 " in made
+
+
+def test_drawing_ends_where_a_format_has_no_room(spark):
+    rows = [("email", f"{a}@{b}.co") for a in string.ascii_lowercase for b in string.ascii_lowercase] + [("phone", f"{k:02d}5551234"[:4]) for k in range(100)]
+    got = pii.assign(spark.createDataFrame(sorted(set(rows)), "kind string, value string"), KEY).collect()
+    assert sorted((x["kind"], x["value"]) for x in got) == sorted(set(rows))
+    assert len({(x["kind"], x["surrogate"]) for x in got}) == len(set(rows)) and not {(x["kind"], x["surrogate"]) for x in got} & set(rows)
+    assert {x["attempt"] for x in got if x["kind"] == "email"} == {pii.PLAIN}  # all strings of the format are values
+    for kind, value, written in (("email", "a@b.co", "A@b.co"), ("phone", "2125550100", "(212) 555-0100"), ("card", "4111111111111111", "4111 1111 1111 1111"), ("ssn", "123456789", "123-45-6789"), ("iban", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"), ("secret", "abcdef123", "abcdef123")):
+        grown = [pii.surrogate(kind, value, k, KEY) for k in range(pii.PLAIN - 1, pii.PLAIN + 4)]
+        assert [len(g) - len(value) for g in grown] == [0, 1, 2, 3, 4]
+        assert len(pii.dressed(kind, written, grown[3])) == len(written) + 3
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 1_000_000 + " @ " + "b" * 10, "a@" * 200_000, "a." * 300_000 + "@x", "x@" + "a." * 300_000 + "1", "1" * 1_000_000, "+1" * 300_000, "0:" * 300_000, "sk-" * 300_000, "AB12" * 250_000, "Mr. " * 200_000):
+        began = time.perf_counter()
+        pii.detect(text)
+        assert time.perf_counter() - began < 5, text[:20]
+
+
+def test_the_key_is_the_sessions(spark):
+    docs = spark.createDataFrame([(1, "write to ada@mail3.example.com")], "doc_id long, text string")
+    one = pii.pseudonymize(docs).first()["text"]
+    assert pii.pseudonymize(docs).first()["text"] == one == pii.pseudonymize(docs, key=pii.session_key(spark)).first()["text"]
+    spark.conf.set(pii.KEY_SETTING, "configured")
+    try:
+        assert pii.pseudonymize(docs).first()["text"] == pii.pseudonymize(docs, key="configured").first()["text"] != one
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
