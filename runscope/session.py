@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,19 +34,47 @@ def ship_package(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named by ``spark.checkpoint.dir``.  Where that is unset (tests
-    on one machine) a temporary folder is made and remembered as the checkpoint
-    folder of the context.
+    It is the one named by ``spark.checkpoint.dir``, or the context's checkpoint
+    folder.  Where neither is set a temporary folder takes its place on one machine
+    (a local master); on a cluster that raises, as executors would not see it.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="runscope-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
     return root.rstrip("/")
 
 
+def _written(spark: SparkSession) -> dict[str, object]:
+    """The tables of this context that nothing has removed yet, by path; they go when the driver ends."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_runscope_written"):
+        sc._runscope_written = {}
+        atexit.register(_remove_all, sc._runscope_written)
+    return sc._runscope_written
+
+
+def _remove_all(written: dict[str, object]) -> None:
+    for path in list(written):
+        remove = written.pop(path)
+        with contextlib.suppress(Exception):  # the virtual machine may be gone before the driver
+            remove()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver ends, or by ``scratch``."""
+    folder = f"{work_dir(spark)}/runscope-{uuid.uuid4().hex[:12]}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    conf = spark._jsc.hadoopConfiguration()
+    path = f"{folder}/{name}"
+    _written(spark)[path] = lambda: target.getFileSystem(conf).delete(target, True)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet in the shared folder and reread it.
 
@@ -50,10 +82,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the files instead of recomputing what stands above.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/runscope-{uuid.uuid4().hex[:12]}/{name}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Removes at its end what was written within it, but for the tables that data frames handed to the function it gives read."""
+    folder = re.compile(r"/(runscope-[0-9a-f]{12})/")
+    before, kept = set(_written(spark)), set()
+    try:
+        yield lambda df: kept.update(folder.search(f)[1] for f in df.inputFiles() if folder.search(f))
+    finally:
+        written = _written(spark)
+        for path in [p for p in written if p not in before and folder.search(p)[1] not in kept]:
+            written.pop(path)()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet") if "://" not in sf_dir else f"{sf_dir}/{name}.parquet")
