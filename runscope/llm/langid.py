@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runscope.llm.batches import map_batches, struct
+from runscope.llm.batches import fresh, map_batches, struct
 
 #: N-grams of a profile; longest n-gram; documents of a language that a profile is learned from, at most about so many.
 PROFILE, LONGEST, LEARN_PER_LANG = 300, 3, 1000
@@ -126,15 +126,15 @@ def learn(labelled: DataFrame, size: int = PROFILE, per_lang: int = LEARN_PER_LA
     return profiles
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", keep: list[str] | None = None, ranked_as: str | None = None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) to the columns ``keep`` (all by default), and the number of n-grams ranked as ``ranked_as``.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", keep: list[str] | None = None, ranked_as: str | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (0 to 1; or other ``names``) to the columns ``keep`` (all by default), and the number of n-grams ranked as ``ranked_as``.
 
     A null text, a text without a letter, and any text where no profile was
     learned are ``und`` with score 0.  Every row is judged by its whole text
     alone, so repeated rows agree; columns named like the new ones are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([T.StructField(ranked_as, T.LongType())] if ranked_as else []))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())] + ([T.StructField(ranked_as, T.LongType())] if ranked_as else []))
 
     def make():
         judge = Profiles(profiles)
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
 
         return run
 
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")), make, schema)
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(fresh(keep, "text")[0])), make, schema)
 
 
 def trained_on(docs: DataFrame) -> dict[str, list[int]]:
@@ -153,8 +153,8 @@ def trained_on(docs: DataFrame) -> dict[str, list[int]]:
     return learn(docs.where(remainder(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
 
 
-#: Labelled texts of a length from which a bound is taken, and the part of their lowest score that it is.
-BOUND_ROWS, BOUND_SHARE = 30, 0.95
+#: Labelled texts of a length from which a bound is taken; the parts of their lowest and of their median score that it may be.
+BOUND_ROWS, LOWEST_SHARE, MEDIAN_SHARE = 30, 0.95, 0.5
 
 
 def length_class(n: Column) -> Column:
@@ -163,10 +163,33 @@ def length_class(n: Column) -> Column:
 
 
 def least_scores(docs: DataFrame, profiles: dict[str, list[int]], per_lang: int = LEARN_PER_LANG) -> dict[int, float]:
-    """For each length class just under the lowest score of a learned text that gets its own language; none where few are of that length."""
+    """The least score of a text of its language, for each length class; none where few labelled texts are of that length.
+
+    It is just under the lowest score of a labelled text that gets its own language,
+    and no more than half of their median: where few labelled texts are alike, another
+    one of the language may be quite a bit below them all.
+    """
     sample = _sample(docs.where(remainder(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"), per_lang)
     if sample is None:
         return {}
     right = identify(sample, profiles, ranked_as="n").where("lang = lang_pred")
-    found = right.groupBy(length_class(F.col("n")).alias("k")).agg(F.min("score").alias("least"), F.count("*").alias("rows")).collect()  # nine rows at most
-    return {r["k"]: r["least"] * BOUND_SHARE for r in found if r["rows"] >= BOUND_ROWS}
+    found = right.groupBy(length_class(F.col("n")).alias("k")).agg(F.min("score").alias("least"), F.percentile_approx("score", 0.5).alias("middle"), F.count("*").alias("rows")).collect()  # nine rows at most
+    return {r["k"]: min(r["least"] * LOWEST_SHARE, r["middle"] * MEDIAN_SHARE) for r in found if r["rows"] >= BOUND_ROWS}
+
+
+def of_language(docs: DataFrame, profiles: dict[str, list[int]], least: dict[int, float], floor: float, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that are about as like a language as the labelled ones of their length, with the language found as ``lang``.
+
+    ``least`` holds the bound of each length class; a length without one takes the
+    loosest of the others, a text shorter than all of them ``floor``, which every text
+    must reach.  Null texts and texts without a letter go; repeated rows are judged
+    alike; all other columns stay as they are, whatever their names.
+    """
+    pred, like, size = fresh(docs.columns, "lang_pred", "score", "ranked")
+    found = identify(docs, profiles, text, ranked_as=size, names=(pred, like))
+    k = length_class(F.col(size))
+    bound = F.when(k > min(least), F.lit(max(min(least.values()), floor))).otherwise(floor) if least else F.lit(floor)
+    for c, score in least.items():
+        bound = F.when(k == c, F.lit(max(score, floor))).otherwise(bound)
+    kept = found.where((F.col(pred) != UNDETERMINED) & (F.col(like) >= bound))
+    return kept.select(*[F.col(pred).alias(c) if c == lang else F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runscope.llm.batches import map_batches, struct, texts_of
+from runscope.llm.batches import fresh, map_batches, struct, texts_of
 
 SPACE = "▁"
 #: Parts remembered by a worker, and the longest part worth it.
@@ -203,24 +203,24 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None, decode: bool = True) -> DataFrame:
-    """Adds ``piece_ids`` and, if asked for, ``decoded`` to the columns ``keep`` (all others by default).
+def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None, decode: bool = True, names: tuple[str, str] = ("piece_ids", "decoded")) -> DataFrame:
+    """Adds ``piece_ids`` and, if asked for, ``decoded`` (or other ``names``) to the columns ``keep`` (all others by default).
 
     Every whole text is encoded as the library's ``encode`` does, without begin
     or end ids, and decoded with its ``decode``.  A null text is an empty text:
     no ids, empty decoded text.  Repeated rows give repeated rows; an empty table
     an empty one; columns of ``docs`` named like the new ones are replaced.
     """
-    new = ["piece_ids", "decoded"][: 1 + decode]
+    new = list(names)[: 1 + decode]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), *[T.StructField("decoded", T.StringType())] * decode])
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(source_name := fresh(keep, "text")[0]))
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(new[0], T.ArrayType(T.IntegerType(), False)), *[T.StructField(n, T.StringType()) for n in new[1:]]])
 
     def make():
         enc = encoder(model)
 
         def run(batch: pa.RecordBatch):
-            raw = [enc.encode(t) for t in texts_of(batch, "__text")]
+            raw = [enc.encode(t) for t in texts_of(batch, source_name)]
             flat = np.frombuffer(b"".join(raw), "<i4")
             ends = np.cumsum([0, *[len(r) // 4 for r in raw]], dtype=np.int64)
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)).cast(pa.list_(pa.field("element", pa.int32(), False)))

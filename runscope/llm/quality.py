@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runscope.llm.batches import map_batches
+from runscope.llm.batches import fresh, map_batches
 from runscope.llm.langid import remainder
 
 #: Labelled rows that the weights are learned from, at most about so many; partners of each in pairs; the score that decides.
@@ -87,7 +87,7 @@ def _featured(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     def make():
         return lambda batch: [*[batch.column(k) for k in range(len(keep))], [features(t) for t in batch.column(len(keep)).to_pylist()]]
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), make, schema)
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(fresh(keep, "text")[0])), make, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Ranking:
@@ -121,7 +121,7 @@ def score(docs: DataFrame, ranking: Ranking, text: str = "text", keep: list[str]
 
         return run
 
-    scored = map_batches(docs.select(*keep, F.col(text).alias("__text")), make, schema)
+    scored = map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(fresh(keep, "text")[0])), make, schema)
     return scored.withColumn("predicted", (F.col("score") >= DECIDES).cast("int"))
 
 
