@@ -78,17 +78,46 @@ def build_packets(ev: DataFrame, signals: DataFrame, sessions: DataFrame, goals:
 
 
 def apply_trust_mode(packets: DataFrame, mode: str, workspace_prefix: str = "/") -> DataFrame:
-    """local: as is; trusted_remote: redacted summaries, no absolute path; metadata_only: no text of prompts or outputs at all."""
+    """What of a packet leaves the machine.
+
+    local: as it is.  trusted_remote: every text redacted, no absolute path in a column
+    or a text.  metadata_only: no text at all that stems from prompts, commands or
+    outputs; kinds, counts, times, states, ids and file names stay.
+    """
     if mode == "local":
         return packets
     if mode not in ("trusted_remote", "metadata_only"):
         raise ValueError(f"unknown trust mode {mode}")
     bare = mode == "metadata_only"
-    safe = lambda c: F.lit("") if bare else R.redact(c)
+    bared = lambda c: F.regexp_replace(c, r"(^|[\s\"'=(:,])(?:/[^\s\"'()/,;:]+)+/([^\s\"'()/,;:]*)", "$1$2")  # noqa: E731 - an absolute path as its last part
+    safe = lambda c: F.when(c.isNotNull(), F.lit("")) if bare else bared(R.redact(c))
     relative = lambda p: F.when(F.startswith(p, F.lit("/")), X.file_name(p)).otherwise(p)
+    paths = lambda c: F.transform(c, relative)
+    texts = lambda c: F.array().cast("array<string>") if bare else F.transform(c, safe)
     out = packets.withColumn("events", F.transform("events", lambda e: e.withField("summary", safe(e["summary"])).withField("path", relative(e["path"]))))
+    out = out.withColumn("signals", F.transform("signals", lambda s: s.withField("summary", safe(s["summary"])).withField("payload", F.when(s["source"] == "system", s["payload"]).otherwise(safe(s["payload"])))))
     out = out.withColumn("session", F.col("session").withField("workspace", X.file_name(F.col("session.workspace"))))
-    return out.withColumn("goal", F.col("goal").withField("text", safe(F.col("goal.text")))) if bare else out
+    goal = F.col("goal").withField("text", safe(F.col("goal.text"))).withField("acceptance_criteria", texts(F.col("goal.acceptance_criteria")))
+    goal = goal.withField("expected_paths", paths(F.col("goal.expected_paths"))).withField("forbidden_paths", paths(F.col("goal.forbidden_paths")))
+    out = out.withColumn("goal", goal)
+    window = F.col("window")
+    for c in ("from_cursor", "to_cursor"):
+        window = window.withField(c, F.concat(X.file_name(F.regexp_extract(window[c], r"^(.*):(\d+:[^:]*)$", 1)), F.lit(":"), F.regexp_extract(window[c], r"^(.*):(\d+:[^:]*)$", 2)))
+    out = out.withColumn("window", window)
+    kind = packets.schema["previous_assessment"].dataType
+    if isinstance(kind, T.StructType):
+        previous = F.col("previous_assessment")
+        for f in kind.fields:
+            if f.name in ("current_action", "recommended_human_action", "escalation_reason", "summary"):
+                previous = previous.withField(f.name, safe(F.col(f"previous_assessment.{f.name}")))
+            elif f.name == "concerns":
+                previous = previous.withField("concerns", F.transform(F.col("previous_assessment.concerns"), lambda c: c.withField("explanation", safe(c["explanation"]))))
+            elif f.name == "evidence":
+                previous = previous.withField("evidence", F.transform(F.col("previous_assessment.evidence"), lambda e: e.withField("claim", safe(e["claim"]))))
+        out = out.withColumn("previous_assessment", F.when(F.col("previous_assessment").isNotNull(), previous))
+    elif isinstance(kind, T.StringType):
+        out = out.withColumn("previous_assessment", safe(F.col("previous_assessment")))
+    return out
 
 
 def packet_json(packets: DataFrame) -> DataFrame:

@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 LABELS = frozenset(("metric", "value", "day", "kind", "source_type", "assessor", "call_status", "status", "bucket", "source"))
 
 
-def _one(rows: DataFrame, metric: str, value) -> DataFrame:
-    return rows.agg(value.cast("double").alias("value")).select(F.lit(metric).alias("metric"), "value")
+def _unpivoted(rows: DataFrame, **values) -> DataFrame:
+    """All metrics of one input by one aggregation."""
+    held = rows.agg(*[v.cast("double").alias(n) for n, v in values.items()])
+    return held.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in values])))
 
 
 def counters(ev: DataFrame, quarantined: DataFrame, calls: DataFrame, escalated: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """(metric, value) of all counters."""
+    """(metric, value) of all counters; each input is scanned once."""
     parts = [
-        _one(ev, "sessions_observed", F.count_distinct("session_id")), _one(ev, "events_ingested", F.count("*")), _one(quarantined, "events_rejected", F.count("*")),
-        _one(ev, "unknown_event_types", F.count_distinct(F.when(F.col("kind") == "unknown", F.col("source_type")))), _one(calls, "model_calls", F.count("*")), _one(calls, "model_failures", F.count_if(F.col("call_status") != "ok")),
-        _one(escalated, "escalation_rate", F.avg(F.col("escalate").cast("double"))), _one(calls, "input_tokens_avg", F.avg("input_tokens")), _one(deliveries, "notifications_sent", F.count_if(F.col("status") == "sent")),
-        _one(deliveries, "notifications_failed", F.count_if(F.col("status").startswith("failed"))),
+        _unpivoted(ev, sessions_observed=F.count_distinct("session_id"), events_ingested=F.count("*"), unknown_event_types=F.count_distinct(F.when(F.col("kind") == "unknown", F.col("source_type")))),
+        _unpivoted(quarantined, events_rejected=F.count("*")),
+        _unpivoted(calls, model_calls=F.count("*"), model_failures=F.count_if(F.col("call_status") != "ok"), input_tokens_avg=F.avg("input_tokens")),
+        _unpivoted(escalated, escalation_rate=F.avg(F.col("escalate").cast("double"))),
+        _unpivoted(deliveries, notifications_sent=F.count_if(F.col("status") == "sent"), notifications_failed=F.count_if(F.col("status").startswith("failed"))),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MARKERS = ("file_changed",)
+#: A session without events for so long keeps no state.
+FORGET_MS = 7 * 24 * 3600 * 1000
 
 
 def _ms(t: datetime) -> int:
@@ -25,6 +27,13 @@ def _at(ms: int) -> datetime:
     return datetime.fromtimestamp(ms / 1000, timezone.utc)
 
 
+def _ends(row, state: bool = True) -> bool | None:
+    """Whether a row ends its session (True) or begins a turn (False); None for any other."""
+    if row["kind"] == "process_lifecycle" and (row["phase"] == "terminal_marker" or row["exit_code"] is not None):
+        return True
+    return False if row["kind"] == "turn_lifecycle" and row["phase"] == "turn_started" else None
+
+
 def _ordered(rows: Iterator) -> list:
     return sorted(rows, key=lambda r: (r["event_ts"], r["source_path"] or "", r["source_offset"] or 0))
 
@@ -39,10 +48,12 @@ class _Processor(StatefulProcessor):
     def _get(self, *default):
         return list(self.state.get()) if self.state.exists() else list(default)
 
-    def _timer(self, ms: int) -> None:
+    def _timer(self, ms: int | None) -> None:
+        """The one timer of a session; none for None."""
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        self.handle.registerTimer(ms)
+        if ms is not None:
+            self.handle.registerTimer(ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         return iter(())
@@ -52,7 +63,10 @@ class _Processor(StatefulProcessor):
 
 
 class Lifecycle(_Processor):
-    """State changes; a clean process exit ends a session once the grace period passes without a new turn."""
+    """State changes; a clean process exit ends a session once the grace period passes without a new turn.
+
+    A session without events for FORGET_MS keeps no state; if it goes on after that, it begins anew.
+    """
 
     SCHEMA = "state string, exit_code int, exit_ms long"
     OUTPUT = "session_id string, state string, at timestamp"
@@ -75,23 +89,30 @@ class Lifecycle(_Processor):
                     new = "terminal_completed"
                 elif code:
                     new = "terminal_failed"
-                else:
-                    self._timer(exit_ms + self.grace)
             if new != state:
                 state = new
                 out.append(Row(session_id=key[0], state=state, at=r["event_ts"]))
+            last = _ms(r["event_ts"])
         self.state.update((state, code, exit_ms))
+        pending = exit_ms is not None and not code and state not in ("terminal_completed", "terminal_failed")
+        self._timer(exit_ms + self.grace if pending else last + FORGET_MS)
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         state, code, exit_ms = self._get("unknown", None, None)
-        if exit_ms is not None and code == 0 and state not in ("terminal_completed", "terminal_failed"):
+        if exit_ms is not None and not code and state not in ("terminal_completed", "terminal_failed"):
             self.state.update(("terminal_completed", code, exit_ms))
+            self._timer(exit_ms + FORGET_MS)
             yield Row(session_id=key[0], state="terminal_completed", at=_at(exit_ms + self.grace))
+        else:
+            self.state.clear()
 
 
 class Stagnation(_Processor):
-    """A row whenever a session is without a marker for the limit, unless a command runs (until its maximum)."""
+    """A row whenever a session is without a marker for the limit, unless a command runs (until its maximum).
+
+    A session that has ended has no timer and no state; a new turn begins it again.
+    """
 
     SCHEMA = "marker_ms long, open_ms long"
     OUTPUT = "session_id string, last_progress timestamp, at timestamp"
@@ -101,25 +122,38 @@ class Stagnation(_Processor):
 
     def handleInputRows(self, key, rows, timerValues):
         marker, open_ = self._get(None, None)
+        ended = False
         for r in _ordered(rows):
             at = _ms(r["event_ts"])
+            ended = ended if _ends(r) is None else _ends(r)
+            if ended:
+                marker = open_ = None
+                continue
             if marker is None or r["kind"] in self.markers:
                 marker = at
             if r["kind"] == "command":
                 open_ = at
             elif r["kind"] == "command_result":
                 open_ = None
-        self.state.update((marker, open_))
-        self._timer(max(marker + self.limit, open_ + self.longest if open_ is not None else 0))
+        if ended:
+            self.state.clear()
+            self._timer(None)
+        else:
+            self.state.update((marker, open_))
+            self._timer(max(marker + self.limit, open_ + self.longest if open_ is not None else 0))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         marker, _ = self._get(None, None)
-        yield Row(session_id=key[0], last_progress=_at(marker), at=_at(expiredTimerInfo.getExpiryTimeInMs()))
+        if marker is not None:
+            yield Row(session_id=key[0], last_progress=_at(marker), at=_at(expiredTimerInfo.getExpiryTimeInMs()))
 
 
 class Repetition(StatefulProcessor):
-    """A row when a command is run, or an error seen, for the n-th time in a row."""
+    """A row when a command is run, or an error seen, for the n-th time in a row.
+
+    Counts go when the session has ended or had no event for FORGET_MS.
+    """
 
     OUTPUT = "session_id string, kind string, subject string, n long, at timestamp"
 
@@ -127,13 +161,16 @@ class Repetition(StatefulProcessor):
         self.n = n
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.epoch = handle.getValueState("epoch", "epoch long")
         self.counts = handle.getMapState("counts", "subject string", "n long, outcome int, epoch long")
 
     def handleInputRows(self, key, rows, timerValues):
         epoch = self.epoch.get()[0] if self.epoch.exists() else 0
+        ended, last = False, 0
         for r in _ordered(rows):
-            kind = r["kind"]
+            kind, last = r["kind"], _ms(r["event_ts"])
+            ended = ended if _ends(r) is None else _ends(r)
             if kind == "file_changed":
                 epoch += 1
             if kind == "command_result" and r["command_norm"] is not None:
@@ -149,8 +186,19 @@ class Repetition(StatefulProcessor):
             if n == self.n:
                 yield Row(session_id=key[0], kind=kind, subject=subject, n=n, at=r["event_ts"])
         self.epoch.update((epoch,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if ended:
+            self._forget()
+        else:
+            self.handle.registerTimer(last + FORGET_MS)
+
+    def _forget(self) -> None:
+        self.epoch.clear()
+        self.counts.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._forget()
         return iter(())
 
     def close(self) -> None:
@@ -158,37 +206,52 @@ class Repetition(StatefulProcessor):
 
 
 class Cadence(_Processor):
-    """Assessment triggers, one for a session and micro-batch at most: a first event, a change, a marker, or the time."""
+    """Assessment triggers, one for a session and micro-batch at most: a first event, a change, a marker, or the time.
 
-    SCHEMA = "assessed_ms long"
-    OUTPUT = "session_id string, reason string, at timestamp"
+    Nothing is triggered by time once a session has ended, and a session without
+    events for ``quiet`` cadences is left alone until its next event.
+    """
 
-    def __init__(self, seconds: int = 600, markers: tuple = MARKERS):
-        self.seconds, self.markers = seconds * 1000, markers
+    SCHEMA = "assessed_ms long, event_ms long"
+    OUTPUT = "session_id string, reason string, at timestamp"
 
-    def _trigger(self, key, reason: str, ms: int):
-        self.state.update((ms,))
-        self._timer(ms + self.seconds)
-        return Row(session_id=key[0], reason=reason, at=_at(ms))
+    def __init__(self, seconds: int = 600, markers: tuple = MARKERS, quiet: int = 6):
+        self.seconds, self.markers, self.quiet = seconds * 1000, markers, quiet
 
     def handleInputRows(self, key, rows, timerValues):
-        (last,) = self._get(None)
-        found = None
+        last, newest = self._get(None, None)
+        found, ended = None, False
         for r in _ordered(rows):
             ms = _ms(r["event_ts"])
-            if last is None:
+            newest = ms if newest is None else max(ms, newest)
+            ended = ended if _ends(r) is None else _ends(r)
+            if last is None and (found is None or found[0] == "first"):
                 found = found or ("first", ms)
-            elif r["kind"] in ("turn_lifecycle", "process_lifecycle"):
+            if r["kind"] in ("turn_lifecycle", "process_lifecycle") and last is not None:
                 found = ("lifecycle", ms)
-            elif r["kind"] in self.markers and (found is None or found[0] != "lifecycle"):
+            elif r["kind"] in self.markers and last is not None and (found is None or found[0] != "lifecycle"):
                 found = ("marker", ms)
             elif found is None and ms - last >= self.seconds:
                 found = ("cadence", ms)
+        assessed = found[1] if found else last
+        if ended:
+            self.state.clear()
+            self._timer(None)
+        else:
+            self.state.update((assessed, newest))
+            self._timer(assessed + self.seconds)
         if found:
-            yield self._trigger(key, *found)
+            yield Row(session_id=key[0], reason=found[0], at=_at(found[1]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self._trigger(key, "cadence", expiredTimerInfo.getExpiryTimeInMs())
+        last, newest = self._get(None, None)
+        if last is None:
+            return
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        more = ms + self.seconds <= newest + self.quiet * self.seconds
+        self.state.update((ms, newest))
+        self._timer(ms + self.seconds if more else None)
+        yield Row(session_id=key[0], reason="cadence", at=_at(ms))
 
 
 def apply(ev: DataFrame, processor, watermark: str = "1 hour") -> DataFrame:

@@ -118,6 +118,21 @@ def test_seeded_secrets_do_not_survive(spark):
     assert one(spark, F.array_join(R.classes(F.col("t"), limit=10), ","), t="x" * 11) == "oversized_output"
 
 
+def test_leak_scan_of_many_seeds_finds_what_few_find(spark):
+    texts = [None, "", "abc", "has secret-17-value inside", "secret-3-valu", "xx zz9 and secret-60-value secret-61-value", "prefix of secre"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    many = spark.createDataFrame([(f"secret-{k}-value",) for k in range(80)] + [("zz9",), ("",)], "secret string")
+    got = sorted((r["k"], r["secret"]) for r in R.leak_scan(rows, "t", many).collect())
+    assert got == [(3, "secret-17-value"), (5, "secret-60-value"), (5, "secret-61-value"), (5, "zz9")]
+
+
+def test_a_key_without_its_end_is_redacted(spark):
+    text = "log\n-----BEGIN EC PRIVATE KEY-----\nMHcCAQEE\nabc"
+    assert one(spark, R.redact(F.col("t")), t=text) == "log\n[REDACTED:private_key]"
+    whole = text + "\n-----END EC PRIVATE KEY-----\nafter"
+    assert one(spark, R.redact(F.col("t")), t=whole) == "log\n[REDACTED:private_key]\nafter"
+
+
 def test_summaries_of_long_texts_without_spaces_are_full(spark):
     blob = '{"k":[' + "1,2,3," * 5000
     assert one(spark, R.safe_summary(F.col("t"), 4000), t=blob) == blob[:4000]
@@ -183,6 +198,23 @@ def test_trust_modes(spark):
         A.apply_trust_mode(p, "other")
 
 
+def test_trust_modes_hold_for_the_whole_packet(spark):
+    ev = table(spark, *[event(k, "command_result", command_norm="cat /home/ann/keys PASSWORD=hunter2", exit_code=1, path="/home/ann/x.py", source_path="/home/ann/logs/rollout-a.jsonl") for k in range(3)])
+    sig = G.make_signal(ev.where("source_offset = 2"), "other", F.lit("s"), F.array("event_id"), F.col("event_ts"), F.lit("repeated 3 times: cat /home/ann/keys PASSWORD=hunter2"))
+    sessions = spark.createDataFrame([("a", "active_turn", "/home/ann/proj", T0, None)], "session_id string, state string, workspace string, started_at timestamp, model string")
+    goals = spark.createDataFrame([("a", "fix /home/ann/proj/a.py", ["/home/ann/proj/src"], ["/home/ann/secrets"], ["run /home/ann/check.sh"])], "session_id string, goal_text string, expected_paths array<string>, forbidden_paths array<string>, acceptance_criteria array<string>")
+    previous = spark.createDataFrame([("a", ("looping", "reading /home/ann/keys", [("event", "1", "saw /home/ann/keys")], [("info", "loop", "cat /home/ann/keys", ["1"])]))], "session_id string, previous struct<status:string,current_action:string,evidence:array<struct<ref_type:string,ref_id:string,claim:string>>,concerns:array<struct<severity:string,kind:string,explanation:string,evidence_refs:array<string>>>>")
+    cursors = spark.createDataFrame([("a", 0)], "session_id string, source_offset long")
+    p = A.build_packets(ev, sig, sessions, goals, previous, cursors)
+    assert "hunter2" in str(p.collect()) and "/home/ann" in str(p.collect())
+    remote = A.apply_trust_mode(p, "trusted_remote")
+    assert remote.schema == p.schema or [f.name for f in remote.schema] == [f.name for f in p.schema]
+    text = str(remote.collect())
+    assert "/home" not in text and "hunter2" not in text and "keys" in text and "fix a.py" in text
+    bare = str(A.apply_trust_mode(p, "metadata_only").collect())
+    assert not any(x in bare for x in ("/home", "hunter2", "keys", "cat ", "fix", "check")) and "looping" in bare and "rollout-a.jsonl" in bare
+
+
 def test_assessor_plug_in_and_validation(spark):
     def fixed(packet):
         ids = [e["id"] for e in packet["events"]]

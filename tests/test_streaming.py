@@ -116,3 +116,27 @@ def test_dedupe_stream(few, tmp_path):
     rows = [event(0, "message"), event(1, "message")]
     got = stream(few, tmp_path, "dedupe", lambda s: P.dedupe_stream(s).select("event_id"), [rows, rows, [event(2, "message"), event(0, "message")]])
     assert len(got) == 3
+
+
+def test_streams_end_with_their_sessions(few, tmp_path):
+    rows = [event(0, "turn_lifecycle", phase="turn_started"), event(1, "file_changed"), event(2, "process_lifecycle", exit_code=0, phase="process_exit"), event(0, "turn_lifecycle", "b", phase="turn_started")]
+    later = [[event(m, "message", f"z{m}")] for m in (200, 400, 600)]
+    got = stream(few, tmp_path, "cad", lambda s: P.apply(s, P.Cadence(600, quiet=3), "0 seconds"), [rows, *later])
+    by = lambda s: [(r["reason"], (r["at"] - T0).total_seconds() / 60) for r in sorted(got, key=lambda r: r["at"]) if r["session_id"] == s]
+    assert by("a") == [("first", 0)]  # ended: no cadence
+    assert by("b") == [("first", 0), ("cadence", 10), ("cadence", 20), ("cadence", 30)]  # without events: a few, not for ever
+    got = stream(few, tmp_path, "stall2", lambda s: P.apply(s, P.Stagnation(1500, 3600), "0 seconds"), [rows, *later])
+    assert {r["session_id"] for r in got} & {"a", "b"} == {"b"}
+
+
+def test_replay_of_two_hours_with_restarts_doubles_nothing(few, tmp_path):
+    rows = [event(m, kind, session, phase="turn_started" if kind == "turn_lifecycle" else None, command_norm="make", error_fp="e", exit_code=1 if kind == "command_result" else None)
+            for session in ("a", "b") for m in range(0, 120, 4) for kind in (("turn_lifecycle",) if m == 0 else ("command_result",) if m % 20 else ("file_changed",) if m % 40 else ("error",))]
+    rows.sort(key=lambda r: r[2])
+    tail = [[event(400, "message", "z")], [event(800, "message", "z")]]
+    for name, make in {"l": lambda: P.Lifecycle(300), "s": lambda: P.Stagnation(600, 900), "r": lambda: P.Repetition(3), "c": lambda: P.Cadence(600)}.items():
+        whole = stream(few, tmp_path, f"{name}1", lambda s, make=make: P.apply(s, make(), "0 seconds"), [rows, *tail])
+        parts = stream(few, tmp_path, f"{name}3", lambda s, make=make: P.apply(s, make(), "0 seconds"), [rows[:20], rows[20:41], rows[41:], *tail])
+        assert len(set(map(tuple, parts))) == len(parts)
+        if name in "lr":  # what does not hang on the cut of batches is the same
+            assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
