@@ -28,7 +28,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+    return F.when(F.contains(text, F.lit("<\\")), F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")).otherwise(text)
 
 
 def _role_out(role: Column) -> Column:
@@ -37,7 +37,8 @@ def _role_out(role: Column) -> Column:
 
 def _role_in(role: Column) -> Column:
     # double backslashes are taken from the left, so what is between them has only marks of a new line
-    return unescape(F.array_join(F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\"))
+    taken = unescape(F.array_join(F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\"))
+    return F.when(F.contains(role, F.lit("\\")), taken).otherwise(role)
 
 
 def render(role: Column, text: Column) -> Column:
@@ -77,7 +78,9 @@ def rendered_turns(rows: DataFrame) -> DataFrame:
     own = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     out = own.withColumn("r", F.col("role")).withColumn("t", F.col("text")).withColumn("level", F.lit(0))
     for _ in range(LEVELS):
-        conflict = ~_returns(render(F.col("r"), F.col("t")), F.col("role"), F.col("text"))
+        # every control string and every escape has one of these characters
+        may = F.contains("t", F.lit("<")) | F.contains("r", F.lit("<")) | F.contains("r", F.lit("\\")) | F.contains("r", F.lit("\n"))
+        conflict = F.when(may, ~_returns(render(F.col("r"), F.col("t")), F.col("role"), F.col("text"))).otherwise(F.lit(False))
         out = out.withColumn("conflict", conflict)
         deeper = lambda c, e: F.when(F.col("conflict"), e(F.col(c))).otherwise(F.col(c))
         out = out.select("conv_id", "turn", "role", "text", deeper("r", _role_out).alias("r"), deeper("t", escape).alias("t"), (F.col("level") + F.col("conflict").cast("int")).alias("level"))
@@ -117,11 +120,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     span is read within its turn's segment, which is found by its number.  ``turns``
     and ``loss`` are null where the text is not of the grammar.
     """
-    cut = formatted.select("conv_id", "formatted", "mask", segments(F.col("formatted")).alias("segments"))
+    cut = formatted.select("conv_id", "formatted", "mask", segments(F.col("formatted")).alias("segments"), parse(F.col("formatted")).alias("turns"))
     under = lambda m: F.substring(F.get("segments", m["turn"]), (m["begin"] - m["turn_begin"] - len(BEGIN) + 1).cast("int"), (m["end"] - m["begin"]).cast("int"))
-    parsed = parse(F.col("formatted"))
-    loss = F.when(parsed.isNotNull(), F.array_join(F.transform("mask", lambda m: unescape(under(m))), ""))
-    return cut.select("conv_id", parsed.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    loss = F.when(F.col("turns").isNotNull(), F.array_join(F.transform("mask", lambda m: unescape(under(m))), ""))
+    return cut.select("conv_id", "turns", loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def chat_files(rows: DataFrame) -> DataFrame:

@@ -132,6 +132,12 @@ BLOCKS = struct(
 TOKENS = struct(("shard", T.IntegerType()), ("offset", T.LongType()), ("doc_id", T.LongType()), ("ids", T.BinaryType()), ("wide", T.BooleanType()))
 
 
+def _hot_ids(rows: DataFrame, shards: int) -> list[int | None]:
+    """Ids with more rows than half a shard holds: fewer than two for each shard."""
+    total = rows.count()
+    return [r["doc_id"] for r in rows.groupBy("doc_id").count().where(F.col("count") * (2 * shards) > max(total, 2 * shards)).collect()]
+
+
 def tokenize_in_order(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]], end_id: int = 1, shards: int | None = None) -> DataFrame:
     """Range-partitions by ``doc_id`` and tokenizes: one row for each document with its place in its shard.
 
@@ -141,10 +147,16 @@ def tokenize_in_order(docs: DataFrame, encode: Callable[[], Callable[[str], byte
     same first PREFIX characters and more stay together.
     """
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # short texts are told apart by their row too: equal ones may be parted
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hot = _hot_ids(rows, shards)
+    # only ids with more rows than half a shard need more than themselves; short texts are told apart by their row too: equal ones may be parted
+    is_hot = F.lit(False)
+    if hot:
+        is_hot = F.coalesce(F.col("doc_id").isin([i for i in hot if i is not None]), F.lit(None in hot))
     beyond = F.when(F.length("text") > PREFIX, (1 << 63) - 1).otherwise(F.monotonically_increasing_id())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, PREFIX).alias("prefix"), beyond.alias("beyond"))
-    ordered = rows.repartitionByRange(shards, "doc_id", "prefix", "beyond").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+    rows = rows.select("doc_id", "text", F.when(is_hot, F.substring("text", 1, PREFIX)).alias("prefix"), F.when(is_hot, beyond).alias("beyond"))
+    keys = ("doc_id", "prefix", "beyond") if hot else ("doc_id",)
+    ordered = rows.repartitionByRange(shards, *keys).sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
