@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runscope.functions.text import head_tail
+
 #: (class, pattern, replacement), applied in this order.  The patterns use neither look-around nor back references.
 #: A key whose end is cut off is redacted to the end of the text.
 PATTERNS: tuple[tuple[str, str, str], ...] = (
@@ -62,9 +64,19 @@ def classes(text: Column, table: tuple = PATTERNS, limit: int | None = None) ->
     return F.array_compact(F.array(*[F.when(found[n], F.lit(n)) for n in sorted(found)]))
 
 
-def safe_summary(text: Column, size: int, table: tuple = PATTERNS) -> Column:
-    """Redacted and bounded: the whole text is redacted before it is cut, so that no half secret slips through and no text is lost."""
-    return F.substring(redact(text, table), 1, size)
+def safe_summary(text: Column, size: int, table: tuple = PATTERNS, exit_code: Column | None = None) -> Column:
+    """Redacted and bounded: the whole text is redacted before it is cut, so that no half secret slips through and no text is lost.
+
+    With an exit code that is not null (a command's output) both ends of a long text
+    stay, three quarters of the room for the last, and the code in front.
+    """
+    whole = redact(text, table)
+    if exit_code is None:
+        return F.substring(whole, 1, size)
+    front = F.concat(F.lit("exit "), exit_code.cast("string"), F.lit("\n"))
+    room = size - 32  # of the code and the mark of the cut
+    ends = F.concat(front, head_tail(whole, room - room * 3 // 4, room * 3 // 4))
+    return F.when(exit_code.isNotNull() & (F.length(whole) > size), ends).otherwise(F.substring(whole, 1, size))
 
 
 #: Seeds that a leak scan takes at once; the list is a test's own and goes to every task.

@@ -43,14 +43,30 @@ def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.where(fine), bad
 
 
-def normalize(raw: DataFrame, mapping: dict[str, str] | None = None, prefixes: tuple[str, ...] = (), usernames: tuple[str, ...] = (), size: int = MAX_SUMMARY) -> DataFrame:
+def log_sessions(raw: DataFrame) -> DataFrame:
+    """(source_path, session_id): the id in each log's first metadata record; no row for a log without one."""
+    v = raw.select("source_path", "source_offset", F.try_parse_json("line").alias("__v"))
+    own = v.where((_field("type") == "session_meta") & _field("payload.id").isNotNull()).select("source_path", "source_offset", _field("payload.id").alias("id"))
+    return own.groupBy("source_path").agg(F.min_by("id", "source_offset").alias("session_id"))
+
+
+def file_session(path: Column) -> Column:
+    """The session that a log's name stands for."""
+    return F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
+
+
+def normalize(raw: DataFrame, mapping: dict[str, str] | None = None, prefixes: tuple[str, ...] = (), usernames: tuple[str, ...] = (), size: int = MAX_SUMMARY, logs: DataFrame | None = None) -> DataFrame:
     """Raw lines (source_path, source_offset, line, optional ingest_ts) as events.
 
-    The session is the log's: a record's own ``session_id`` or the file's.  An
+    The session is a record's own ``session_id``, else the one of its log's metadata
+    (``logs``, as ``log_sessions`` gives it), else the file's name, so that events and
+    metadata of a log agree.  Of a long command output the summary keeps both ends.  An
     unknown type stays, as kind ``unknown`` with its type.  Texts are redacted and
     cut before anything is stored; of the payload only hash and length remain.
     """
     good, _ = quarantine(raw)
+    if logs is not None:
+        good = good.join(logs.select("source_path", F.col("session_id").alias("__log")), "source_path", "left")
     v = good.withColumn("__v", F.try_parse_json("line"))
     kinds = F.create_map(*[F.lit(x) for kv in (mapping or MAPPING).items() for x in kv])
     table = R.patterns(prefixes, usernames)
@@ -61,7 +77,7 @@ def normalize(raw: DataFrame, mapping: dict[str, str] | None = None, prefixes: t
     step = v.select(
         "source_path", "source_offset", "line", (F.col("ingest_ts") if "ingest_ts" in raw.columns else F.current_timestamp()).alias("ingest_ts"),
         source_type.alias("source_type"), X.parse_time(_field("timestamp")).alias("event_ts"), body.alias("body"), code.alias("exit_code"), _field("payload.role").alias("role"),
-        F.coalesce(_field("payload.session_id"), _field("session_id"), F.regexp_extract("source_path", r"([^/]+)\.jsonl$", 1)).alias("session_id"),
+        F.coalesce(_field("payload.session_id"), _field("session_id"), *([F.col("__log")] if logs is not None else []), file_session(F.col("source_path"))).alias("session_id"),
         F.when(_field("payload.path").isNotNull(), X.canonical_path(_field("payload.path"), workspace)).alias("path"),
         _field("payload.call_id").alias("call_id"), _field("payload.command").alias("command"), _field("payload.target").alias("test_target"),
     )
@@ -71,7 +87,7 @@ def normalize(raw: DataFrame, mapping: dict[str, str] | None = None, prefixes: t
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
     made = {
         "event_id": X.event_id(F.col("session_id"), F.col("source_offset"), F.col("source_type"), F.col("payload_sha256")),
-        "summary": R.safe_summary(F.col("body"), size, table),
+        "summary": R.safe_summary(F.col("body"), size, table, F.when(is_("command_result", "test_result"), F.col("exit_code"))),
         "phase": F.when(is_("turn_lifecycle", "process_lifecycle"), F.col("source_type")),
         "command_norm": F.when(is_("command", "command_result"), X.normalize_command(R.redact(F.col("command"), table))),
         "error_fp": F.when(is_("error"), X.error_fingerprint(F.col("body"))),

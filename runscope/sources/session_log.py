@@ -1,10 +1,12 @@
 """Session logs: discovery, admission, complete lines in batch, and an incremental source.
 
 ``register(spark)`` adds the stream format ``session_log``.  Its offset keeps for
-every file the end of the last complete line and a hash of the bytes before it.
-New bytes alone are read; a file whose bytes before the offset differ (cut off,
-replaced, grown again) is read again from its start, and the event ids of the
-normalised rows let the store drop what it has.
+every file a few checkpoints: ends of complete lines, each with a hash of up to
+MARK_BYTES before it that were read in its batch.  New bytes alone are read; a file
+whose bytes before the last checkpoint differ (cut off, replaced, grown again) is
+read again from the last one that still fits, else from its start, and the event
+ids of the normalised rows let the store drop what it has.  ``maxBytesPerTrigger``
+bounds a batch (by whole lines, one at least).
 """
 
 from __future__ import annotations
@@ -13,17 +15,22 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from runscope.operators.events import file_session
+
 NAME = re.compile(r"rollout-.*\.jsonl$")
 LINES = T.StructType([T.StructField("source_path", T.StringType()), T.StructField("source_offset", T.LongType()), T.StructField("line", T.StringType())])
-MARK_BYTES = 64
+#: Bytes that a checkpoint's hash covers at most; checkpoints kept for a file.
+MARK_BYTES, CHECKPOINTS = 1 << 20, 8
 
 
 def discover_sessions(spark: SparkSession, root: str) -> DataFrame:
@@ -36,7 +43,7 @@ def discover_sessions(spark: SparkSession, root: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "path string, size long, mtime timestamp, day date")
-    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.try_to_timestamp(F.regexp_extract(day, "^/(.{10})", 1), F.lit("yyyy/MM/dd")).cast("date").alias("day")).orderBy("path")
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.try_to_timestamp(F.regexp_extract(day, "^/(.{10})", 1), F.lit("yyyy/MM/dd")).cast("date").alias("day"))
 
 
 def admit_files(files: DataFrame, max_bytes: int, root: str) -> tuple[DataFrame, DataFrame]:
@@ -46,24 +53,38 @@ def admit_files(files: DataFrame, max_bytes: int, root: str) -> tuple[DataFrame,
     return files.where(fine), files.where(~fine)
 
 
-def read_complete_lines(spark: SparkSession, root: str, max_bytes: int = 256 << 20) -> DataFrame:
-    """LINES of every admitted log: newline-terminated records with their byte offsets; a partial last line waits."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "rollout-*.jsonl").load(root)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(_lines(content, 0))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["source_path", "source_offset", "line"])
+def read_complete_lines(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """LINES of every log (of at most ``max_bytes``, if given): newline-terminated records with their byte offsets; a partial last line waits.
 
-    return files.where(F.col("length") <= max_bytes).select("path", "content").mapInArrow(cut, LINES)
+    Spark splits large files, so no task holds a whole one.  A line's offset is its
+    place within its split and the bytes of the splits before it.  Blank lines are
+    left out; bytes that are no UTF-8 stay as they are.
+    """
+    found = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "rollout-*.jsonl").text(root)
+    rows = found.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
+    if max_bytes is not None:
+        rows = rows.where(F.col("size") <= max_bytes)
 
-
-def _lines(content: bytes, at: int) -> Iterator[tuple[int, str]]:
-    for line in content[: content.rfind(b"\n") + 1].split(b"\n")[:-1]:
-        if line.strip():
-            yield at, line.decode("utf-8", "replace")
-        at += len(line) + 1
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, at = None, 0
+        for b in batches:
+            sizes = pc.binary_length(pc.cast(b.column(0), pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            names = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            begin = np.flatnonzero([True, *[x != y for x, y in zip(names, names[1:], strict=False)]]) if names else np.zeros(0, np.int64)
+            ends, within = np.cumsum(sizes), np.zeros(len(names), np.int64)
+            for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(names)], strict=True):
+                first = at if names[a] == split else 0
+                within[a:z] = first + ends[a:z] - sizes[a:z] - (ends[a] - sizes[a])
+                split, at = names[a], int(within[z - 1] + sizes[z - 1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(within)], names=["value", "path", "block", "size", "within"])
+
+    lines = rows.mapInArrow(placed, "value string, path string, block long, size long, within long")
+    splits = rows.groupBy("path", "block").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))  # one row for each split
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
+    offset = F.col("start") + F.col("within")
+    whole = lines.join(starts, ["path", "block"]).where((offset + F.octet_length("value") + 1 <= F.col("size")) & (F.trim("value") != ""))
+    return whole.select(F.col("path").alias("source_path"), offset.alias("source_offset"), F.col("value").alias("line"))
 
 
 def session_meta(raw: DataFrame) -> DataFrame:
@@ -71,7 +92,7 @@ def session_meta(raw: DataFrame) -> DataFrame:
     v = raw.select("source_path", "source_offset", F.try_parse_json("line").alias("v"))
     get = lambda p: F.try_variant_get("v", f"$.{p}", "string")
     meta = v.where(get("type") == "session_meta").select(
-        F.coalesce(get("payload.id"), F.regexp_extract("source_path", r"([^/]+)\.jsonl$", 1)).alias("session_id"), "source_offset", get("payload.workspace").alias("workspace"),
+        F.coalesce(get("payload.id"), file_session(F.col("source_path"))).alias("session_id"), "source_offset", get("payload.workspace").alias("workspace"),
         F.try_to_timestamp(get("timestamp")).alias("started_at"), get("payload.source").alias("source"), get("payload.model").alias("model"),
     )
     first = meta.groupBy("session_id").agg(F.min_by(F.struct("workspace", "started_at", "source", "model"), "source_offset").alias("m"))
@@ -84,73 +105,111 @@ class _Range(InputPartition):
 
 
 class SessionLogReader(DataSourceStreamReader):
+    """Reads through the file systems that Arrow knows (local paths, hdfs, s3, gs)."""
+
     def __init__(self, options: dict):
-        self.root = Path(options["path"].removeprefix("file://"))
-        self.known: dict[str, tuple[int, int, list | None]] = {}  # path: size, time of change, offset; unchanged files are not opened again
+        self.root = options["path"]
+        self.limit = int(options.get("maxbytespertrigger", 0)) or None
+        self.at: dict[str, list] | None = None  # what is read; None before that is known after a restart
+        self.seen: dict[str, tuple] = {}  # path: size and time of change when all of it had been looked at
+
+    def _system(self):
+        return fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), os.path.abspath(self.root))
 
     def initialOffset(self) -> dict:
+        self.at = {}
         return {}
 
-    def _mark(self, path: str, end: int) -> str:
-        with open(path, "rb") as f:
-            f.seek(max(0, end - MARK_BYTES))
-            return hashlib.sha256(f.read(min(end, MARK_BYTES))).hexdigest()[:16]
-
-    def _end(self, path: str) -> int:
-        """Where the last complete line ends: looked for backwards from the end of the file."""
-        size = os.path.getsize(path)
-        with open(path, "rb") as f:
-            at = size
-            while at:
-                step = min(at, 1 << 16)
-                f.seek(at - step)
+    def _hash(self, system, path: str, start: int, end: int) -> str:
+        with system.open_input_file(path) as f:
+            f.seek(start)
+            return hashlib.sha256(f.read(end - start)).hexdigest()[:16]
+
+    def _verified(self, system, path: str, size: int, checks: list) -> list:
+        """The checkpoints up to the last one whose bytes are still there."""
+        for k in range(len(checks), 0, -1):
+            start, end, mark = checks[k - 1]
+            if end <= size and self._hash(system, path, start, end) == mark:
+                return checks[:k]
+        return []
+
+    def _end(self, system, path: str, at: int, size: int, room: int | None) -> int:
+        """Where the last complete line within ``room`` bytes behind ``at`` ends; the first line's end if it is longer."""
+        with system.open_input_file(path) as f:
+            stop = size if room is None else min(size, at + room)
+            back = stop
+            while back > at:
+                step = min(back - at, 1 << 16)
+                f.seek(back - step)
                 k = f.read(step).rfind(b"\n")
                 if k >= 0:
-                    return at - step + k + 1
-                at -= step
-        return 0
+                    return back - step + k + 1
+                back -= step
+            while stop < size:
+                f.seek(stop)
+                chunk = f.read(min(size - stop, 1 << 20))
+                k = chunk.find(b"\n")
+                if k >= 0:
+                    return stop + k + 1
+                stop += len(chunk)
+        return at
 
     def latestOffset(self) -> dict:
+        system, root = self._system()
+        base = self.at or {}
+        room = self.limit if self.at is not None else None  # the first batch after a restart takes what has come meanwhile
         out = {}
-        for folder, _, names in os.walk(self.root):
-            for n in names:
-                path = os.path.join(folder, n)
-                if NAME.search(n) and os.path.isfile(path) and not os.path.islink(path):
-                    stat = os.stat(path)
-                    known = self.known.get(path)
-                    if known is None or known[:2] != (stat.st_size, stat.st_mtime_ns):
-                        end = self._end(path)
-                        known = self.known[path] = (stat.st_size, stat.st_mtime_ns, [end, self._mark(path, end)] if end else None)
-                    if known[2]:
-                        out[path] = known[2]
-        return dict(sorted(out.items()))
+        for info in sorted(system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)), key=lambda i: i.path):
+            if info.type != fs.FileType.File or not NAME.search(info.base_name) or os.path.islink(info.path):
+                continue
+            checks, stamp = base.get(info.path, []), (info.size, info.mtime_ns)
+            if self.seen.get(info.path) != (*stamp, str(checks)):
+                checks = self._verified(system, info.path, info.size, checks)
+                at = checks[-1][1] if checks else 0
+                if room is None or room > 0:
+                    end = self._end(system, info.path, at, info.size, room)
+                    if end > at:
+                        start = max(at, end - MARK_BYTES)
+                        checks = [*checks, [start, end, self._hash(system, info.path, start, end)]][-CHECKPOINTS:]
+                        room = None if room is None else room - (end - at)
+                    else:
+                        self.seen[info.path] = (*stamp, str(checks))
+            if checks:
+                out[info.path] = checks
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
+        self.at = end
+        system, _ = self._system()
         made = []
-        for path, (stop, mark) in end.items():
-            at, old = start.get(path, (0, ""))
-            if (at, old) == (stop, mark):
+        for path, checks in end.items():
+            before = start.get(path, [])
+            if before == checks:
                 continue
-            if at > stop or at and self._mark(path, at) != old:
-                at = 0  # not the file that the offset was taken of
+            common = [c for c in before if c in checks]
+            stop = checks[-1][1]
+            if not common and before:  # after a restart the end was found without knowing the start
+                common = [c for c in self._verified(system, path, stop, before) if c[1] <= stop]
+            at = common[-1][1] if common else 0
             if at < stop:
                 made.append(_Range(path, at, stop))
         return made
 
     def read(self, part: _Range) -> Iterator[tuple]:
-        with open(part.path, "rb") as f:
-            f.seek(part.start)
-            at = part.start
-            while at < part.end:
-                line = f.readline()
-                if not line or at + len(line) > part.end:
-                    break
-                if line.strip():
-                    yield part.path, at, line.rstrip(b"\n").decode("utf-8", "replace")
-                at += len(line)
+        system, _ = self._system()
+        with system.open_input_file(part.path) as raw:
+            raw.seek(part.start)
+            at, held = part.start, b""
+            while at + len(held) < part.end:
+                held += raw.read(min(1 << 20, part.end - at - len(held)))
+                *lines, held = held.split(b"\n")
+                for line in lines:
+                    if line.strip():
+                        yield part.path, at, line.decode("utf-8", "replace")
+                    at += len(line) + 1
 
     def commit(self, end: dict) -> None:
-        pass
+        self.at = self.at or end
 
 
 class SessionLog(DataSource):
@@ -169,6 +228,8 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SessionLog)
 
 
-def tail(spark: SparkSession, root: str) -> DataFrame:
+def tail(spark: SparkSession, root: str, max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """The stream of complete lines below a root; a batch has at most so many bytes, if given."""
     register(spark)
-    return spark.readStream.format("session_log").option("path", root).load()
+    stream = spark.readStream.format("session_log").option("path", root)
+    return (stream.option("maxBytesPerTrigger", max_bytes_per_trigger) if max_bytes_per_trigger else stream).load()

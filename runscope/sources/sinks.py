@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runscope.operators import events as E
 
@@ -18,33 +19,50 @@ def read_store(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    """A batch as its own partition: writing it again replaces it, so a retried batch leaves no second copy."""
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+def write_batch(df: DataFrame, batch_id: int | str, path: str, by: tuple[str, ...] = ()) -> None:
+    """A batch as partitions of its own: writing it again replaces them, so a retried batch leaves no second copy."""
+    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(path)
 
 
 def store_events(ev: DataFrame, batch_id: int, path: str) -> None:
-    """Events that no other batch has stored, each once."""
-    from pyspark.sql import types as T
+    """Events that no other batch has stored, each once; the store is partitioned by day.
 
+    An event has the same time, so the same day, whenever it is read again: only the
+    stored days that the batch has are looked at.
+    """
+    ev = ev.persist()
+    days = [r["day"] for r in ev.select("day").distinct().collect()]  # the days of one micro-batch
     stored = read_store(ev.sparkSession, path, T.StructType([*ev.schema.fields, T.StructField("batch_id", T.LongType())]))
-    fresh = E.new_events(E.dedupe(ev), stored.where(F.col("batch_id") != batch_id).select("event_id"))
-    write_batch(fresh, batch_id, path)
+    near = F.col("day").isin([d for d in days if d is not None])
+    near = F.coalesce(near, F.lit(False)) | F.col("day").isNull() if None in days else near
+    fresh = E.new_events(E.dedupe(ev), stored.where(near & (F.col("batch_id") != batch_id)).select("event_id"))
+    write_batch(fresh, batch_id, path, ("day",))
+    ev.unpersist()
+
+
+def store_logs(lines: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """(source_path, session_id) of the batch's logs, from this batch's metadata records or an earlier one's, which are stored."""
+    write_batch(E.log_sessions(lines), batch_id, path)
+    stored = read_store(lines.sparkSession, path, "source_path string, session_id string, batch_id long")
+    own = stored.join(lines.select("source_path").distinct(), "source_path", "left_semi")
+    return own.groupBy("source_path").agg(F.min_by("session_id", "batch_id").alias("session_id"))
 
 
 def ingest(lines: DataFrame, store: str, checkpoint: str, mapping: dict | None = None, **normal):
-    """The writer of a stream of raw lines: events once, invalid lines apart, the cursor in the checkpoint."""
+    """The writer of a stream of raw lines: events once, invalid lines and unknown types apart, the cursor in the checkpoint."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         _, bad = E.quarantine(batch)
-        store_events(E.normalize(batch, mapping, **normal), batch_id, f"{store}/events")
+        ev = E.normalize(batch, mapping, logs=store_logs(batch, batch_id, f"{store}/logs"), **normal)
+        store_events(ev, batch_id, f"{store}/events")
         write_batch(bad, batch_id, f"{store}/quarantine")
+        write_batch(E.unknown_types(ev), batch_id, f"{store}/unknown_types")
         batch.unpersist()
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
-def write_table(df: DataFrame, path: str, by: str = "day") -> None:
-    """Appends signals, assessments, calls or sessions, partitioned by day."""
-    df.write.mode("append").partitionBy(by).parquet(path)
+def write_table(df: DataFrame, path: str, write_id: int | str, by: str = "day") -> None:
+    """Signals, assessments, calls or sessions, partitioned by day; the same ``write_id`` written again replaces what it wrote on these days."""
+    write_batch(df, write_id, path, (by,))

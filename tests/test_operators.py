@@ -349,3 +349,18 @@ def test_exports(spark, tmp_path):
     frozen = V.manifest(files)
     assert V.check_manifest(frozen, files).count() == 0
     assert V.check_manifest(frozen.withColumn("sha256", F.lit("0")), files).count() == 1
+
+
+def test_a_failed_command_keeps_the_end_of_its_output(spark):
+    raw = spark.createDataFrame([("rollout-f.jsonl", 0, json.dumps({"type": "exec_result", "payload": {"output": "begin " + "x" * 9000 + " FAILED at the end", "exit_code": 3}}))], "source_path string, source_offset long, line string")
+    summary = E.normalize(raw).first()["summary"]
+    assert summary.startswith("exit 3\nbegin") and summary.endswith("FAILED at the end") and X.CUT_MARK in summary and len(summary) <= S.MAX_SUMMARY
+
+
+def test_a_table_written_again_replaces_itself(spark, tmp_path):
+    from runscope.sources import sinks
+
+    df = spark.createDataFrame([("2026-01-01", 1), ("2026-01-02", 2)], "day string, n int")
+    for write in ("w1", "w1", "w2"):
+        sinks.write_table(df, str(tmp_path / "t"), write)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4

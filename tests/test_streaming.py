@@ -140,3 +140,70 @@ def test_replay_of_two_hours_with_restarts_doubles_nothing(few, tmp_path):
         assert len(set(map(tuple, parts))) == len(parts)
         if name in "lr":  # what does not hang on the cut of batches is the same
             assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
+
+
+def test_events_and_metadata_of_a_log_share_one_session(few, tmp_path):
+    spark = few
+    log = tmp_path / "logs/2026/01/01/rollout-x.jsonl"
+    os.makedirs(log.parent)
+    bare = lambda m, kind, **payload: json.dumps({"timestamp": (T0 + timedelta(minutes=m)).strftime("%Y-%m-%dT%H:%M:%SZ"), "type": kind, "payload": payload}) + "\n"
+    log.write_text(bare(0, "session_meta", id="real-id", workspace="/w") + bare(1, "turn_started"))
+    store, ckpt = str(tmp_path / "store"), str(tmp_path / "ckpt")
+
+    def run():
+        q = sinks.ingest(session_log.tail(spark, str(tmp_path / "logs")), store, ckpt).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+
+    run()
+    with open(log, "a") as f:
+        f.write(bare(2, "turn_complete") + bare(3, "odd_type", text="y"))
+    run()  # the metadata record was in an earlier batch
+    raw = session_log.read_complete_lines(spark, str(tmp_path / "logs"))
+    assert {r["session_id"] for r in spark.read.parquet(f"{store}/events").collect()} == {"real-id"}
+    assert {r["session_id"] for r in E.normalize(raw, logs=E.log_sessions(raw)).collect()} == {"real-id"} == {r["session_id"] for r in session_log.session_meta(raw).collect()}
+    assert {r["source_type"] for r in spark.read.parquet(f"{store}/unknown_types").collect()} == {"session_meta", "odd_type"}
+
+
+def test_lines_of_split_files_have_their_byte_offsets(spark, tmp_path):
+    lines = [f'{{"n": {k}, "t": "{"é" * (k % 97)}"}}' for k in range(3000)] + ["", "last"]
+    folder = tmp_path / "2026/01/02"
+    os.makedirs(folder)
+    for name, end in (("a", "\n"), ("b", "")):
+        (folder / f"rollout-{name}.jsonl").write_bytes(("\n".join(lines) + end).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = session_log.read_complete_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want, at = [], 0
+    for x in lines:
+        want += [(at, x)] if x else []
+        at += len(x.encode()) + 1
+    for name, rows in (("a", want), ("b", want[:-1])):  # the last line of b has no end yet
+        assert sorted((r["source_offset"], r["line"]) for r in got if r["source_path"].endswith(f"rollout-{name}.jsonl")) == rows
+
+
+def test_a_batch_is_bounded_and_a_changed_file_goes_on_from_what_still_fits(tmp_path):
+    path = tmp_path / "rollout-a.jsonl"
+    path.write_text("".join(f"line {k}\n" for k in range(100)))
+    reader = session_log.SessionLogReader({"path": str(tmp_path), "maxbytespertrigger": "100"})
+    start, seen, ends = reader.initialOffset(), [], []
+    for _ in range(12):
+        end = reader.latestOffset()
+        parts = reader.partitions(start, end)
+        got = [row for p in parts for row in reader.read(p)]
+        assert sum(len(r[2]) + 1 for r in got) <= 100
+        seen += got
+        ends.append(end)
+        start = end
+    assert [r[2] for r in seen] == [f"line {k}" for k in range(100)] and len({r[1] for r in seen}) == 100
+    size = start[str(path)][-1][1]
+    path.write_text("".join(f"line {k}\n" for k in range(90)) + "another\n" * 20)  # the end was rewritten
+    whole = session_log.SessionLogReader({"path": str(tmp_path)})
+    whole.at = start
+    end = whole.latestOffset()
+    (part,) = whole.partitions(start, end)
+    assert 0 < part.start < size and part.start in {c[1] for c in start[str(path)]}
+    again = session_log.SessionLogReader({"path": str(tmp_path)})  # after a restart the start is known late
+    (late,) = again.partitions(start, again.latestOffset())
+    assert (late.start, late.end) == (part.start, part.end)
