@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from runscope.session import work_dir
+from runscope.session import scratch_path
 
 
-def by_session(ev: DataFrame, buckets: int | None = None) -> DataFrame:
+def by_session(ev: DataFrame, buckets: int | None = None, store: str | None = None) -> DataFrame:
     """The events as a table bucketed by session, written once into the shared folder.
 
     Every rule partitions by session, alone or with more columns, so all of them
     read their own columns of this table without a shuffle of their own, and a lost
-    executor costs the tasks that it ran.
+    executor costs the tasks that it ran.  With ``store``, a name of what ``ev``
+    holds, a table made before for it in this application is read again; the table
+    goes when the driver ends.
     """
     spark = ev.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"runscope_events_{uuid.uuid4().hex[:12]}"
+    name = f"runscope_events_{hashlib.sha256(f'{store}/{n}'.encode()).hexdigest()[:12] if store else uuid.uuid4().hex[:12]}"
+    if store and spark.catalog.tableExists(name):
+        return spark.table(name)
     # the same hash deals rows to tasks and to buckets, so each task writes one file
-    ev.repartition(n, "session_id").write.format("parquet").bucketBy(n, "session_id").sortBy("session_id").option("path", f"{work_dir(spark)}/{name}").saveAsTable(name)
+    ev.repartition(n, "session_id").write.format("parquet").bucketBy(n, "session_id").sortBy("session_id").option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
+
+
+def state_of(table: DataFrame) -> str:
+    """A name for what the files of a table hold now: their paths, sizes and times of change."""
+    files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    row = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("*").cast("decimal(20,0)")).alias("h")).first()
+    return f"{row['n']}-{row['h']}"
