@@ -1,6 +1,7 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
-A document's strength is linear in features of its whole text.  From pairs of a
+A document's strength is linear in features of its whole text: shares of character
+classes, repeats and lengths, and the shares of its words by hashed bucket.  From pairs of a
 preferred and a rejected labelled document the weights are learned by logistic
 loss on the differences of their features.  The threshold is a quantile of the
 strengths of the labelled sample; a score maps the strength so that the threshold
@@ -10,6 +11,8 @@ has the score that decides.
 from __future__ import annotations
 
 import operator
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,23 @@ from runscope.llm.langid import remainder
 LEARN_ROWS, PARTNERS, DECIDES = 20_000, 8, 0.3
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".,;:'\"-()?", "mark": b"!", "bar": b"|", "sign": b"#$%&*+/<=>@[\\]^_`{}~"}
 _SETS = [np.frombuffer(v, np.uint8) for v in _CLASSES.values()]
-FEATURES = [f"{a}{b}" for a in (*_CLASSES, "repeat", "same_line", "few_words") for b in ("", "_root")] + ["log_words", "word_length", "line_length"]
+#: Buckets of words; words whose bucket a worker remembers.
+BUCKETS, REMEMBERED = 32, 500_000
+FEATURES = [f"{a}{b}" for a in (*_CLASSES, "repeat", "same_line", "few_words") for b in ("", "_root")] + ["log_words", "word_length", "line_length"] + [f"words_{k}" for k in range(BUCKETS)]
+_bucket: dict[str, int] = {}
+
+
+def lexical(counts: Counter, n: int) -> list[float]:
+    """Roots of the shares of ``n`` words in each bucket of their hashed lower case."""
+    if len(_bucket) > REMEMBERED:
+        _bucket.clear()
+    out = [0] * BUCKETS
+    for word, times in counts.items():
+        k = _bucket.get(word)
+        if k is None:
+            k = _bucket[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS
+        out[k] += times
+    return [(x / n) ** 0.5 for x in out]
 
 
 def features(text: str | None) -> list[float]:
@@ -40,11 +59,12 @@ def features(text: str | None) -> list[float]:
     shares = [float(seen[s].sum()) / chars for s in _SETS]
     shares.append(sum(map(operator.eq, words, words[1:])) / n)
     shares.append(1 - len(set(lines)) / len(lines))
-    shares.append(1 - np.log1p(len(set(words))) / np.log1p(n))
+    counts = Counter(words)
+    shares.append(1 - np.log1p(len(counts)) / np.log1p(n))
     out = []
     for x in shares:
         out += [x, x**0.5]
-    return [*out, float(np.log1p(n)), min(chars / n, 50) / 10, float(np.log1p(len(raw) / len(lines)))]
+    return [*out, float(np.log1p(n)), min(chars / n, 50) / 10, float(np.log1p(len(raw) / len(lines))), *lexical(counts, n)]
 
 
 class Ranking:

@@ -93,3 +93,31 @@ def test_pairs_order_strengths():
     s = rank.score(x)
     won = np.mean([s[i] > s[j] for i in np.flatnonzero(label == 1) for j in np.flatnonzero(label == 0)])
     assert won > 0.95 and np.mean((s >= 0.3) == label) > 0.9
+
+
+def test_weights_are_the_least_of_the_pairwise_loss_and_the_threshold_separates_most():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(120, len(quality.FEATURES)))
+    label = (x[:, 0] - 0.7 * x[:, 3] + r.normal(size=120) > 0).astype(int)
+    found = quality.Ranking(x, label)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    pick = np.random.default_rng(0)
+    winners = np.concatenate([np.repeat(good, quality.PARTNERS), pick.choice(good, len(bad) * quality.PARTNERS)])
+    losers = np.concatenate([pick.choice(bad, len(good) * quality.PARTNERS), np.repeat(bad, quality.PARTNERS)])
+
+    def loss(w):
+        return float(np.mean([np.log1p(np.exp(-(z[a] - z[b]) @ w)) for a, b in zip(winners, losers, strict=True)])) + 5e-4 * float(w @ w)
+
+    least = loss(found.weight)
+    for k in range(len(found.weight)):  # no step along any weight lowers the loss
+        for step in (-1e-3, 1e-3):
+            moved = found.weight.copy()
+            moved[k] += step
+            assert loss(moved) >= least - 1e-12
+    strength = z @ found.weight
+    right = lambda t: sum((s >= t) == (y == 1) for s, y in zip(strength, label, strict=True))
+    assert right(found.threshold) >= max(right(t) for t in strength) - 2
+    scores = found.score(x)
+    assert all((s >= quality.DECIDES) == (v >= found.threshold) for s, v in zip(scores, strength, strict=True))
+    assert (np.argsort(scores) == np.argsort(strength)).all()
