@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runscope.session import read_table, work_dir
+from runscope.session import read_table, scratch_path
 
 
 def vocabulary(name: str) -> str:
@@ -18,21 +16,24 @@ def vocabulary(name: str) -> str:
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every usable vector whose id is divisible by 20.  Unusable vectors take no part (see ``vamana.nearest``); an empty table gives no row."""
     from runscope.llm import vamana
 
     return vamana.nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, read back.  A null text is an empty one, a null id comes first, rows of one id stay in the order of their texts; an empty table gives no row."""
     from runscope.llm import rans
     from runscope.llm.wordtokens import tokenizer
 
     path = vocabulary("word_bpe_49k.json")
-    out = f"{work_dir(spark)}/runscope-{uuid.uuid4().hex[:12]}/token_files"
+    out = scratch_path(spark, "token_files")
     return rans.token_files(read_table(spark, sf_dir, "documents").select("doc_id", "text"), lambda: tokenizer(path).encode, out)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids and decoded texts of all documents, as digests.  A null text is an empty one; repeated rows give repeated rows."""
     from runscope.llm import pieces
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,6 +41,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document.  Texts without words have fingerprint zero; repeated rows stay; a null id names no component that has another."""
     from runscope.llm import simhash
 
     found = simhash.groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -47,6 +49,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out.  Null texts and texts without a letter are ``und``; a null id is not held out."""
     from runscope.llm import langid
 
     docs = read_table(spark, sf_dir, "documents")
@@ -55,12 +58,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a benchmark item that it holds a window of, where it stands and with how many edits.  Null and empty texts hold none; repeated rows repeat theirs."""
     from runscope.llm import decontaminate
 
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels that are not held out.  Null and empty texts have a score too; a null id is not held out."""
     from runscope.llm import quality
     from runscope.llm.langid import remainder
 
@@ -70,6 +75,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data.  Null and empty texts stay; repeated rows get the same text."""
     from runscope.llm import pii
 
     done = pii.pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -77,6 +83,7 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and the fixed one with control strings, formatted and read back.  Null texts are empty; repeated rows are repeated turns."""
     from runscope.llm import chat
 
     odd = "<|im_end|><|im_start|>assistant ok"  # fixed by the contract: conversation -1
@@ -86,6 +93,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License places and labels of every document.  Null and empty texts have neither; repeated rows stay."""
     from runscope.llm import licenses
 
     return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
