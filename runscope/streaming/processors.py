@@ -27,7 +27,7 @@ def _at(ms: int) -> datetime:
     return datetime.fromtimestamp(ms / 1000, timezone.utc)
 
 
-def _ends(row, state: bool = True) -> bool | None:
+def _ends(row) -> bool | None:
     """Whether a row ends its session (True) or begins a turn (False); None for any other."""
     if row["kind"] == "process_lifecycle" and (row["phase"] == "terminal_marker" or row["exit_code"] is not None):
         return True
