@@ -12,7 +12,7 @@ from runscope.session import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")  # the small star drops what repeats
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -40,15 +40,22 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def one_row_each(rows: DataFrame, group: str, row: str, columns: list[str], text: str) -> DataFrame:
-    """The columns ``columns`` of one row of each ``group`` of a written table with a number ``row`` for each row.
-
-    It is the row with the smallest doc_id, a null id coming last; of equals the one
-    with the smaller hash of its text, then of all its columns.  The order of the
-    rows plays no part: what ties beyond that is alike in every column.
-    """
+def placed(rows: DataFrame, columns: list[str], text: str, names: tuple[str, str]) -> DataFrame:
+    """``rows`` with a number for each row and its place among rows of one doc_id, called ``names``: the columns that ``one_row_each`` needs in a written table."""
     nested = (T.MapType, T.StructType, T.ArrayType)
     all_of = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if isinstance(rows.schema[c].dataType, nested) else F.col(f"`{c}`") for c in columns])
-    place = F.struct(F.isnull("doc_id"), F.col("doc_id"), F.xxhash64(F.col(f"`{text}`")), all_of, F.col(row))
-    best = rows.select(group, place.alias("p")).groupBy(group).agg(F.min("p").alias("p")).select(F.col(f"p.{row}").alias(row))
-    return rows.join(best, row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    return rows.withColumn(names[0], F.monotonically_increasing_id()).withColumn(names[1], F.array(F.xxhash64(F.col(f"`{text}`")), all_of))
+
+
+def one_row_each(table: DataFrame, groups: DataFrame, group: str, names: tuple[str, str], columns: list[str]) -> DataFrame:
+    """The columns ``columns`` of one row of each ``group``.
+
+    ``table`` is a written table with the columns of ``placed``; ``groups`` has its
+    doc_id, these and ``group`` for every row.  It is the row with the smallest doc_id,
+    a null id coming last; of equals the one with the smaller hash of its text, then of
+    all its columns.  The order of the rows plays no part: what ties beyond that is
+    alike in every column.  Only small columns are grouped; whole rows move once.
+    """
+    row, place = names
+    best = groups.groupBy(group).agg(F.min(F.struct(F.isnull("doc_id"), F.col("doc_id"), F.col(place), F.col(row))).alias("p")).select(F.col(f"p.{row}").alias(row))
+    return table.join(best, row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])

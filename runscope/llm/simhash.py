@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runscope.llm.batches import fresh, map_batches, struct
-from runscope.llm.components import components, one_row_each
+from runscope.llm.components import components, one_row_each, placed
 from runscope.session import materialize
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -252,7 +252,8 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     its text, then of all columns; the order of the rows plays no part.  Texts
     without words are one group; an empty table gives no row.
     """
-    fp, root, row = fresh(docs.columns, "fp", "root", "row")
-    own = materialize(fingerprints(docs, text, tuple(docs.columns), fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
-    roots = _roots(own.select(F.col(fp).alias("fp")).distinct())
-    return one_row_each(own.join(roots.select(F.col("fp").alias(fp), F.col("root").alias(root)), fp), root, row, docs.columns, text)
+    fp, root, row, place = fresh(docs.columns, "fp", "root", "row", "place")
+    made = placed(fingerprints(docs, text, tuple(docs.columns), fp), docs.columns, text, (row, place))
+    own = materialize(made, "fingerprints")
+    roots = _roots(own.select(F.col(fp).alias("fp")).distinct()).select(F.col("fp").alias(fp), F.col("root").alias(root))
+    return one_row_each(own, own.select("doc_id", fp, row, place).join(roots, fp), root, (row, place), docs.columns)
