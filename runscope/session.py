@@ -31,6 +31,20 @@ def ship_package(spark: SparkSession) -> None:
     setattr(sc, _SHIPPED, True)
 
 
+#: Bytes that Spark hands to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_BYTES at most.
+
+    For an application to call: whole texts come and go in several copies, and with
+    batches of 64 MB (the default) the workers of an executor need a gigabyte more.
+    The library's own functions leave the session's settings alone.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
