@@ -25,6 +25,8 @@ from runscope.llm.batches import fresh, map_batches, struct, texts_of
 SPACE = "▁"
 #: Parts remembered by a worker, and the longest part worth it.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Characters of a part from which on an integer would be too slow a bit field.
+LONG_PART = 256
 #: Characters that are cut off the end of a part where no piece joins them to what precedes.
 TAILS = frozenset(".,;:!?%&$*#|\")")
 
@@ -123,12 +125,13 @@ class PieceEncoder:
             left = piece
         if at == stop:
             return ids
-        failed = bytearray((stop >> 3) + 1)  # bit field of places from which nothing compatible follows
-        size_of, shorter, reach = self.size_of, self.shorter, self.longest_piece
+        if stop > LONG_PART:
+            return self._backtrack_long(part, ids, at, piece)
+        failed = 0  # bit field of places from which nothing compatible follows
+        size_of, shorter = self.size_of, self.shorter
         while at < stop:
             size = size_of[piece]
-            end = at + size
-            if not failed[end >> 3] >> (end & 7) & 1:
+            if not failed >> (at + size) & 1:
                 if ids:
                     fits = compatible.get(ids[-1] << 24 | piece)
                     if fits is None:
@@ -137,19 +140,39 @@ class PieceEncoder:
                     fits = size < stop or self.reached(piece)
                 if fits:
                     ids.append(piece)
-                    at = end
-                    if at < stop:  # only what the longest piece can span is looked at
-                        piece = next(longest(part[at : at + reach]))[1][1]
+                    at += size
+                    if at < stop:
+                        piece = next(longest(part, at))[1][1]
                     continue
             piece = shorter[piece]
             if piece < 0:
                 if not ids:
                     return [self.id_of[p] for p in self.merge(part)]  # not reached for a merge-type model
-                failed[at >> 3] |= 1 << (at & 7)
+                failed |= 1 << at
                 piece = ids.pop()  # ends at a failed place: its shorter prefix is next
                 at -= size_of[piece]
         return ids
 
+    def _backtrack_long(self, part: str, ids: list[int], at: int, piece: int) -> list[int]:
+        """The same for a long part, in linear time: the bit field is one of bytes, and only what the longest piece can span is looked at."""
+        stop, failed, reach = len(part), bytearray((len(part) >> 3) + 1), self.longest_piece
+        while at < stop:
+            end = at + self.size_of[piece]
+            if not failed[end >> 3] >> (end & 7) & 1 and (self.follows(ids[-1], piece) if ids else end < stop or self.reached(piece)):
+                ids.append(piece)
+                at = end
+                if at < stop:
+                    piece = next(self.automaton.iter_long(part[at : at + reach]))[1][1]
+                continue
+            piece = self.shorter[piece]
+            if piece < 0:
+                if not ids:
+                    return [self.id_of[p] for p in self.merge(part)]  # not reached for a merge-type model
+                failed[at >> 3] |= 1 << (at & 7)
+                piece = ids.pop()
+                at -= self.size_of[piece]
+        return ids
+
     def encoded(self, part: str) -> bytes:
         """Ids of a part as little-endian 32-bit integers, remembered for short parts."""
         known = self.cache.get(part)
