@@ -99,9 +99,83 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every usable vector whose id is divisible by 100, for its positives.  Rows without label, unusable vectors and empty tables: see ``hardneg.mine``."""
+    from runscope.llm import hardneg
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))  # fixed by the contract
+    return hardneg.mine(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, label)
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 rows of highest score for every usable vector whose id is divisible by 50.  Unusable vectors and empty tables: see ``voronoi.nearest``."""
+    from runscope.llm import voronoi
+
+    return voronoi.nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their spelling variants' forms and roots.  Null and empty texts have no words; repeated rows count each time."""
+    from runscope.llm import spelling
+
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_leaks, op2_quality, op3_neighbours, op4_token_files, op5_surrogates, op6_sentencepiece, op7_chat, op8_language, op9_simhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_leaks, op2_quality, op3_neighbours, op4_token_files, op5_surrogates, op6_sentencepiece, op7_chat, op8_language, op9_simhash, op10_licenses, op11_hard_negatives, op12_exact_search, op13_spelling)}
+
+
+#: Usable vectors as integers; ``rest`` are more columns.
+_INTEGERS = """
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v {rest} FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0"""
+
+_OP11 = f"""
+WITH own AS (SELECT * FROM ({_INTEGERS.format(rest=", CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l")}) WHERE l IS NOT NULL),
+pairs AS (SELECT a.vec_id AS anchor_id, a.l = b.l AS same, b.vec_id AS other, list_inner_product(a.v, b.v)::BIGINT AS s
+          FROM own a JOIN own b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, other AS positive_id, s AS positive_score FROM pairs WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other)::INT AS rank,
+       other AS negative_id, positive_score, s AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+_OP12 = f"""
+WITH own AS ({_INTEGERS.format(rest="")})
+SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id)::INT AS rank,
+       b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+FROM own a JOIN own b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0 QUALIFY rank <= 5"""
+
+_OP13 = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+found AS (
+    SELECT key, run, count(*) AS times FROM (
+        SELECT coalesce(doc_id::VARCHAR, '') AS key, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+    WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (
+    SELECT run, times, list_transform(range(length(x) // 2), lambda k: ('0x' || x[2 * k + 1 : 2 * k + 2])::BIGINT) AS b FROM (SELECT *, hex(encode(key || ':' || run)) AS x FROM found)),
+hashed AS (
+    SELECT run, times, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM bytes, crc),
+words AS (
+    SELECT word, sum(times)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 199 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, times FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cut AS (SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS less, word[1 : i - 1] || '*' || word[i + 1 :] AS gap FROM words, unnest(range(1, length(word) + 1)) u(i)),
+near AS (
+    SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.gap = b.gap AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.less = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.less = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+forms AS (
+    SELECT w.word, w.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.m >= 5 * w.n THEN k.m END AS form_n,
+           CASE WHEN k.m >= 5 * w.n THEN (SELECT min(o.other) FROM near o WHERE o.word = w.word AND o.m = k.m) END AS form
+    FROM words w LEFT JOIN best k USING (word)),
+steps AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN forms f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT word, arg_max(root, k) AS root FROM steps GROUP BY word) s USING (word)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_hard_negatives": _OP11, "op12_exact_search": _OP12, "op13_spelling": _OP13}

@@ -4,6 +4,7 @@ import hashlib
 import os
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -105,3 +106,16 @@ def test_surrogates_and_leaks_cover_all_documents(spark):
     for i, r in got.items():
         assert (r["n_entities"] == 0) == (r["text"] == docs[i])
     assert {r["doc_id"] for r in queries.op1_leaks(spark, SF).collect()} <= set(docs)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    twin = con.execute(queries.oracle_sql()[name])
+    names = sorted(c[0] for c in twin.description)
+    want = sorted((tuple(dict(zip((c[0] for c in twin.description), r, strict=True))[n] for n in names) for r in twin.fetchall()), key=str)
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == names and want
+    assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=str) == want
