@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import os
 import re
 import tempfile
@@ -63,6 +64,10 @@ def work_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: The paths that the innermost ``scratch`` of this thread has to remove.
+_scope: contextvars.ContextVar[set[str] | None] = contextvars.ContextVar("runscope_scratch", default=None)
+
+
 def _written(spark: SparkSession) -> dict[str, object]:
     """The tables of this context that nothing has removed yet, by path; they go when the driver ends."""
     sc = spark.sparkContext
@@ -74,18 +79,30 @@ def _written(spark: SparkSession) -> dict[str, object]:
 
 def _remove_all(written: dict[str, object]) -> None:
     for path in list(written):
-        remove = written.pop(path)
+        remove = written.pop(path, None)
         with contextlib.suppress(Exception):  # the virtual machine may be gone before the driver
-            remove()
+            if remove:
+                remove()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there is removed when the driver ends, or by ``scratch``."""
+def scratch_path(spark: SparkSession, name: str, also: Callable[[], None] | None = None) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver ends, or by the ``scratch`` that it was made in.
+
+    ``also`` is called before the removal.
+    """
     folder = f"{work_dir(spark)}/runscope-{uuid.uuid4().hex[:12]}"
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     conf = spark._jsc.hadoopConfiguration()
     path = f"{folder}/{name}"
-    _written(spark)[path] = lambda: target.getFileSystem(conf).delete(target, True)
+
+    def remove() -> None:
+        if also:
+            also()
+        target.getFileSystem(conf).delete(target, True)
+
+    _written(spark)[path] = remove
+    if (own := _scope.get()) is not None:
+        own.add(path)
     return path
 
 
@@ -103,15 +120,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
-    """Removes at its end what was written within it, but for the tables that data frames handed to the function it gives read."""
+    """Removes at its end what was written within it, but for the tables that data frames handed to the function it gives read.
+
+    A path belongs to the ``scratch`` of the thread that made it: what other threads
+    write meanwhile stays.  Tables that are kept pass to the ``scratch`` around this one.
+    """
     folder = re.compile(r"/(runscope-[0-9a-f]{12})/")
-    before, kept = set(_written(spark)), set()
+    own, kept = set(), set()
+    outer = _scope.get()
+    token = _scope.set(own)
     try:
         yield lambda df: kept.update(folder.search(f)[1] for f in df.inputFiles() if folder.search(f))
     finally:
-        written = _written(spark)
-        for path in [p for p in written if p not in before and folder.search(p)[1] not in kept]:
-            written.pop(path)()
+        _scope.reset(token)
+        stay = {p for p in own if folder.search(p)[1] in kept}
+        if outer is not None:
+            outer |= stay
+        for path in own - stay:
+            if remove := _written(spark).pop(path, None):
+                remove()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
