@@ -727,6 +727,29 @@ def stream_lifecycle(spark, d):
     return out.groupBy("session_id").agg(F.max_by("state", "at").alias("state"))
 
 
+def in_slices(spark: SparkSession, d: str, n: int = 4) -> DataFrame:
+    """The event table as a stream of micro-batches in the order of time: ``n`` stretches with about as many events, one written after the other.
+
+    Within a stretch a session has one file, so that its events come in order however
+    files are dealt to batches.
+    """
+    ev, path = events(spark, d), scratch_path(spark, "slices")
+    cuts = ev.agg(F.percentile_approx(us("event_ts"), [k / n for k in range(1, n)])).first()[0] or []
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        at = us("event_ts")
+        part = ev.where((at >= low if low is not None else F.lit(True)) & (at < high if high is not None else F.lit(True)))
+        part.repartition(files, "session_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+@query(f"WITH {EV}, ends AS (SELECT session_id, min(event_ts) AS a, max(event_ts) AS b FROM ev GROUP BY ALL), points AS (SELECT DISTINCT session_id, event_ts FROM (SELECT session_id, event_ts FROM ev WHERE kind = 'file_changed' UNION ALL SELECT session_id, a FROM ends)), nexts AS (SELECT *, lead(event_ts) OVER (PARTITION BY session_id ORDER BY event_ts) AS n FROM points), mark AS (SELECT max(event_ts) - INTERVAL 10 DAY AS w FROM ev) SELECT session_id, epoch_ms(event_ts) * 1000 AS start_us, epoch_ms(event_ts) * 1000 + 86400000000 AS at_us FROM nexts JOIN ends USING (session_id), mark WHERE coalesce(n, b) - event_ts >= INTERVAL 1 DAY OR (n IS NULL AND event_ts + INTERVAL 1 DAY <= w)")
+def stream_stagnation(spark, d):
+    """One row for each stretch of a day without a file change, over several micro-batches: those of the batch, and open ones that the watermark ends.  The state keeps milliseconds."""
+    out = run_stream(spark, P.apply(in_slices(spark, d), P.Stagnation(DAY, 0), "10 days"))
+    return out.select("session_id", us("last_progress").alias("start_us"), us("at").alias("at_us"))
+
+
 @query()
 def packets(spark, d):
     """Whole observation packets as JSON; lists of structs are checked by tests."""

@@ -109,27 +109,39 @@ class Lifecycle(_Processor):
 
 
 class Stagnation(_Processor):
-    """A row whenever a session is without a marker for the limit, unless a command runs (until its maximum).
-
-    A session that has ended has no timer and no state; a new turn begins it again.
+    """One row for each stretch without a marker that reaches the limit, unless a command runs (until its maximum).
+
+    A stretch begins with a marker (or the session's first event), which is also its
+    name: it is reported once, by the first later event or by the watermark, whichever
+    comes first, and at the same time in both cases.  Within a session rows of one batch
+    are taken in order; a marker that comes later than a newer one of another batch ends
+    no stretch.  A session that has ended, or had no event for FORGET_MS, keeps no state;
+    a new turn begins it again.
     """
 
-    SCHEMA = "marker_ms long, open_ms long"
+    SCHEMA = "marker_ms long, open_ms long, reported_ms long, last_ms long"
     OUTPUT = "session_id string, last_progress timestamp, at timestamp"
 
     def __init__(self, seconds: int = 1500, max_command_seconds: int = 3600, markers: tuple = MARKERS):
         self.limit, self.longest, self.markers = seconds * 1000, max_command_seconds * 1000, markers
 
+    def _deadline(self, marker: int, open_: int | None) -> int:
+        return max(marker + self.limit, open_ + self.longest if open_ is not None else 0)
+
     def handleInputRows(self, key, rows, timerValues):
-        marker, open_ = self._get(None, None)
-        ended = False
+        marker, open_, reported, last = self._get(None, None, None, None)
+        ended, out = False, []
         for r in _ordered(rows):
             at = _ms(r["event_ts"])
+            last = at if last is None else max(at, last)
+            if marker is not None and reported != marker and at >= (due := self._deadline(marker, open_)):
+                reported = marker
+                out.append(Row(session_id=key[0], last_progress=_at(marker), at=_at(due)))
             ended = ended if _ends(r) is None else _ends(r)
             if ended:
-                marker = open_ = None
+                marker = open_ = reported = None
                 continue
-            if marker is None or r["kind"] in self.markers:
+            if marker is None or (r["kind"] in self.markers and at > marker):
                 marker = at
             if r["kind"] == "command":
                 open_ = at
@@ -139,14 +151,20 @@ class Stagnation(_Processor):
             self.state.clear()
             self._timer(None)
         else:
-            self.state.update((marker, open_))
-            self._timer(max(marker + self.limit, open_ + self.longest if open_ is not None else 0))
-        return iter(())
+            self.state.update((marker, open_, reported, last))
+            self._timer(last + FORGET_MS if reported == marker else self._deadline(marker, open_))
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        marker, _ = self._get(None, None)
-        if marker is not None:
-            yield Row(session_id=key[0], last_progress=_at(marker), at=_at(expiredTimerInfo.getExpiryTimeInMs()))
+        marker, open_, reported, last = self._get(None, None, None, None)
+        if marker is None:
+            return
+        if reported != marker:
+            self.state.update((marker, open_, marker, last))
+            self._timer(max(last, self._deadline(marker, open_)) + FORGET_MS)
+            yield Row(session_id=key[0], last_progress=_at(marker), at=_at(self._deadline(marker, open_)))
+        else:
+            self.state.clear()
 
 
 class Repetition(StatefulProcessor):
@@ -208,8 +226,9 @@ class Repetition(StatefulProcessor):
 class Cadence(_Processor):
     """Assessment triggers, one for a session and micro-batch at most: a first event, a change, a marker, or the time.
 
-    Nothing is triggered by time once a session has ended, and a session without
-    events for ``quiet`` cadences is left alone until its next event.
+    Nothing is triggered by time once a session has ended; a session without events
+    for ``quiet`` cadences is left alone until its next event, and keeps no state once
+    it had none for FORGET_MS.
     """
 
     SCHEMA = "assessed_ms long, event_ms long"
@@ -248,9 +267,12 @@ class Cadence(_Processor):
         if last is None:
             return
         ms = expiredTimerInfo.getExpiryTimeInMs()
+        if ms > newest + self.quiet * self.seconds:  # beyond the last cadence only the end of the state has a timer
+            self.state.clear()
+            return
         more = ms + self.seconds <= newest + self.quiet * self.seconds
         self.state.update((ms, newest))
-        self._timer(ms + self.seconds if more else None)
+        self._timer(ms + self.seconds if more else newest + max(FORGET_MS, (self.quiet + 1) * self.seconds))
         yield Row(session_id=key[0], reason="cadence", at=_at(ms))
 
 

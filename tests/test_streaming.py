@@ -32,6 +32,20 @@ def stream(spark, tmp_path, name, make, batches):
     return spark.read.parquet(out).collect()
 
 
+def unbroken_stream(spark, tmp_path, name, make, batches):
+    """The same batches in one run that is never stopped."""
+    src, out, ckpt = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "ckpt"))
+    os.makedirs(src)
+    q = make(spark.readStream.schema(EVENT).parquet(src)).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).start()
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(src)
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(out).collect()
+
+
 @pytest.fixture
 def few(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -103,6 +117,41 @@ def test_stagnation_and_cadence_streams(few, tmp_path):
     assert reasons[:3] == ["first", "marker", "cadence"]
 
 
+def state_of(spark, tmp_path, name, variable="state"):
+    """What the state store of a stream holds, read with the state data source: (session, value fields)."""
+    rows = spark.read.format("statestore").option("path", str(tmp_path / f"{name}-ckpt")).option("stateVarName", variable).load().collect()
+    flat = lambda x: tuple(flat(y) if hasattr(y, "asDict") else y for y in x)
+    return sorted((r["key"][0], *[flat(r[c]) if hasattr(r[c], "asDict") else r[c] for c in r.asDict() if c not in ("key", "partition_id", "expiration_timestamp", "value_expiration_timestamp")]) for r in rows)
+
+
+def test_a_gap_is_reported_once_however_its_events_are_cut_into_batches(few, tmp_path):
+    marks = [event(0, "file_changed")]
+    batches = [marks, *[[event(m, "message")] for m in range(40, 155, 15)]]  # 8 batches within one gap
+    make = lambda s: P.apply(s, P.Stagnation(1500, 3600), "0 seconds")
+    got = unbroken_stream(few, tmp_path, "one", make, batches)
+    assert [(r["session_id"], r["last_progress"], r["at"]) for r in got] == [("a", T0, T0 + timedelta(minutes=25))]
+    ends = [[event(160, "file_changed"), event(170, "file_changed"), event(240, "message"), event(241, "file_changed")], [event(300, "message")]]
+    whole = stream(few, tmp_path, "whole", make, [[r for b in [*batches, *ends] for r in b]])
+    cut = unbroken_stream(few, tmp_path, "cut", make, [*batches[::4], ends[0][:2], ends[0][2:], ends[1]])
+    assert sorted(whole) == sorted(cut) and len(whole) == 3
+    rows = [r for b in [*batches, *ends] for r in b]
+    ev = few.createDataFrame(rows, EVENT)
+    gaps = E.stagnation_gaps(ev, ev.where("kind = 'file_changed'"), 1500).select("gap_start").collect()
+    assert sorted(r["gap_start"] for r in gaps) == sorted(r["last_progress"] for r in whole)
+
+
+def test_idle_sessions_keep_no_state_after_a_week(few, tmp_path):
+    rows = [event(0, "file_changed"), event(1, "command", "b"), event(0, "turn_lifecycle", "c", phase="turn_started"), event(3, "command_result", "d", command_norm="make", exit_code=1)]
+    days = lambda n: n * 1440
+    beats = [[event(days(n), "file_changed", "z")] for n in (1, 9, 18)]
+    for name, make, variable in (("s", lambda: P.Stagnation(1500, 3600), "state"), ("c", lambda: P.Cadence(600, quiet=3), "state"), ("l", lambda: P.Lifecycle(300), "state"), ("r", lambda: P.Repetition(3), "epoch")):
+        over = lambda s, make=make: P.apply(s, make(), "0 seconds")
+        unbroken_stream(few, tmp_path, f"{name}7", over, [rows, beats[0]])
+        assert {"a", "b", "c", "d"} <= {r[0] for r in state_of(few, tmp_path, f"{name}7", variable)}, name
+        unbroken_stream(few, tmp_path, f"{name}8", over, [rows, *beats])
+        assert {r[0] for r in state_of(few, tmp_path, f"{name}8", variable)} <= {"z"}, name
+
+
 def test_repetition_stream_across_a_restart(few, tmp_path):
     c = lambda m, code=1: event(m, "command_result", command_norm="make", exit_code=code)
     batches = [[c(0), c(1)], [c(2), event(3, "file_changed"), c(4), c(5)], [c(6, 0), c(7), c(8), c(9)], [event(m, "error", error_fp="e") for m in (10, 11, 12)]]
@@ -134,11 +183,17 @@ def test_replay_of_two_hours_with_restarts_doubles_nothing(few, tmp_path):
             for session in ("a", "b") for m in range(0, 120, 4) for kind in (("turn_lifecycle",) if m == 0 else ("command_result",) if m % 20 else ("file_changed",) if m % 40 else ("error",))]
     rows.sort(key=lambda r: r[2])
     tail = [[event(400, "message", "z")], [event(800, "message", "z")]]
+    batches = [rows[:20], rows[20:], *tail]
     for name, make in {"l": lambda: P.Lifecycle(300), "s": lambda: P.Stagnation(600, 900), "r": lambda: P.Repetition(3), "c": lambda: P.Cadence(600)}.items():
-        parts = stream(few, tmp_path, f"{name}3", lambda s, make=make: P.apply(s, make(), "0 seconds"), [rows[:20], rows[20:41], rows[41:], *tail])
+        over = lambda s, make=make: P.apply(s, make(), "0 seconds")
+        parts = stream(few, tmp_path, f"{name}3", over, batches)
         assert len(set(map(tuple, parts))) == len(parts)
-        if name in "lr":  # what does not hang on the cut of batches is the same
-            whole = stream(few, tmp_path, f"{name}1", lambda s, make=make: P.apply(s, make(), "0 seconds"), [rows, *tail])
+        unbroken = unbroken_stream(few, tmp_path, f"{name}0", over, batches)
+        assert sorted(map(tuple, unbroken)) == sorted(map(tuple, parts))
+        for variable in ("epoch", "counts") if name == "r" else ("state",):
+            assert state_of(few, tmp_path, f"{name}3", variable) == state_of(few, tmp_path, f"{name}0", variable) != []
+        if name in "lrs":  # what does not hang on the cut of batches is the same
+            whole = stream(few, tmp_path, f"{name}1", over, [rows, *tail])
             assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
 
 
