@@ -18,7 +18,7 @@ from runscope.operators import status as S
 from runscope.operators import validate as D
 from runscope.plans.queries import ALL, CHANGES, DEMO, EV, ROUTINE, TOLD, bounds, demo_assessments, demo_told, events, query, raw_lines, routine, signals, stored_events, us
 from runscope.session import read_table, scratch_path
-from runscope.sources import sinks
+from runscope.sources import event_store, sinks
 
 
 def number() -> Column:
@@ -144,7 +144,24 @@ def stored_once(spark, d):
     ev, path = events(spark, d), scratch_path(spark, "event_store")
     for batch, rows in ((0, ev.where("source_offset % 2 = 0")), (1, ev.unionByName(ev.where("source_offset % 5 = 0"))), (1, ev.unionByName(ev.where("source_offset % 5 = 0")))):
         sinks.store_events(rows, batch, path)
-    out = spark.read.parquet(path)
+    out = event_store.read_events(spark, path, spark.read.parquet(f"{path}/events").schema)
+    return out.select("event_id", F.col("batch_id").cast("long").alias("batch_id"), F.col("day").cast("string").alias("day"))
+
+
+@query(f"WITH {EV} SELECT event_id, CAST(CASE WHEN source_offset % 5 >= 3 THEN 4 ELSE -9 END AS BIGINT) AS batch_id, strftime(event_ts, '%Y-%m-%d') AS day FROM ev")
+def merged_store(spark, d):
+    """Overlapping batches into a store, the first two merged between two of them; the merged ones then come again.
+
+    A day has both or one of the first two (its events are in both), and keeps one merged batch.
+    """
+    ev, path = events(spark, d), scratch_path(spark, "event_store")
+    early = lambda n: ev.where(f"source_offset % 5 < {n + 2}")
+    for batch in (0, 1):
+        event_store.add(early(batch), batch, path)
+    event_store.merge(spark, path, 2, at=1)
+    for batch, rows in ((1, early(1)), (4, ev.where("source_offset % 5 > 0")), (4, ev.where("source_offset % 5 > 0"))):
+        event_store.add(rows, batch, path)
+    out = event_store.read_events(spark, path, spark.read.parquet(f"{path}/events").schema)
     return out.select("event_id", F.col("batch_id").cast("long").alias("batch_id"), F.col("day").cast("string").alias("day"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runscope.operators import events as E
+from runscope.sources import event_store
 
 
 def read_store(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -24,20 +25,15 @@ def write_batch(df: DataFrame, batch_id: int | str, path: str, by: tuple[str, ..
     df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(path)
 
 
-def store_events(ev: DataFrame, batch_id: int, path: str) -> None:
-    """Events that no other batch has stored, each once; the store is partitioned by day.
+#: Batches after which small ones of a day are merged.
+MERGE_EVERY = 16
 
-    An event has the same time, so the same day, whenever it is read again: only the
-    stored days that the batch has are looked at.
-    """
-    ev = ev.persist()
-    days = [r["day"] for r in ev.select("day").distinct().collect()]  # the days of one micro-batch
-    stored = read_store(ev.sparkSession, path, T.StructType([*ev.schema.fields, T.StructField("batch_id", T.LongType())]))
-    near = F.col("day").isin([d for d in days if d is not None])
-    near = F.coalesce(near, F.lit(False)) | F.col("day").isNull() if None in days else near
-    fresh = E.new_events(E.dedupe(ev), stored.where(near & (F.col("batch_id") != batch_id)).select("event_id"))
-    write_batch(fresh, batch_id, path, ("day",))
-    ev.unpersist()
+
+def store_events(ev: DataFrame, batch_id: int, store: str) -> None:
+    """Events that no other batch has stored, each once (see ``event_store``)."""
+    event_store.add(ev, batch_id, store)
+    if batch_id % MERGE_EVERY == MERGE_EVERY - 1:
+        event_store.merge(ev.sparkSession, store, batch_id)
 
 
 def store_logs(lines: DataFrame, batch_id: int, path: str) -> DataFrame:
@@ -55,7 +51,7 @@ def ingest(lines: DataFrame, store: str, checkpoint: str, mapping: dict | None =
         batch = batch.persist()
         _, bad = E.quarantine(batch)
         ev = E.normalize(batch, mapping, logs=store_logs(batch, batch_id, f"{store}/logs"), **normal)
-        store_events(ev, batch_id, f"{store}/events")
+        store_events(ev, batch_id, store)
         write_batch(bad, batch_id, f"{store}/quarantine")
         write_batch(E.unknown_types(ev), batch_id, f"{store}/unknown_types")
         batch.unpersist()
