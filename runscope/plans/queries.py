@@ -743,7 +743,7 @@ def in_slices(spark: SparkSession, d: str, n: int = 4) -> DataFrame:
     return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-@query(f"WITH {EV}, ends AS (SELECT session_id, min(event_ts) AS a, max(event_ts) AS b FROM ev GROUP BY ALL), points AS (SELECT DISTINCT session_id, event_ts FROM (SELECT session_id, event_ts FROM ev WHERE kind = 'file_changed' UNION ALL SELECT session_id, a FROM ends)), nexts AS (SELECT *, lead(event_ts) OVER (PARTITION BY session_id ORDER BY event_ts) AS n FROM points), mark AS (SELECT max(event_ts) - INTERVAL 10 DAY AS w FROM ev) SELECT session_id, epoch_ms(event_ts) * 1000 AS start_us, epoch_ms(event_ts) * 1000 + 86400000000 AS at_us FROM nexts JOIN ends USING (session_id), mark WHERE coalesce(n, b) - event_ts >= INTERVAL 1 DAY OR (n IS NULL AND event_ts + INTERVAL 1 DAY <= w)")
+@query(f"WITH {EV}, ends AS (SELECT session_id, min(event_ts) AS a, max(event_ts) AS b FROM ev GROUP BY ALL), points AS (SELECT DISTINCT session_id, event_ts FROM (SELECT session_id, event_ts FROM ev WHERE kind = 'file_changed' UNION ALL SELECT session_id, a FROM ends)), nexts AS (SELECT *, lead(event_ts) OVER (PARTITION BY session_id ORDER BY event_ts) AS n FROM points), mark AS (SELECT max(event_ts) - INTERVAL 10 DAY AS w FROM ev) SELECT session_id, epoch_us(event_ts) // 1000 * 1000 AS start_us, epoch_us(event_ts) // 1000 * 1000 + 86400000000 AS at_us FROM nexts JOIN ends USING (session_id), mark WHERE coalesce(n, b) - event_ts >= INTERVAL 1 DAY OR (n IS NULL AND event_ts + INTERVAL 1 DAY <= w)")
 def stream_stagnation(spark, d):
     """One row for each stretch of a day without a file change, over several micro-batches: those of the batch, and open ones that the watermark ends.  The state keeps milliseconds."""
     out = run_stream(spark, P.apply(in_slices(spark, d), P.Stagnation(DAY, 0), "10 days"))

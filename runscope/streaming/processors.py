@@ -8,7 +8,7 @@ watermark moves on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor
@@ -19,12 +19,15 @@ MARKERS = ("file_changed",)
 FORGET_MS = 7 * 24 * 3600 * 1000
 
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
 def _ms(t: datetime) -> int:
-    return int((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp() * 1000)
+    return ((t if t.tzinfo else t.replace(tzinfo=timezone.utc)) - EPOCH) // timedelta(milliseconds=1)
 
 
 def _at(ms: int) -> datetime:
-    return datetime.fromtimestamp(ms / 1000, timezone.utc)
+    return EPOCH + timedelta(milliseconds=ms)
 
 
 def _ends(row) -> bool | None:
