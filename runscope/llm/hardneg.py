@@ -4,8 +4,9 @@ Candidates stand along a Hilbert curve in blocks of a Parquet table; each block
 the smallest and largest value of every component and the labels that it holds.
 Interval arithmetic over these gives the range of scores that an anchor can have with
 a block's rows, and so the blocks that each of its windows must read.  A first round
-reads for each window the block that promises most; what it finds there raises the
-window's lower end, which rules out more blocks for the second.
+reads for each window the blocks that promise most (the square root of their number);
+what it finds there raises the window's lower end, which rules out more blocks, and most
+rows of the others, for the second.
 """
 
 from __future__ import annotations
@@ -136,7 +137,8 @@ class Mining:
         order = ["dim", "place", "vec_id", "label"]
         self.blocks = materialize(pack(placed, order, ["dim"], block_rows, block, schema(BLOCK), own.count(), self.cores), "blocks")
         self.groups = materialize(pack(anchors, order, ["dim"], group_rows, group, schema(GROUP), anchors.count(), self.cores), "anchor_groups")
-        self.tasks = max(1, min(self.blocks.count(), 20_000))
+        n = self.blocks.count()
+        self.tasks, self.first = max(1, min(n, 20_000)), max(1, round(n**0.5))
         # zone maps in chunks; every group meets every chunk in one of as many buckets as groups are dealt to
         self.buckets = max(1, min(self.groups.count(), 4 * self.cores))
         chunk = F.floor(F.row_number().over(Window.partitionBy("dim", "part").orderBy("block")) / CHUNK_BLOCKS)
@@ -149,8 +151,8 @@ class Mining:
         own = windows.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("at", "win", "lo", "hi"))).alias("w"))
         return self.groups.join(own.select("grp", *[F.col(f"w.{n}").alias(f"w_{n}") for n in ("at", "win", "lo", "hi")]), "grp")
 
-    def _promising(self, asks: DataFrame, same: bool, one: bool) -> DataFrame:
-        """(block, grp, need): the windows of a group, by number, that each block may hold rows for; with ``one``, for each window the best block alone."""
+    def _promising(self, asks: DataFrame, same: bool, most_of: int = 0) -> DataFrame:
+        """(block, grp, need): the windows of a group, by number, that each block may hold rows for; with ``most_of``, for each window so many of the blocks that promise most."""
         each = F.pmod(F.xxhash64("grp"), F.lit(self.buckets)).cast("int").alias("bucket")
         met = asks.select("grp", "dim", "labels", "v", "w_at", "w_lo", "w_hi", each).join(self.zones, ["dim", "bucket"])
 
@@ -167,18 +169,17 @@ class Mining:
                     holds = np.array([[(k in h) if same else (len(h) > 1 or h[0] != k) for h in has] for k in kinds.tolist()]).reshape(len(kinds), len(has))[kind]
                     fits = holds[at] & (most[at] >= lo[:, None]) & (least[at] <= hi[:, None])
                     promise = np.where(fits, np.minimum(most[at], hi[:, None].astype(float)), -np.inf)
-                    if one:
-                        best = promise.argmax(axis=1)
-                        w = np.flatnonzero(fits[np.arange(len(at)), best])
-                        blocks, promise = best[w], promise[w, best[w]]
-                    else:
-                        w, blocks = np.nonzero(fits)
-                        promise = promise[w, blocks]
+                    if 0 < most_of < promise.shape[1]:
+                        least_of = np.partition(promise, -most_of, axis=1)[:, -most_of]
+                        fits &= promise >= least_of[:, None]
+                    w, blocks = np.nonzero(fits)
+                    promise = promise[w, blocks]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), b.column("grp")[i].as_py())), pa.array(names[blocks]), pa.array(w.astype(np.int32)), pa.array(promise)], names=["grp", "block", "w", "promise"])
 
         found = met.mapInArrow(compare, "grp long, block long, w int, promise double")
-        if one:
-            found = found.groupBy("grp", "w").agg(F.max_by("block", F.struct("promise", "block")).alias("block"))
+        if most_of:
+            best = F.row_number().over(Window.partitionBy("grp", "w").orderBy(F.desc("promise"), "block"))
+            found = found.withColumn("rank", best).where(F.col("rank") <= most_of)
         return found.groupBy("block", "grp").agg(F.collect_list("w").alias("need"))
 
     def _read(self, asks: DataFrame, pairs: DataFrame, k: int, same: bool) -> DataFrame:
@@ -209,11 +210,11 @@ class Mining:
     def best(self, windows: DataFrame, k: int, same: bool) -> DataFrame:
         """The first ``k`` rows of each window (WINDOW): of the anchor's label or of any other, best first, with their ``rank``."""
         asks = self.asking(windows)
-        first = self._read(asks, self._promising(asks, same, one=True), k, same)
+        first = self._read(asks, self._promising(asks, same, self.first), k, same)
         reached = materialize(first.where(F.col("rank") == k).select("grp", "at", "win", F.col("score").alias("raised")), "reached")
         raised = windows.join(reached, ["grp", "at", "win"], "left").withColumn("lo", F.greatest("lo", F.coalesce("raised", "lo"))).drop("raised")
         asks = materialize(self.asking(raised), "asking")
-        return self._read(asks, self._promising(asks, same, one=False), k, same)
+        return self._read(asks, self._promising(asks, same), k, same)
 
 
 def mine(rows: DataFrame, is_anchor, label: Column, positives: int = 5, negatives: int = 10, low: int = 3, high: int = 9, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
