@@ -1,19 +1,26 @@
 """Session logs: discovery, admission, complete lines in batch, and an incremental source.
 
-``register(spark)`` adds the stream format ``session_log``.  Its offset keeps for
-every file a few checkpoints: ends of complete lines, each with a hash of up to
-MARK_BYTES before it that were read in its batch.  New bytes alone are read; a file
-whose bytes before the last checkpoint differ (cut off, replaced, grown again) is
-read again from the last one that still fits, else from its start, and the event
-ids of the normalised rows let the store drop what it has.  ``maxBytesPerTrigger``
-bounds a batch (by whole lines, one at least).
+``register(spark)`` adds the stream format ``session_log``.  Besides Spark's checkpoint it
+keeps a folder of its own (``statePath``): numbered snapshots of where every file has been
+read to, the last offset that it gave, and for every CELL_BYTES of a file a link, the hash of
+what was read there.  An offset names a snapshot and the files that changed since.
+
+A task reads one cell of one file: the lines that begin there.  The tasks of a changed
+file hash all its cells again; where a link holds only lines behind the old end leave, where
+it does not (cut off, replaced, changed in the middle, grown again) all lines of the cell do,
+and the event ids of the normalised rows let the store drop what it has.  With ``verify`` as
+``last`` only the cell of the old end is looked at.  ``maxBytesPerTrigger`` bounds a batch (by
+whole lines, one at least), the first one after a restart included.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +36,8 @@ from runscope.operators.events import file_session
 
 NAME = re.compile(r"rollout-.*\.jsonl$")
 LINES = T.StructType([T.StructField("source_path", T.StringType()), T.StructField("source_offset", T.LongType()), T.StructField("line", T.StringType())])
-#: Bytes that a checkpoint's hash covers at most; checkpoints kept for a file.
-MARK_BYTES, CHECKPOINTS = 1 << 20, 8
+#: Bytes of a file that a task reads and a link covers; changed files that an offset names before there is a new snapshot; snapshots kept.
+CELL_BYTES, CHANGED, SNAPSHOTS = 16 << 20, 1000, 4
 
 
 def discover_sessions(spark: SparkSession, root: str) -> DataFrame:
@@ -99,39 +106,72 @@ def session_meta(raw: DataFrame) -> DataFrame:
     return first.select("session_id", "m.*", F.lit("unknown").alias("state"))
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+class _Cell(InputPartition):
+    """The lines of a file that begin within a cell; before ``old`` they have been read once."""
+
+    def __init__(self, path: str, cell: int, old: int, end: int):
+        self.path, self.cell, self.old, self.end = path, cell, old, end
 
 
 class SessionLogReader(DataSourceStreamReader):
-    """Reads through the file systems that Arrow knows (local paths, hdfs, s3, gs)."""
+    """Reads through the file systems that Arrow knows (local paths, hdfs, s3, gs).
+
+    Of each file is kept: the end of what was read, its size and time of change then, and
+    whether there was more than the batch had room for.
+    """
 
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root, self.state = options["path"], options.get("statepath")
+        if not self.state:
+            raise ValueError("session_log needs a folder of its own: set the option statePath")
         self.limit = int(options.get("maxbytespertrigger", 0)) or None
-        self.at: dict[str, list] | None = None  # what is read; None before that is known after a restart
-        self.seen: dict[str, tuple] = {}  # path: size and time of change when all of it had been looked at
-
-    def _system(self):
-        return fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), os.path.abspath(self.root))
+        self.size = int(options.get("cellbytes", CELL_BYTES))
+        self.whole = options.get("verify", "all") != "last"
+        self.at: dict | None = None  # the last offset given
+        self.known: tuple[int, dict] = (0, {})  # a snapshot's number and files
+
+    def __getstate__(self) -> dict:
+        """What tasks need."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "known")} | {"at": None, "known": (0, {})}
+
+    @staticmethod
+    def _system(uri: str):
+        return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
+
+    def _put(self, name: str, data: dict) -> None:
+        system, folder = self._system(self.state)
+        path = f"{folder}/{name}"
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex[:8]}"
+        with system.open_output_stream(part) as f:
+            f.write(json.dumps(data).encode())
+        system.move(part, path)
+
+    def _get(self, name: str) -> dict | None:
+        system, folder = self._system(self.state)
+        try:
+            with system.open_input_stream(f"{folder}/{name}") as f:
+                return json.loads(f.read())
+        except FileNotFoundError:
+            return None
+
+    def _drop(self, name: str) -> None:
+        system, folder = self._system(self.state)
+        with contextlib.suppress(FileNotFoundError):
+            system.delete_file(f"{folder}/{name}")
+
+    def _files(self, offset: dict) -> dict[str, list]:
+        """Where every file was read to."""
+        number = offset["snapshot"]
+        if number and self.known[0] != number:
+            found = self._get(f"snapshots/{number}")
+            if found is None:
+                raise ValueError(f"snapshot {number} of the stream's offsets is not in {self.state}")
+            self.known = number, found
+        return {**(self.known[1] if number else {}), **offset["files"]}
 
     def initialOffset(self) -> dict:
-        self.at = {}
-        return {}
-
-    def _hash(self, system, path: str, start: int, end: int) -> str:
-        with system.open_input_file(path) as f:
-            f.seek(start)
-            return hashlib.sha256(f.read(end - start)).hexdigest()[:16]
-
-    def _verified(self, system, path: str, size: int, checks: list) -> list:
-        """The checkpoints up to the last one whose bytes are still there."""
-        for k in range(len(checks), 0, -1):
-            start, end, mark = checks[k - 1]
-            if end <= size and self._hash(system, path, start, end) == mark:
-                return checks[:k]
-        return []
+        return {"snapshot": 0, "files": {}}
 
     def _end(self, system, path: str, at: int, size: int, room: int | None) -> int:
         """Where the last complete line within ``room`` bytes behind ``at`` ends; the first line's end if it is longer."""
@@ -155,61 +195,89 @@ class SessionLogReader(DataSourceStreamReader):
         return at
 
     def latestOffset(self) -> dict:
-        system, root = self._system()
-        base = self.at or {}
-        room = self.limit if self.at is not None else None  # the first batch after a restart takes what has come meanwhile
-        out = {}
+        system, root = self._system(self.root)
+        if self.at is None:  # a restart goes on from what was given last
+            self.at = self._get("given") or self.initialOffset()
+        before, room, changed, there = self._files(self.at), self.limit, {}, set()
         for info in sorted(system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)), key=lambda i: i.path):
             if info.type != fs.FileType.File or not NAME.search(info.base_name) or os.path.islink(info.path):
                 continue
-            checks, stamp = base.get(info.path, []), (info.size, info.mtime_ns)
-            if self.seen.get(info.path) != (*stamp, str(checks)):
-                checks = self._verified(system, info.path, info.size, checks)
-                at = checks[-1][1] if checks else 0
-                if room is None or room > 0:
-                    end = self._end(system, info.path, at, info.size, room)
-                    if end > at:
-                        start = max(at, end - MARK_BYTES)
-                        checks = [*checks, [start, end, self._hash(system, info.path, start, end)]][-CHECKPOINTS:]
-                        room = None if room is None else room - (end - at)
-                    else:
-                        self.seen[info.path] = (*stamp, str(checks))
-            if checks:
-                out[info.path] = checks
-        return out
-
-    def partitions(self, start: dict, end: dict) -> list[_Range]:
-        self.at = end
-        system, _ = self._system()
-        made = []
-        for path, checks in end.items():
-            before = start.get(path, [])
-            if before == checks:
+            there.add(info.path)
+            end, size, time, more = before.get(info.path, [0, 0, 0, False])
+            if (size, time) == (info.size, info.mtime_ns) and not more or room == 0:
                 continue
-            common = [c for c in before if c in checks]
-            stop = checks[-1][1]
-            if not common and before:  # after a restart the end was found without knowing the start
-                common = [c for c in self._verified(system, path, stop, before) if c[1] <= stop]
-            at = common[-1][1] if common else 0
-            if at < stop:
-                made.append(_Range(path, at, stop))
+            low = min(end, info.size)
+            low = low if low == end else self._end(system, info.path, 0, low, None)  # cut off: to the last line end before
+            now = self._end(system, info.path, low, info.size, room)
+            more = room is not None and now < info.size and self._end(system, info.path, now, info.size, None) > now
+            changed[info.path] = [now, info.size, info.mtime_ns, more]
+            room = None if room is None else max(0, room - (now - low))
+        if changed:
+            files = {**self.at["files"], **changed}
+            self.at = {"snapshot": self.at["snapshot"], "files": files}
+            if len(files) > CHANGED:
+                number = self.at["snapshot"] + 1
+                full = {p: v for p, v in self._files(self.at).items() if p in there}
+                self._put(f"snapshots/{number}", full)
+                self.known, self.at = (number, full), {"snapshot": number, "files": {}}
+            self._put("given", self.at)
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[_Cell]:
+        if start["snapshot"] == end["snapshot"]:
+            names = [p for p, v in end["files"].items() if start["files"].get(p) != v]
+            old = self._files(start)
+            new = self._files(end)
+        else:
+            old, new = self._files(start), self._files(end)
+            names = [p for p, v in new.items() if old.get(p) != v]
+        made = []
+        for path in names:
+            before, now = old.get(path, [0])[0], new[path][0]
+            first = 0 if self.whole or now < before else before // self.size
+            made += [_Cell(path, k, min(before, now), now) for k in range(first, -(-now // self.size))]
         return made
 
-    def read(self, part: _Range) -> Iterator[tuple]:
-        system, _ = self._system()
-        with system.open_input_file(part.path) as raw:
-            raw.seek(part.start)
-            at, held = part.start, b""
-            while at + len(held) < part.end:
-                held += raw.read(min(1 << 20, part.end - at - len(held)))
-                *lines, held = held.split(b"\n")
-                for line in lines:
-                    if line.strip():
-                        yield part.path, at, line.decode("utf-8", "replace")
-                    at += len(line) + 1
+    def read(self, part: _Cell) -> Iterator[pa.RecordBatch]:
+        system, _ = self._system(self.root)
+        low, high = part.cell * self.size, min((part.cell + 1) * self.size, part.end)
+        old = max(low, min(part.old, high))
+        link = f"links/{hashlib.sha256(part.path.encode()).hexdigest()[:24]}/{part.cell}"
+        with system.open_input_file(part.path) as f:
+            f.seek(max(0, low - 1))
+            data = f.read(high - max(0, low - 1))
+            begins, data = not low or data[:1] == b"\n", data[1:] if low else data
+            held = self._get(f"{link}-{old}") if old > low else {"hash": ""}
+            fits = held is not None and held["hash"] == (hashlib.sha256(data[: old - low]).hexdigest() if old > low else "")
+            self._put(f"{link}-{high}", {"hash": hashlib.sha256(data).hexdigest(), "before": old})
+            if held and held.get("before") not in (None, old, high):  # no restart goes back two links
+                self._drop(f"{link}-{held['before']}")
+            at = old - low if fits and old > low else 0 if begins else data.find(b"\n") + 1 or len(data)
+            if at < len(data) and not data.endswith(b"\n"):  # the last line goes on in the next cell
+                f.seek(high)
+                tail = b""
+                while high + len(tail) < part.end and b"\n" not in tail:
+                    tail += f.read(min(1 << 16, part.end - high - len(tail)))
+                data += tail[: tail.find(b"\n") + 1]
+        lines, places = [], []
+        while at < len(data):
+            k = data.find(b"\n", at)
+            if k < 0:
+                break
+            if data[at:k].strip():
+                lines.append(data[at:k].decode("utf-8", "replace"))
+                places.append(low + at)
+            at = k + 1
+        for k in range(0, len(lines), 10_000):
+            n = len(lines[k : k + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array(places[k : k + 10_000], pa.int64()), pa.array(lines[k : k + 10_000])], names=LINES.names)
 
     def commit(self, end: dict) -> None:
-        self.at = self.at or end
+        """Snapshots that no restart can need go."""
+        system, folder = self._system(self.state)
+        for info in system.get_file_info(fs.FileSelector(f"{folder}/snapshots", allow_not_found=True)):
+            if info.base_name.isdigit() and int(info.base_name) <= end["snapshot"] - SNAPSHOTS:
+                system.delete_file(info.path)
 
 
 class SessionLog(DataSource):
@@ -228,8 +296,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SessionLog)
 
 
-def tail(spark: SparkSession, root: str, max_bytes_per_trigger: int | None = None) -> DataFrame:
-    """The stream of complete lines below a root; a batch has at most so many bytes, if given."""
+def tail(spark: SparkSession, root: str, state: str, max_bytes_per_trigger: int | None = None, **options) -> DataFrame:
+    """The stream of complete lines below a root; ``state`` is a folder of the stream's own, beside its checkpoint.
+
+    A batch has at most ``max_bytes_per_trigger`` bytes, if given; ``options``: cellBytes, verify.
+    """
     register(spark)
-    stream = spark.readStream.format("session_log").option("path", root)
+    stream = spark.readStream.format("session_log").options(path=root, statePath=state, **options)
     return (stream.option("maxBytesPerTrigger", max_bytes_per_trigger) if max_bytes_per_trigger else stream).load()

@@ -62,7 +62,7 @@ def test_tail_reads_each_complete_line_once(few, tmp_path):
     store, ckpt = str(tmp_path / "store"), str(tmp_path / "ckpt")
 
     def run():
-        q = sinks.ingest(session_log.tail(spark, str(tmp_path / "logs")), store, ckpt).trigger(availableNow=True).start()
+        q = sinks.ingest(session_log.tail(spark, str(tmp_path / "logs"), str(tmp_path / "state")), store, ckpt).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
         return sorted(r["source_type"] for r in spark.read.parquet(f"{store}/events").collect())
 
@@ -206,7 +206,7 @@ def test_events_and_metadata_of_a_log_share_one_session(few, tmp_path):
     store, ckpt = str(tmp_path / "store"), str(tmp_path / "ckpt")
 
     def run():
-        q = sinks.ingest(session_log.tail(spark, str(tmp_path / "logs")), store, ckpt).trigger(availableNow=True).start()
+        q = sinks.ingest(session_log.tail(spark, str(tmp_path / "logs"), str(tmp_path / "state")), store, ckpt).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
 
     run()
@@ -238,30 +238,108 @@ def test_lines_of_split_files_have_their_byte_offsets(spark, tmp_path):
         assert sorted((r["source_offset"], r["line"]) for r in got if r["source_path"].endswith(f"rollout-{name}.jsonl")) == rows
 
 
-def test_a_batch_is_bounded_and_a_changed_file_goes_on_from_what_still_fits(tmp_path):
-    path = tmp_path / "rollout-a.jsonl"
+def reading(tmp_path, **options):
+    return session_log.SessionLogReader({"path": str(tmp_path / "logs"), "statepath": str(tmp_path / "state"), **{k: str(v) for k, v in options.items()}})
+
+
+def read_on(reader, start):
+    """The next batch: (its end, (offset, line) of its rows, its cells)."""
+    end = reader.latestOffset()
+    cells = reader.partitions(start, end)
+    return end, [(x["source_offset"], x["line"]) for c in cells for b in reader.read(c) for x in b.to_pylist()], cells
+
+
+def test_every_batch_is_bounded_the_first_after_a_restart_too(tmp_path):
+    (tmp_path / "logs").mkdir()
+    path = tmp_path / "logs/rollout-a.jsonl"
     path.write_text("".join(f"line {k}\n" for k in range(100)))
-    reader = session_log.SessionLogReader({"path": str(tmp_path), "maxbytespertrigger": "100"})
-    start, seen, ends = reader.initialOffset(), [], []
-    for _ in range(12):
-        end = reader.latestOffset()
-        parts = reader.partitions(start, end)
-        got = [row for p in parts for row in reader.read(p)]
-        assert sum(len(r[2]) + 1 for r in got) <= 100
-        seen += got
-        ends.append(end)
-        start = end
-    assert [r[2] for r in seen] == [f"line {k}" for k in range(100)] and len({r[1] for r in seen}) == 100
-    size = start[str(path)][-1][1]
-    path.write_text("".join(f"line {k}\n" for k in range(90)) + "another\n" * 20)  # the end was rewritten
-    whole = session_log.SessionLogReader({"path": str(tmp_path)})
-    whole.at = start
-    end = whole.latestOffset()
-    (part,) = whole.partitions(start, end)
-    assert 0 < part.start < size and part.start in {c[1] for c in start[str(path)]}
-    again = session_log.SessionLogReader({"path": str(tmp_path)})  # after a restart the start is known late
-    (late,) = again.partitions(start, again.latestOffset())
-    assert (late.start, late.end) == (part.start, part.end)
+    reader, seen = reading(tmp_path, maxbytespertrigger=100, cellbytes=64), []
+    start = reader.initialOffset()
+    for k in range(14):
+        if k % 3 == 2:
+            reader = reading(tmp_path, maxbytespertrigger=100, cellbytes=64)  # knows no start from Spark
+        start, rows, _ = read_on(reader, start)
+        assert sum(len(x[1]) + 1 for x in rows) <= 100
+        seen += rows
+    assert [x[1] for x in seen] == [f"line {k}" for k in range(100)] and len({x[0] for x in seen}) == 100
+    path.write_text("x" * 500 + "\n" + "unfinished")
+    assert [x[1] for x in read_on(reading(tmp_path, maxbytespertrigger=100, cellbytes=64), start)[1]] == ["x" * 500]
+
+
+def test_a_large_log_is_many_tasks_whose_lines_are_those_of_the_file(tmp_path):
+    (tmp_path / "logs").mkdir()
+    lines = [f"{k} {'é' * (k % 97)}" for k in range(2000)] + ["y" * 5000, "", "z"]
+    (tmp_path / "logs/rollout-a.jsonl").write_bytes("\n".join(lines).encode() + b"\n")
+    want, at = [], 0
+    for x in lines:
+        want += [(at, x)] if x else []
+        at += len(x.encode()) + 1
+    for size in (1000, 4096, 1 << 20):
+        reader = reading(tmp_path / ".", cellbytes=size, statepath=str(tmp_path / f"state{size}"))
+        _, rows, cells = read_on(reader, reader.initialOffset())
+        assert rows == want and len(cells) == -(-at // size)
+
+
+def test_a_change_anywhere_is_found_and_only_its_cells_are_read_again(tmp_path):
+    (tmp_path / "logs").mkdir()
+    path = tmp_path / "logs/rollout-a.jsonl"
+    lines = [f"line {k:04d}" for k in range(200)]  # ten bytes each
+    write = lambda: path.write_text("\n".join(lines) + "\n")
+    write()
+    reader = reading(tmp_path, cellbytes=200)
+    start, rows, _ = read_on(reader, reader.initialOffset())
+    assert len(rows) == 200
+    lines += ["line 0200", "line 0201"]
+    write()
+    start, rows, _ = read_on(reader, start)
+    assert rows == [(2000, "line 0200"), (2010, "line 0201")]
+    lines[57] = "LINE 0057"  # far from any end; the size is the same
+    write()
+    os.utime(path, ns=(1, reader._files(start)[str(path)][2] + 1))
+    start, rows, _ = read_on(reading(tmp_path, cellbytes=200), start)
+    assert [x[1] for x in rows] == lines[40:60]
+    lines[10:12] = ["a longer line that moves all others"]
+    write()
+    start, rows, _ = read_on(reading(tmp_path, cellbytes=200), start)
+    assert [x[1] for x in rows] == [x for x in lines if rows[0][0] <= sum(len(y) + 1 for y in lines[: lines.index(x)])] and "a longer line that moves all others" in [x[1] for x in rows]
+    del lines[100:]
+    write()  # cut off
+    start, rows, _ = read_on(reading(tmp_path, cellbytes=200), start)
+    assert len(rows) <= 20 and read_on(reading(tmp_path, cellbytes=200), start)[1] == []
+    lines += ["grown again"]
+    write()
+    assert [x[1] for x in read_on(reading(tmp_path, cellbytes=200), start)[1]][-1] == "grown again"
+
+
+def test_an_offset_names_what_changed_since_a_snapshot(tmp_path, monkeypatch):
+    monkeypatch.setattr(session_log, "CHANGED", 20)
+    (tmp_path / "logs").mkdir()
+    names = [tmp_path / f"logs/rollout-{k}.jsonl" for k in range(300)]
+    for n in names:
+        n.write_text("one\n")
+    reader = reading(tmp_path)
+    start, rows, _ = read_on(reader, reader.initialOffset())
+    assert len(rows) == 300 and start == {"snapshot": 1, "files": {}}
+    for n in names[:10]:
+        with open(n, "a") as f:
+            f.write("two\n")
+    end, rows, cells = read_on(reading(tmp_path), start)
+    assert len(end["files"]) == 10 and end["snapshot"] == 1 and len(cells) == 10 and {x[1] for x in rows} == {"two"}
+    assert read_on(reading(tmp_path), end)[0] == end  # nothing new: the same offset
+    for n in names[10:25]:
+        n.write_text("")
+    over, rows, _ = read_on(reading(tmp_path), end)
+    assert over == {"snapshot": 2, "files": {}} and rows == []
+    for k in range(6):
+        for n in names[:25]:
+            with open(n, "a") as f:
+                f.write(f"{k}\n")
+        over, rows, _ = read_on(reading(tmp_path), over)
+        assert len(rows) == 25
+        reading(tmp_path).commit(over)
+    assert len(list((tmp_path / "state/snapshots").iterdir())) <= session_log.SNAPSHOTS
+    with pytest.raises(ValueError, match="not in"):
+        reading(tmp_path).partitions({"snapshot": 1, "files": {}}, over)
 
 
 def test_late_rows_reach_the_store_once(few, tmp_path):
@@ -273,7 +351,7 @@ def test_late_rows_reach_the_store_once(few, tmp_path):
     def run(*lines):
         with open(log, "a") as f:
             f.writelines(lines)
-        q = sinks.ingest(session_log.tail(spark, str(tmp_path / "logs")), store, ckpt).trigger(availableNow=True).start()
+        q = sinks.ingest(session_log.tail(spark, str(tmp_path / "logs"), str(tmp_path / "state")), store, ckpt).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
 
     run(record(0, "turn_started"), record(5000, "turn_complete"))
