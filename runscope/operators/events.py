@@ -1,7 +1,8 @@
 """Normalisation of raw records, and the per-session window operators.
 
 All windows share one order within a session: event time, source path, source
-offset.  Rules over one session therefore need a single shuffle.
+offset.  Rules over one session therefore need a single shuffle.  Events that
+``segments.segmented`` has cut make the rules run by segment, with the same rows.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from runscope.functions import redaction as R
 from runscope.functions import text as X
+from runscope.operators import segments as G
+from runscope.operators.segments import ORDER
 from runscope.schemas import EVENT, EVENT_KINDS, MAX_SUMMARY
 
-ORDER = ("event_ts", "source_path", "source_offset")
-
 #: Record types of the raw log and their kinds; a mapping table of the caller may replace it.
 MAPPING = {
     "user_message": "message", "assistant_message": "message", "message": "message", "reasoning": "reasoning", "exec_command": "command",
@@ -151,8 +152,12 @@ def session_summary(ev: DataFrame) -> DataFrame:
 
 def turns(ev: DataFrame) -> DataFrame:
     """Adds turn_no (started turns so far) and ordinal within the turn, from 1."""
-    numbered = ev.withColumn("turn_no", F.sum(F.when(F.col("phase") == "turn_started", 1).otherwise(0)).over(running()))
-    return numbered.withColumn("ordinal", F.row_number().over(session_window("turn_no")))
+    started = F.col("phase") == "turn_started"
+    numbered = G.running(ev, "turn_no", F.when(started, 1).otherwise(0))
+    if not G.columns(ev):
+        return numbered.withColumn("ordinal", F.row_number().over(session_window("turn_no")))
+    placed = G.latest(G.running(numbered, "__at", F.lit(1)), "__start", F.when(started, F.col("__at")))
+    return placed.withColumn("ordinal", (F.col("__at") - F.coalesce("__start", F.lit(1)) + 1).cast("int")).drop("__at", "__start")
 
 
 def pair_commands(ev: DataFrame, max_seconds: int | None = None) -> DataFrame:
@@ -176,12 +181,10 @@ def repeated_command(ev: DataFrame, n: int = 3) -> DataFrame:
 
     Other commands between do not break a run.  One row for each run.
     """
-    epoch = ev.withColumn("epoch", F.sum((F.col("kind") == "file_changed").cast("int")).over(running()))
-    own = epoch.where("kind = 'command_result' and command_norm is not null")
-    before = F.lag("exit_code").over(session_window("command_norm", "epoch"))
-    first = F.row_number().over(session_window("command_norm", "epoch")) == 1
-    own = own.withColumn("changed", F.when(first | before.eqNullSafe(F.col("exit_code")), 0).otherwise(1))
-    own = own.withColumn("island", F.sum("changed").over(running("command_norm", "epoch")))
+    epoch = G.running(ev, "epoch", (F.col("kind") == "file_changed").cast("int"))
+    own = G.previous(epoch.where("kind = 'command_result' and command_norm is not null"), "__before", F.struct("exit_code"), "command_norm", "epoch")
+    same = F.col("__before").isNull() | F.col("__before.exit_code").eqNullSafe(F.col("exit_code"))
+    own = G.running(own.withColumn("changed", F.when(same, 0).otherwise(1)), "island", F.col("changed"), "command_norm", "epoch")
     key = ("session_id", "command_norm", "epoch", "island")
     found = own.groupBy(*key).agg(
         F.count("*").alias("n"), F.min_by("event_id", F.struct(*ORDER)).alias("first_event"), F.max_by("event_id", F.struct(*ORDER)).alias("last_event"),
@@ -199,14 +202,14 @@ def recurring_error(ev: DataFrame, n: int = 3) -> DataFrame:
 def new_files(ev: DataFrame) -> DataFrame:
     """The first change of each path in a session."""
     own = ev.where("kind = 'file_changed' and path is not null")
-    return own.withColumn("__n", F.row_number().over(session_window("path"))).where("__n = 1").drop("__n")
+    return G.previous(own, "__before", F.struct(F.lit(1)), "path").where("__before is null").drop("__before")
 
 
 def test_trend(ev: DataFrame) -> DataFrame:
     """Test results with ``trend`` against the target's previous one: improving, stable, worsening or unknown."""
     own = ev.where("kind = 'test_result'")
-    w = session_window("test_target")
-    own = own.withColumn("prev_failed", F.lag("tests_failed").over(w)).withColumn("prev_passed", F.lag("tests_passed").over(w))
+    own = G.previous(own, "__before", F.struct("tests_failed", "tests_passed"), "test_target")
+    own = own.withColumn("prev_failed", F.col("__before.tests_failed")).withColumn("prev_passed", F.col("__before.tests_passed")).drop("__before")
     f, pf, p, pp = (F.col(c) for c in ("tests_failed", "prev_failed", "tests_passed", "prev_passed"))
     worse = (f > pf) | ((f == pf) & F.coalesce(p < pp, F.lit(False)))
     better = (f < pf) | ((f == pf) & F.coalesce(p > pp, F.lit(False)))
@@ -216,56 +219,73 @@ def test_trend(ev: DataFrame) -> DataFrame:
 def fixed_commands(ev: DataFrame) -> DataFrame:
     """Results of a command that failed before and now succeeds."""
     own = ev.where("kind = 'command_result' and command_norm is not null")
-    return own.withColumn("prev_exit", F.lag("exit_code").over(session_window("command_norm"))).where("exit_code = 0 and prev_exit <> 0")
+    own = G.previous(own, "__before", F.struct("exit_code"), "command_norm")
+    return own.withColumn("prev_exit", F.col("__before.exit_code")).drop("__before").where("exit_code = 0 and prev_exit <> 0")
 
 
 def hypothesis_changes(ev: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Reasoning whose tokens differ from the previous one's by a Jaccard below ``threshold``; the first counts."""
     own = ev.where("kind = 'reasoning'").withColumn("__t", X.tokens(F.col("summary")))
-    own = own.withColumn("__p", F.lag("__t").over(session_window()))
-    return own.where(F.col("__p").isNull() | (X.jaccard(F.col("__t"), F.col("__p")) < threshold)).drop("__t", "__p")
+    own = G.previous(own, "__p", F.struct("__t"))
+    before = F.col("__p.__t")
+    return own.where(before.isNull() | (X.jaccard(F.col("__t"), before) < threshold)).drop("__t", "__p")
 
 
 def progress_markers(ev: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(session_id, event_id, event_ts, source_path, source_offset, marker), one row for each event and marker."""
-    targets = ev.where("kind = 'test_result'").withColumn("__n", F.row_number().over(session_window("test_target"))).where("__n = 1")
+    targets = G.previous(ev.where("kind = 'test_result'"), "__before", F.struct(F.lit(1)), "test_target").where("__before is null")
     found = [
         ("hypothesis", hypothesis_changes(ev, threshold)), ("new_file", new_files(ev)), ("new_test_target", targets),
         ("improved_test", test_trend(ev).where("trend = 'improving'")), ("fixed_command", fixed_commands(ev)), ("milestone", ev.where("phase = 'turn_complete'")),
     ]
     out = None
     for name, rows in found:
-        rows = rows.select("session_id", "event_id", *ORDER, F.lit(name).alias("marker"))
+        rows = rows.select("session_id", "event_id", *ORDER, F.lit(name).alias("marker"), *G.columns(ev))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def since_progress(ev: DataFrame, markers: DataFrame) -> DataFrame:
     """Each event with the time of the last marker up to it and the seconds since (null before the first)."""
-    marked = ev.select("session_id", "event_id", *ORDER).unionByName(markers.select("session_id", "event_id", *ORDER)).distinct()
+    own = ["session_id", "event_id", *ORDER, *G.columns(ev)]
+    marked = ev.select(*own).unionByName(markers.select(*own)).distinct()
     marked = marked.join(markers.select("session_id", "event_id", F.lit(True).alias("__m")).distinct(), ["session_id", "event_id"], "left")
-    last = F.last(F.when(F.col("__m"), F.col("event_ts")), ignorenulls=True).over(running())
-    return marked.withColumn("last_progress", last).withColumn("seconds", X.elapsed(F.col("last_progress"), F.col("event_ts"))).drop("__m")
+    marked = marked.repartition("session_id", G.SEGMENT) if G.columns(ev) else marked
+    marked = G.latest(marked, "last_progress", F.when(F.col("__m"), F.col("event_ts")))
+    return marked.withColumn("seconds", X.elapsed(F.col("last_progress"), F.col("event_ts"))).drop("__m")
 
 
-def stagnation_gaps(ev: DataFrame, markers: DataFrame, seconds: int = 1500, asof=None) -> DataFrame:
+def stagnation_gaps(ev: DataFrame, markers: DataFrame, seconds: int = 1500, asof=None, segment_rows: int | None = None) -> DataFrame:
     """(session_id, gap_start, gap_end, seconds): stretches of at least ``seconds`` without a marker.
 
     The stretch behind a session's last marker ends at ``asof`` (a literal time) or
-    its last event.
+    its last event.  With ``segment_rows`` sessions of more markers are cut.
     """
     ends = ev.groupBy("session_id").agg(F.min("event_ts").alias("event_ts"), F.max("event_ts").alias("last_ts"))
     ends = ends.withColumn("last_ts", F.lit(asof).cast("timestamp")) if asof is not None else ends
     points = markers.select("session_id", "event_ts").unionByName(ends.select("session_id", "event_ts")).unionByName(ends.select("session_id", F.col("last_ts").alias("event_ts"))).distinct()
-    gaps = points.withColumn("gap_end", F.lead("event_ts").over(Window.partitionBy("session_id").orderBy("event_ts"))).withColumnRenamed("event_ts", "gap_start")
+    points = G.segmented(points, segment_rows) if segment_rows else points
+    gaps = G.previous(points, "__from", F.struct("event_ts"), order=("event_ts",)).where("__from is not null")
+    gaps = gaps.select("session_id", F.col("__from.event_ts").alias("gap_start"), F.col("event_ts").alias("gap_end"))
     return gaps.withColumn("seconds", X.elapsed(F.col("gap_start"), F.col("gap_end"))).where(F.col("seconds") >= seconds)
 
 
-def suppress_active(gaps: DataFrame, commands: DataFrame, max_seconds: int = 3600) -> DataFrame:
-    """Gaps that no running command covers; a command counts until its result, ``max_seconds`` at most."""
+def suppress_active(gaps: DataFrame, commands: DataFrame, max_seconds: int = 3600, segment_rows: int | None = None) -> DataFrame:
+    """Gaps that no running command covers; a command counts until its result, ``max_seconds`` at most.
+
+    A sweep: commands by their start and gaps by their end in one order; a gap is covered
+    where the latest end of the commands that began before it lies behind its start.  The
+    work is linear in both, whatever overlaps.  With ``segment_rows`` sessions of more are cut.
+    """
     limit = F.col("started") + F.make_interval(secs=F.lit(max_seconds))
-    busy = commands.select("session_id", "started", F.least(F.coalesce("ended", limit), limit).alias("until"))
-    return gaps.join(busy, (gaps["session_id"] == busy["session_id"]) & (busy["started"] < gaps["gap_end"]) & (busy["until"] > gaps["gap_start"]), "left_anti")
+    none = F.lit(None).cast("timestamp")
+    busy = commands.select("session_id", F.col("started").alias("at"), F.lit(1).alias("kind"), F.least(F.coalesce("ended", limit), limit).alias("until"), none.alias("gap_start"), F.lit(None).cast("long").alias("seconds"))
+    ends = gaps.select("session_id", F.col("gap_end").alias("at"), F.lit(0).alias("kind"), none.alias("until"), "gap_start", F.col("seconds").cast("long").alias("seconds"))
+    both = ends.unionByName(busy)
+    both = G.segmented(both, segment_rows, at="at") if segment_rows else both
+    swept = G.running(both, "latest", F.col("until"), of=F.max, order=("at", "kind")).where("kind = 0")
+    free = swept.where(F.col("latest").isNull() | (F.col("latest") <= F.col("gap_start")))
+    return free.select("session_id", "gap_start", F.col("at").alias("gap_end"), F.col("seconds").cast(gaps.schema["seconds"].dataType).alias("seconds"))
 
 
 def check_monotonic(ev: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from runscope.operators import events as E
 from runscope.operators import metrics as M
 from runscope.operators import notify as N
 from runscope.operators import rules as G
+from runscope.operators import segments as GS
 from runscope.operators import status as S
 from runscope.operators import validate as D
 from runscope.plans.layout import by_session, state_of
@@ -750,6 +751,46 @@ def stream_stagnation(spark, d):
     return out.select("session_id", us("last_progress").alias("start_us"), us("at").alias("at_us"))
 
 
+#: Rows of a segment in the queries below: a fraction of a session, so that sessions of these tables are cut.
+FEW = 20
+
+
+def cut_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events with every session of more than FEW in segments, written once for the rules that follow."""
+    return materialize(GS.segmented(events(spark, d), FEW), "segments")
+
+
+@query(SQL["turns"])
+def segmented_turns(spark, d):
+    return E.turns(cut_events(spark, d)).select("event_id", "session_id", "turn_no", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(SQL["repeated_command"])
+def segmented_repetition(spark, d):
+    return E.repeated_command(cut_events(spark, d)).select("session_id", "command_norm", "epoch", "island", "n", "first_event", "last_event")
+
+
+@query(SQL["progress_markers"])
+def segmented_markers(spark, d):
+    return E.progress_markers(cut_events(spark, d)).select("session_id", "event_id", "marker")
+
+
+@query(SQL["since_progress"])
+def segmented_progress(spark, d):
+    ev = cut_events(spark, d)
+    return E.since_progress(ev, E.progress_markers(ev)).select("event_id", "session_id", us("last_progress").alias("last_us"), "seconds")
+
+
+@query(SQL["suppressed_stagnation"])
+def segmented_stagnation(spark, d):
+    """The sweep of ``suppressed_stagnation`` over segments of points, gaps and commands."""
+    ev = cut_events(spark, d)
+    k = F.regexp_extract("summary", "([0-9]+)", 1).cast("int")
+    commands = ev.where("kind = 'error'").where(k >= 50).select("session_id", F.col("event_ts").alias("started"), F.lit(None).cast("timestamp").alias("ended"))
+    gaps = E.suppress_active(E.stagnation_gaps(ev, E.progress_markers(ev), DAY, segment_rows=FEW), commands, DAY // 2, segment_rows=FEW)
+    return gaps.select("session_id", us("gap_start").alias("start_us"), us("gap_end").alias("end_us"))
+
+
 @query()
 def packets(spark, d):
     """Whole observation packets as JSON; lists of structs are checked by tests."""
