@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import signal
+import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
@@ -14,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from runscope.functions import redaction as R
 from runscope.functions import text as X
 from runscope.operators import events as E
-from runscope.schemas import ASSESSMENT, MAX_EVENTS, MAX_SUMMARY, MIN_CONFIDENCE, SCHEMA_VERSION, severity_rank
+from runscope.schemas import ALIGNMENTS, ASSESSMENT, MAX_EVENTS, MAX_SUMMARY, MIN_CONFIDENCE, SCHEMA_VERSION, STATUSES, severity_rank
 
 
 def cap_arrays(array: Column, n: int) -> Column:
@@ -127,6 +130,23 @@ def packet_json(packets: DataFrame) -> DataFrame:
 
 
 Assessor = Callable[[dict], dict]
+#: One call of an assessor: how it ended (ok, error or timeout), whether the answer is of the contract's form, and the answer.
+ATTEMPT = f"packet_id string, session_id string, assessor string, attempt int, call_status string, latency_ms long, valid boolean, error string, answer struct<{', '.join(f'{n}:{k}' for n, k in (c.split(' ', 1) for c in ASSESSMENT.split(', ')))}>"
+
+
+def _answer(row: dict, answer: dict, names: list[str]) -> dict:
+    """The columns of ASSESSMENT of what an assessor gave."""
+    a = {"packet_id": row["packet_id"], "session_id": row["session_id"], "schema_version": SCHEMA_VERSION} | answer
+    at = a.get("assessed_at")
+    if isinstance(at, str):
+        at = datetime.fromisoformat(at)
+    a["assessed_at"] = at.replace(tzinfo=timezone.utc) if at is not None and at.tzinfo is None else at
+    return {n: a.get(n) for n in names}
+
+
+def _sent(packets: DataFrame, partitions: int | None) -> DataFrame:
+    rows = packet_json(packets).join(packets.select("packet_id", "session_id"), "packet_id")
+    return rows.repartition(partitions) if partitions else rows
 
 
 def assess(packets: DataFrame, assessor: Assessor, partitions: int | None = None) -> DataFrame:
@@ -134,26 +154,84 @@ def assess(packets: DataFrame, assessor: Assessor, partitions: int | None = None
 
     It gets a packet as a dictionary of plain values (observed content is data,
     never an instruction; it gets no tools) and returns the columns of ASSESSMENT
-    that it knows.  Select the packets that are due before this step.
+    that it knows.  Select the packets that are due before this step.  An assessor that
+    may be late or fail goes through ``attempts``.
     """
     arrow = to_arrow_schema(T.StructType.fromDDL(ASSESSMENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([_answer(row, assessor(json.loads(row["json"])), arrow.names) for row in b.to_pylist()], schema=arrow)
 
+    return _sent(packets, partitions).mapInArrow(run, ASSESSMENT)
+
+
+class _Late(BaseException):
+    """Not an Exception, so that an assessor's own handlers let it pass."""
+
+
+def call_within(f: Callable[[], object], seconds: float) -> tuple[str, object]:
+    """(ok, result), (error, message) or (timeout, None) of a call that is broken off after so many seconds.
+
+    It runs on the main thread of a worker's process, under a timer; a call that does not
+    come back to the interpreter (a loop in native code) is late when it ends.
+    """
+
+    def late(*_) -> None:
+        raise _Late
+
+    before = signal.signal(signal.SIGALRM, late)
+    try:
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return "ok", f()
+        except Exception as e:
+            return "error", f"{type(e).__name__}: {e}"
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+    except _Late:
+        return "timeout", None
+    finally:
+        signal.signal(signal.SIGALRM, before)
+
+
+def in_form(a: dict) -> bool:
+    """Whether an answer has what every later step reads: known values and a confidence between 0 and 1."""
+    number = isinstance(a["confidence"], (int, float)) and 0 <= a["confidence"] <= 1
+    return number and a["status"] in STATUSES and a["goal_alignment"] in ALIGNMENTS and isinstance(a["needs_attention"], bool)
+
+
+def attempts(packets: DataFrame, assessor: Assessor, name: str, seconds: float, tries: int = 2, partitions: int | None = None) -> DataFrame:
+    """ATTEMPT rows of a plug-in over packets: a late or failing call is a row, never a failed job.
+
+    A packet is tried at most ``tries`` times, until an answer is in form; the strong
+    assessor is not asked again after a timeout.  So a task takes at most ``tries`` times
+    ``seconds`` for each of its packets.  ``select_attempt`` chooses among the rows.
+    """
+    arrow = to_arrow_schema(T.StructType.fromDDL(ATTEMPT))
+    names = T.StructType.fromDDL(ASSESSMENT).names
+
+    def tried(row: dict) -> Iterator[dict]:
+        for n in range(1, tries + 1):
+            began = time.monotonic()
+            status, said = call_within(lambda: _answer(row, assessor(json.loads(row["json"])), names), seconds)
+            out = {"packet_id": row["packet_id"], "session_id": row["session_id"], "assessor": name, "attempt": n, "call_status": status, "latency_ms": int((time.monotonic() - began) * 1000), "valid": False, "error": said if status == "error" else None, "answer": None}
+            if status == "ok":
+                try:
+                    out |= {"valid": in_form(said), "answer": said}
+                    pa.array([said], arrow.field("answer").type)
+                except (pa.ArrowInvalid, pa.ArrowTypeError, TypeError) as e:  # values of other kinds
+                    out |= {"valid": False, "answer": None, "error": f"{type(e).__name__}: {e}"}
+            yield out
+            if out["valid"] or (status == "timeout" and name == "strong"):
+                return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
             for row in b.to_pylist():
-                a = {"packet_id": row["packet_id"], "session_id": row["session_id"], "schema_version": SCHEMA_VERSION} | assessor(json.loads(row["json"]))
-                at = a.get("assessed_at")
-                if isinstance(at, str):
-                    at = datetime.fromisoformat(at)
-                a["assessed_at"] = at.replace(tzinfo=timezone.utc) if at is not None and at.tzinfo is None else at
-                made.append({n: a.get(n) for n in arrow.names})
-            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                yield pa.RecordBatch.from_pylist(list(tried(row)), schema=arrow)
 
-    rows = packet_json(packets).join(packets.select("packet_id", "session_id"), "packet_id")
-    return (rows.repartition(partitions) if partitions else rows).mapInArrow(run, ASSESSMENT)
+    return _sent(packets, partitions).mapInArrow(run, ATTEMPT)
 
 
 def rule_assessment(sessions: DataFrame, signals: DataFrame, markers: DataFrame, ev: DataFrame) -> DataFrame:

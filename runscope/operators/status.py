@@ -17,9 +17,23 @@ def active_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def list_sessions(sessions: DataFrame, attention: DataFrame) -> DataFrame:
-    """Sessions by attention, then the latest first."""
-    out = sessions.join(attention.select("session_id", "needs_attention", "max_severity"), "session_id", "left").fillna(False, ["needs_attention"])
-    return out.orderBy(F.desc("needs_attention"), F.desc_nulls_last("last_ts"), "session_id")
+    """Sessions with their attention, in no order; ``session_page`` gives them page by page."""
+    return sessions.join(attention.select("session_id", "needs_attention", "max_severity"), "session_id", "left").fillna(False, ["needs_attention"])
+
+
+def session_page(listed: DataFrame, n: int, after: tuple | None = None) -> DataFrame:
+    """The first ``n`` sessions behind a key, by attention, then the latest first (unknown times last), then by id.
+
+    ``after`` is (needs_attention, last_ts, session_id) of the last row of the page before;
+    without it the first page.  Each task keeps ``n`` rows at most and only these are merged.
+    """
+    rows = listed
+    if after is not None:
+        urgent, last, session = after
+        attention, at, name = F.col("needs_attention"), F.col("last_ts"), F.col("session_id")
+        behind = at.isNull() & (name > session) if last is None else (at < F.lit(last)) | at.isNull() | ((at == F.lit(last)) & (name > session))
+        rows = rows.where(((attention == urgent) & behind) | (~attention if urgent else F.lit(False)))
+    return rows.orderBy(F.desc("needs_attention"), F.desc_nulls_last("last_ts"), "session_id").limit(n)
 
 
 def session_detail(sessions: DataFrame, summary: DataFrame, assessments: DataFrame, session: str) -> DataFrame:

@@ -5,6 +5,8 @@ Imported by ``runscope.plans.queries``, whose helpers and fragments of SQL they
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from runscope.operators import rules as G
 from runscope.operators import status as S
 from runscope.operators import validate as D
 from runscope.plans.queries import ALL, CHANGES, DEMO, EV, ROUTINE, TOLD, bounds, demo_assessments, demo_told, events, query, raw_lines, routine, signals, stored_events, us
-from runscope.session import read_table, scratch_path
+from runscope.schemas import SIGNAL
+from runscope.session import materialize, read_table, scratch_path
 from runscope.sources import event_store, sinks
 
 
@@ -307,3 +310,40 @@ def attempts_after_timeouts(spark, d):
     first = t.select("packet_id", "assessor", F.lit(1).alias("attempt"), (F.col("o") == 0).alias("valid"), F.when(F.col("o") == 2, "timeout").otherwise("ok").alias("call_status"))
     second = t.select("packet_id", "assessor", F.lit(2).alias("attempt"), F.lit(True).alias("valid"), F.lit("ok").alias("call_status"))
     return A.select_attempt(first.unionByName(second)).select("packet_id", "assessor", F.col("attempt").cast("long").alias("attempt"))
+
+
+@query(f"WITH {ALL}, l AS (SELECT s.session_id, s.state, coalesce(bool_or(severity = 'critical'), false) AS needs_attention, s.last_ts FROM states s LEFT JOIN signals USING (session_id) GROUP BY s.session_id, s.state, s.last_ts) SELECT session_id, state, needs_attention, epoch_us(last_ts) AS last_us FROM l ORDER BY needs_attention DESC, last_ts DESC NULLS LAST, session_id LIMIT 20 OFFSET 20")
+def session_page(spark, d):
+    """The second page of twenty sessions, behind the key that the first one ends with."""
+    ev = stored_events(spark, d)
+    listed = materialize(S.list_sessions(G.lifecycle(ev), G.attention(signals(ev))), "listed_sessions")
+    first = S.session_page(listed, 20).collect()
+    after = tuple(first[-1][c] for c in ("needs_attention", "last_ts", "session_id")) if first else None
+    return S.session_page(listed, 20, after).select("session_id", "state", "needs_attention", us("last_ts").alias("last_us"))
+
+
+def marked_assessor(packet: dict) -> dict:
+    """A deterministic plug-in: late, failing or wrong on marked sessions."""
+    n = int(packet["session"]["id"][1:])
+    if n % 50 == 0:
+        time.sleep(600)
+    if n % 7 == 1:
+        raise ValueError("no answer")
+    return {"status": "progressing", "goal_alignment": "aligned", "needs_attention": False, "confidence": 2.0 if n % 7 == 2 else 0.9, "assessed_by": "routine"}
+
+
+@query(f"WITH {EV}, s AS (SELECT DISTINCT session_id, CAST(substr(session_id, 2) AS INTEGER) AS n FROM ev), o AS (SELECT session_id, assessor, CASE WHEN n % 50 = 0 THEN 'timeout' WHEN n % 7 = 1 THEN 'error' ELSE 'ok' END AS call_status, n % 50 <> 0 AND n % 7 NOT IN (1, 2) AS valid FROM s, (VALUES ('routine'), ('strong')) v(assessor)) SELECT session_id, assessor, CAST(attempt AS BIGINT) AS attempt, call_status, valid, valid AS chosen, CASE WHEN valid THEN CAST(0.9 AS DOUBLE) END AS confidence FROM o, (VALUES (1), (2)) t(attempt) WHERE attempt = 1 OR (NOT valid AND NOT (assessor = 'strong' AND call_status = 'timeout'))")
+def failing_assessors(spark, d):
+    """Attempts of two assessors that are late, fail or are wrong on some packets, and which of them is chosen."""
+    ev = events(spark, d)
+    first = ev.groupBy("session_id").agg(F.min("event_ts").alias("started_at")).withColumns({"workspace": F.lit("/w"), "model": F.lit(None).cast("string"), "state": F.lit("unknown")})
+    none = first.select("session_id", F.lit(None).cast("struct<status:string>").alias("previous"))
+    packets = materialize(A.build_packets(ev, spark.createDataFrame([], SIGNAL), first, bounds(ev), none, size=3), "packets")
+    tries = None
+    for name in ("routine", "strong"):
+        own = A.attempts(packets, marked_assessor, name, seconds=0.5, partitions=spark.sparkContext.defaultParallelism)
+        tries = own if tries is None else tries.unionByName(own)
+    tries = materialize(tries, "attempts")
+    chosen = A.select_attempt(tries).select("packet_id", "assessor", "attempt", F.lit(True).alias("chosen"))
+    out = tries.join(chosen, ["packet_id", "assessor", "attempt"], "left")
+    return out.select("session_id", "assessor", F.col("attempt").cast("long").alias("attempt"), "call_status", "valid", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.when(F.col("valid"), F.col("answer.confidence")).alias("confidence"))

@@ -1,6 +1,7 @@
 """Thresholds, policies and contracts of the session operators on small hand-made rows."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -215,6 +216,41 @@ def test_trust_modes_hold_for_the_whole_packet(spark):
     assert not any(x in bare for x in ("/home", "hunter2", "keys", "cat ", "fix", "check")) and "looping" in bare and "rollout-a.jsonl" in bare
 
 
+def test_late_and_failing_assessors_give_rows(spark):
+    def plug_in(packet):
+        if packet["session"]["id"] == "a":
+            try:
+                time.sleep(60)
+            except Exception:  # a plug-in's own handler does not keep it alive
+                time.sleep(60)
+        return {"status": "progressing", "goal_alignment": "aligned", "needs_attention": "perhaps", "confidence": "high"}
+
+    p = packets(spark)
+    began = time.monotonic()
+    late = A.attempts(p, plug_in, "routine", 0.3).collect()
+    assert [(r["attempt"], r["call_status"], r["valid"], r["answer"]) for r in late] == [(1, "timeout", False, None), (2, "timeout", False, None)]
+    assert len(A.attempts(p, plug_in, "strong", 0.3).collect()) == 1 and time.monotonic() - began < 40
+    odd = A.attempts(p, lambda packet: {"confidence": "high", "status": 3}, "routine", 5).collect()
+    assert [(r["call_status"], r["valid"]) for r in odd] == [("ok", False)] * 2 and "Arrow" in odd[0]["error"]
+    fails = A.attempts(p, lambda packet: packet["no such key"], "routine", 5, tries=1).collect()
+    assert [(r["call_status"], r["error"]) for r in fails] == [("error", "KeyError: 'no such key'")]
+    assert A.select_attempt(A.attempts(p, plug_in, "routine", 0.1)).count() == 0
+    assert A.call_within(lambda: 3, 1) == ("ok", 3) and A.call_within(lambda: time.sleep(5), 0.05) == ("timeout", None)
+
+
+def test_pages_of_sessions_meet_without_gap_or_sort_of_all(spark):
+    rows = [(f"s{k:03d}", "unknown", None if k % 7 == 0 else k // 5 * 1_000_000, k % 4 == 0) for k in range(60)]
+    sessions = spark.createDataFrame([(s, st, t) for s, st, t, _ in rows], "session_id string, state string, t long").select("session_id", "state", F.timestamp_micros("t").alias("last_ts"))
+    listed = U.list_sessions(sessions, spark.createDataFrame([(s, a, "critical") for s, _, _, a in rows if a], "session_id string, needs_attention boolean, max_severity string"))
+    seen, after = [], None
+    while page := U.session_page(listed, 7, after).collect():
+        seen += [r["session_id"] for r in page]
+        after = tuple(page[-1][c] for c in ("needs_attention", "last_ts", "session_id"))
+    assert seen == [s for s, _, t, a in sorted(rows, key=lambda r: (not r[3], r[2] is None, -(r[2] or 0), r[0]))]
+    plan = U.session_page(listed, 7, (True, None, "s010"))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
 def test_assessor_plug_in_and_validation(spark):
     def fixed(packet):
         ids = [e["id"] for e in packet["events"]]
