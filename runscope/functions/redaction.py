@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runscope.functions import literals
 from runscope.functions.text import head_tail
 
 #: (class, pattern, replacement), applied in this order.  The patterns use neither look-around nor back references.
@@ -79,28 +80,23 @@ def safe_summary(text: Column, size: int, table: tuple = PATTERNS, exit_code: Co
     return F.when(exit_code.isNotNull() & (F.length(whole) > size), ends).otherwise(F.substring(whole, 1, size))
 
 
-#: Seeds that a leak scan takes at once; the list is a test's own and goes to every task.
-MAX_SEEDS = 10_000
-#: Characters by which texts and seeds are matched before a seed is searched for, where seeds are more than FEW.
-ANCHOR, FEW = 6, 50
+#: Seeds that are searched for one by one; more go through ``literals``.
+FEW = 50
 
 
-def leak_scan(rows: DataFrame, column: str, secrets: DataFrame) -> DataFrame:
+def leak_scan(rows: DataFrame, column: str | None, secrets: DataFrame) -> DataFrame:
     """Rows whose column still holds a seeded secret (``secret``), one for each secret held; a null text holds none.
 
-    A few seeds are searched for one by one.  Of more, a text is searched only for
-    those whose first ANCHOR characters it holds, which an equi-join finds.
+    Without a column all text columns are searched, nested ones too.  There may be any
+    number of seeds.
     """
     seeds = secrets.select("secret").where("secret <> ''").distinct()
-    count = seeds.count()
-    if count > MAX_SEEDS:
-        raise ValueError(f"more than {MAX_SEEDS} seeded secrets")
-    plain = seeds if count <= FEW else seeds.where(F.length("secret") < ANCHOR)
-    found = rows.join(F.broadcast(plain), F.contains(F.col(column), F.col("secret"))).select(*rows.columns, "secret")
-    if count <= FEW:
-        return found
-    long = seeds.where(F.length("secret") >= ANCHOR).select("secret", F.substring("secret", 1, ANCHOR).alias("__anchor"))
-    chars = F.split(F.col(column), "")
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.length(column) - ANCHOR, F.lit(0))), lambda k: F.concat(*[F.coalesce(F.get(chars, k + i), F.lit("")) for i in range(ANCHOR)]))
-    held = rows.withColumn("__anchor", F.explode(F.array_distinct(windows))).join(F.broadcast(long), "__anchor")
-    return found.unionByName(held.where(F.contains(F.col(column), F.col("secret"))).select(*rows.columns, "secret"))
+    if column is None or seeds.limit(FEW + 1).count() > FEW:
+        return literals.holding(rows, seeds, columns=None if column is None else [column])
+    return rows.join(F.broadcast(seeds), F.contains(F.col(column), F.col("secret"))).select(*rows.columns, "secret")
+
+
+def redact_configured(rows: DataFrame, column: str, prefixes: DataFrame, usernames: DataFrame) -> DataFrame:
+    """A column without configured path prefixes and user names (tables of one column each, of any size); a user name counts as a whole word."""
+    own = lambda df, kind, whole: df.select(F.col(df.columns[0]).alias("literal"), F.lit(kind).alias("class"), F.lit(whole).alias("whole"))
+    return literals.replaced(rows, column, own(prefixes, "path_prefix", False).unionByName(own(usernames, "username", True)))

@@ -10,6 +10,8 @@ import time
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runscope.functions import literals
+from runscope.functions import redaction as R
 from runscope.functions import text as X
 from runscope.operators import assess as A
 from runscope.operators import evaluate as V
@@ -347,3 +349,20 @@ def failing_assessors(spark, d):
     chosen = A.select_attempt(tries).select("packet_id", "assessor", "attempt", F.lit(True).alias("chosen"))
     out = tries.join(chosen, ["packet_id", "assessor", "attempt"], "left")
     return out.select("session_id", "assessor", F.col("attempt").cast("long").alias("attempt"), "call_status", "valid", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.when(F.col("valid"), F.col("answer.confidence")).alias("confidence"))
+
+
+@query("WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{8,}')) AS secret FROM benchmark) SELECT doc_id, secret FROM documents, w WHERE contains(text, secret)")
+def seeded_literals(spark, d):
+    """Every long word of the benchmark that a document holds anywhere, all words searched at once."""
+    words = read_table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{8,}"), F.lit(0))).alias("secret")).distinct()
+    return literals.holding(read_table(spark, d, "documents").select("doc_id", "text"), words, columns=["text"]).select("doc_id", "secret")
+
+
+@query("WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark), p AS (SELECT string_agg(w, '|' ORDER BY length(w) DESC, w) AS names FROM b WHERE length(w) BETWEEN 5 AND 6), q AS (SELECT string_agg(w, '|' ORDER BY length(w) DESC, w) AS prefixes FROM b WHERE length(w) >= 8) SELECT doc_id, sha256(regexp_replace(regexp_replace(text, prefixes, '[REDACTED:path_prefix]', 'g'), '\\b(' || names || ')\\b', '[REDACTED:username]', 'g')) AS redacted_sha256 FROM documents, p, q")
+def configured_literals(spark, d):
+    """Long words of the benchmark stand for path prefixes, which may be parts of words; then short ones for user names, which may not."""
+    words = read_table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    none = words.limit(0)
+    docs = R.redact_configured(read_table(spark, d, "documents").select("doc_id", "text"), "text", words.where("length(w) >= 8"), none)
+    docs = R.redact_configured(docs, "text", none, words.where("length(w) between 5 and 6"))
+    return docs.select("doc_id", F.sha2("text", 256).alias("redacted_sha256"))
