@@ -41,31 +41,82 @@ def previous_assessment(windows: DataFrame, assessments: DataFrame) -> DataFrame
     return both.where("side = 1").select("session_id", "window_id", F.col("at").alias("opened_at"), "previous")
 
 
-def build_packets(ev: DataFrame, signals: DataFrame, sessions: DataFrame, goals: DataFrame, previous: DataFrame, cursors: DataFrame | None = None, size: int = MAX_EVENTS) -> DataFrame:
+def packet_state(ev: DataFrame, size: int = MAX_EVENTS) -> DataFrame:
+    """What a packet needs of a session's events, in one bounded row: its newest ``size`` ones, how many there are of each kind, and the span.
+
+    ``merge_states`` adds later events to it, so that a packet over a long window never reads the window again.
+    """
+    event = F.struct(F.col("event_id").alias("id"), F.col("event_ts").alias("timestamp"), "kind", F.substring("summary", 1, MAX_SUMMARY).alias("summary"), "path", "exit_code", "source_type")
+    marks = F.coalesce("redactions", F.array().cast("array<string>"))
+    recent = E.cap_events(ev, size).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*E.ORDER, event.alias("e"), marks.alias("r")))).alias("recent"))
+    kinds = ev.groupBy("session_id", "kind").agg(F.count("*").alias("n")).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("kinds"))
+    span = ev.groupBy("session_id").agg(F.min("event_ts").alias("opened_at"), F.max("event_ts").alias("closed_at"), F.min("source_offset").alias("from_offset"), F.max("source_offset").alias("to_offset"))
+    return span.join(recent, "session_id").join(kinds, "session_id")
+
+
+def merge_states(old: DataFrame, new: DataFrame, size: int = MAX_EVENTS) -> DataFrame:
+    """The state of the events of both; each event must be in one of them alone."""
+    both = old.alias("a").join(new.alias("b"), "session_id", "full_outer")
+    side = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
+    none = F.array().cast(new.schema["recent"].dataType)
+    every = F.sort_array(F.concat(*[F.coalesce(c, none) for c in side("recent")]))
+    no_kinds = F.create_map().cast(new.schema["kinds"].dataType)
+    added = F.map_zip_with(*[F.coalesce(c, no_kinds) for c in side("kinds")], lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    return both.select(
+        "session_id", *[F.least(*side(c)).alias(c) if c in ("opened_at", "from_offset") else F.greatest(*side(c)).alias(c) for c in ("opened_at", "closed_at", "from_offset", "to_offset")],
+        F.slice(every, F.greatest(F.lit(1), F.size(every) - size + 1), size).alias("recent"), added.alias("kinds"),
+    )
+
+
+def window_signals(signals: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    """(session_id, signals, left): the ``n`` most severe signals of each session's window, later ones first among equals, and how many more there are.
+
+    A signal is of the window if it was observed at its opening or later.
+    """
+    own = signals.join(state.select("session_id", "opened_at"), "session_id").where(F.col("observed_at") >= F.col("opened_at"))
+    first = Window.partitionBy("session_id").orderBy(F.desc(severity_rank(F.col("severity"))), F.desc("observed_at"), "id")
+    few = own.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= n)
+    listed = few.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*SIGNAL_FIELDS))).alias("signals"), F.count("*").alias("kept"))
+    return listed.join(own.groupBy("session_id").agg(F.count("*").alias("all")), "session_id").select("session_id", "signals", (F.col("all") - F.col("kept")).alias("left"))
+
+
+SIGNAL_FIELDS = ("id", "kind", "severity", "source", "event_ids", "observed_at", "freshness", "summary", "payload")
+
+
+def build_packets(ev: DataFrame, signals: DataFrame, sessions: DataFrame, goals: DataFrame, previous: DataFrame, cursors: DataFrame | None = None, size: int = MAX_EVENTS, max_signals: int = MAX_EVENTS) -> DataFrame:
     """One observation packet for each session with new events.
 
     The newest ``size`` events beyond the cursor, older ones folded into a counter
-    signal; explicit nulls and empty lists where there is nothing.  Lists are built
-    only from what is capped or aggregated already.
+    signal; the ``max_signals`` most severe signals of the window, the others counted; explicit
+    nulls and empty lists where there is nothing.  Lists are built only from what is
+    capped or aggregated already.
     ``sessions`` has session_id, state, workspace, started_at, model; ``previous`` has
     session_id, previous.
     """
-    new = E.after_cursor(ev, cursors) if cursors is not None else ev
-    event = F.struct(F.col("event_id").alias("id"), F.col("event_ts").alias("timestamp"), "kind", F.substring("summary", 1, MAX_SUMMARY).alias("summary"), "path", "exit_code", "source_type")
-    capped = E.cap_events(new, size)
-    listed = capped.groupBy("session_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(*E.ORDER, event.alias("e")))), lambda x: x["e"]).alias("events"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("redactions", F.array().cast("array<string>")))))).alias("redactions"),
-    )
-    span = new.groupBy("session_id").agg(F.min("event_ts").alias("opened_at"), F.max("event_ts").alias("closed_at"), F.min("source_offset").alias("from_offset"), F.max("source_offset").alias("to_offset"), F.max_by("source_path", F.struct(*E.ORDER)).alias("source_path"))
-    fold = E.fold_overflow(new, size).groupBy("session_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n"))))).alias("payload"), F.sum("n").alias("folded"))
-    fold = fold.join(span.select("session_id", "closed_at"), "session_id").select(
-        F.sha2(F.concat_ws("\x1f", "session_id", F.lit("other"), F.lit("folded")), 256).alias("id"), "session_id", F.lit("other").alias("kind"), F.lit("folded").alias("subject"), F.lit("info").alias("severity"), F.lit("system").alias("source"),
-        F.array().cast("array<string>").alias("event_ids"), F.col("closed_at").alias("observed_at"), F.lit("current").alias("freshness"), F.concat(F.col("folded"), F.lit(" older events")).alias("summary"), "payload",
-    )
-    every = signals.unionByName(fold, allowMissingColumns=True)
-    by_session = every.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("id", "kind", "severity", "source", "event_ids", "observed_at", "freshness", "summary", "payload"))).alias("signals"))
-    out = span.join(listed, "session_id").join(by_session, "session_id", "left").join(sessions, "session_id", "left").join(goals, "session_id", "left").join(previous.select("session_id", "previous"), "session_id", "left")
+    return packets_of(packet_state(E.after_cursor(ev, cursors) if cursors is not None else ev, size), signals, sessions, goals, previous, cursors, max_signals)
+
+
+def packets_of(state: DataFrame, signals: DataFrame, sessions: DataFrame, goals: DataFrame, previous: DataFrame, cursors: DataFrame | None = None, max_signals: int = MAX_EVENTS) -> DataFrame:
+    """Packets of ``packet_state`` rows, however they came about (see ``build_packets``)."""
+    listed = F.transform("recent", lambda x: x["e"])
+    held = lambda kind: F.size(F.filter("recent", lambda x: x["e"]["kind"] == kind))
+    older = F.filter(F.transform(F.sort_array(F.map_entries("kinds")), lambda k: F.struct(k["key"].alias("kind"), (k["value"] - held(k["key"])).alias("n"))), lambda k: k["n"] > 0)
+    found = window_signals(signals, state, max_signals)
+    out = state.join(found, "session_id", "left").withColumn("older", older)
+    kind = found.schema["signals"].dataType
+
+    def counted(subject: str, text: Column, payload: Column) -> Column:
+        return F.struct(
+            F.sha2(F.concat_ws("\x1f", "session_id", F.lit("other"), F.lit(subject)), 256).alias("id"), F.lit("other").alias("kind"), F.lit("info").alias("severity"), F.lit("system").alias("source"), F.array().cast("array<string>").alias("event_ids"),
+            F.col("closed_at").alias("observed_at"), F.lit("current").alias("freshness"), text.alias("summary"), payload.alias("payload"),
+        )
+
+    folded = F.aggregate("older", F.lit(0).cast("long"), lambda n, k: n + k["n"])
+    fold = F.when(F.size("older") > 0, counted("folded", F.concat(folded, F.lit(" older events")), F.to_json(F.map_from_entries("older"))))
+    more = F.when(F.col("left") > 0, counted("signals", F.concat("left", F.lit(" more signals")), F.to_json(F.struct(F.col("left").alias("signals")))))
+    every = F.sort_array(F.concat(F.coalesce("signals", F.array().cast(kind)), F.array_compact(F.array(fold, more))))
+    out = out.select("session_id", "opened_at", "closed_at", "from_offset", "to_offset", F.element_at("recent", -1)["source_path"].alias("source_path"), listed.alias("events"), every.alias("signals"), F.array_sort(F.array_distinct(F.flatten(F.transform("recent", lambda x: x["r"])))).alias("redactions"))
+    out = out.join(sessions, "session_id", "left").join(goals, "session_id", "left").join(previous.select("session_id", "previous"), "session_id", "left")
     empty = F.array().cast("array<string>")
     first = cursors.select("session_id", F.col("source_offset").alias("__cursor")) if cursors is not None else None
     if first is not None:
@@ -76,7 +127,7 @@ def build_packets(ev: DataFrame, signals: DataFrame, sessions: DataFrame, goals:
         F.struct(F.col("session_id").alias("id"), "workspace", "started_at", X.elapsed(F.col("started_at"), F.col("closed_at")).alias("elapsed_seconds"), F.coalesce("state", F.lit("unknown")).alias("state"), "model").alias("session"),
         F.struct(F.coalesce("goal_text", F.lit("")).alias("text"), F.coalesce("acceptance_criteria", empty).alias("acceptance_criteria"), F.coalesce("expected_paths", empty).alias("expected_paths"), F.coalesce("forbidden_paths", empty).alias("forbidden_paths")).alias("goal"),
         F.struct(from_cursor.alias("from_cursor"), X.cursor(F.col("source_path"), F.col("to_offset"), F.lit("0")).alias("to_cursor"), "opened_at", "closed_at").alias("window"),
-        F.col("previous").alias("previous_assessment"), "events", F.coalesce("signals", F.array().cast(by_session.schema["signals"].dataType)).alias("signals"), "redactions",
+        F.col("previous").alias("previous_assessment"), "events", "signals", "redactions",
     )
 
 

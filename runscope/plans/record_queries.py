@@ -366,3 +366,15 @@ def configured_literals(spark, d):
     docs = R.redact_configured(read_table(spark, d, "documents").select("doc_id", "text"), "text", words.where("length(w) >= 8"), none)
     docs = R.redact_configured(docs, "text", none, words.where("length(w) between 5 and 6"))
     return docs.select("doc_id", F.sha2("text", 256).alias("redacted_sha256"))
+
+
+@query(f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_ts DESC, source_offset DESC) AS n FROM ev), k AS (SELECT session_id, string_agg(kind || '=' || c, ',' ORDER BY kind) AS kinds FROM (SELECT session_id, kind, count(*) AS c FROM ev GROUP BY ALL) GROUP BY ALL), l AS (SELECT session_id, string_agg(event_id, ',' ORDER BY n DESC) AS recent FROM r WHERE n <= 10 GROUP BY ALL), s AS (SELECT session_id, min(source_offset) AS from_offset, max(source_offset) AS to_offset, epoch_us(min(event_ts)) AS opened_us FROM ev GROUP BY ALL) SELECT session_id, from_offset, to_offset, opened_us, recent, kinds FROM s JOIN l USING (session_id) JOIN k USING (session_id)")
+def merged_packet_states(spark, d):
+    """States of three stretches of time, stored and merged one after the other: those of all events."""
+    ev = events(spark, d)
+    day, state = F.dayofmonth("event_ts"), None
+    for low, high in ((0, 10), (10, 20), (20, 99)):
+        new = A.packet_state(ev.where((day > low) & (day <= high)), 10)
+        state = materialize(A.merge_states(state, new, 10) if state else new, "packet_states")
+    kinds = F.array_join(F.transform(F.sort_array(F.map_entries("kinds")), lambda k: F.concat(k["key"], F.lit("="), k["value"].cast("string"))), ",")
+    return state.select("session_id", "from_offset", "to_offset", us("opened_at").alias("opened_us"), F.array_join(F.transform("recent", lambda x: x["e"]["id"]), ",").alias("recent"), kinds.alias("kinds"))

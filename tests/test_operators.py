@@ -216,6 +216,31 @@ def test_trust_modes_hold_for_the_whole_packet(spark):
     assert not any(x in bare for x in ("/home", "hunter2", "keys", "cat ", "fix", "check")) and "looping" in bare and "rollout-a.jsonl" in bare
 
 
+def test_packet_states_of_two_runs_are_those_of_one(spark):
+    rows = [event(m, kind, s) for s in "abc" for m, kind in enumerate(["message", "command", "error", "message", "file_changed"] * 4) if not (s == "c" and m < 9)]
+    ev = spark.createDataFrame(rows, S.EVENT).withColumn("redactions", F.when(F.col("kind") == "error", F.array(F.lit("bearer"))))
+    early, late = ev.where("source_offset < 9"), ev.where("source_offset >= 9")
+    whole, both = A.packet_state(ev, 6), A.merge_states(A.packet_state(early, 6), A.packet_state(late, 6), 6)
+    flat = lambda df: sorted((r["session_id"], str(r["opened_at"]), str(r["closed_at"]), r["from_offset"], r["to_offset"], str(r["recent"]), sorted(r["kinds"].items())) for r in df.collect())
+    assert flat(whole) == flat(both) and len(flat(whole)) == 3
+    again = A.merge_states(A.merge_states(A.packet_state(early, 6), A.packet_state(late.where("source_offset < 14"), 6), 6), A.packet_state(late.where("source_offset >= 14"), 6), 6)
+    assert flat(again) == flat(whole)
+
+
+def test_packets_hold_the_most_severe_signals_of_their_window(spark):
+    ev = spark.createDataFrame([event(m, "message") for m in range(10)], S.EVENT)
+    sig = spark.range(5000).select(F.format_string("%05d", "id").alias("id"), F.lit("a").alias("session_id"), F.lit("other").alias("kind"), F.col("id").cast("string").alias("subject"), F.when(F.col("id") % 1000 == 0, "critical").otherwise("info").alias("severity"), F.lit("local_rule").alias("source"), F.array(F.lit("x")).alias("event_ids"), (F.lit(T0) + F.make_interval(mins=F.col("id") % 10)).alias("observed_at"), F.lit("current").alias("freshness"), F.lit("s").alias("summary"), F.lit("{}").alias("payload"))
+    sessions = spark.createDataFrame([("a", "unknown", "/w", T0, None)], "session_id string, state string, workspace string, started_at timestamp, model string")
+    goals = spark.createDataFrame([], "session_id string, goal_text string, expected_paths array<string>, forbidden_paths array<string>, acceptance_criteria array<string>")
+    previous = spark.createDataFrame([], "session_id string, previous struct<status:string>")
+    row = A.build_packets(ev, sig, sessions, goals, previous, size=4, max_signals=20).first()
+    kinds = [s["summary"] for s in row["signals"]]
+    assert len(kinds) == 22 and "4980 more signals" in kinds and "6 older events" in kinds and sum(s["severity"] == "critical" for s in row["signals"]) == 5
+    cursor = spark.createDataFrame([("a", 6)], "session_id string, source_offset long")
+    late = A.build_packets(ev, sig, sessions, goals, previous, cursor, size=4, max_signals=5000).first()
+    assert {s["observed_at"].minute for s in late["signals"]} == {7, 8, 9} and len(late["events"]) == 3
+
+
 def test_late_and_failing_assessors_give_rows(spark):
     def plug_in(packet):
         if packet["session"]["id"] == "a":
