@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from runscope.llm.notices import TEMPLATES
 from runscope.session import materialize
 
-#: Part of a template's words that a block must hold; the smallest step of blocks.
-THRESHOLD, STEP = 0.85, 24
+#: Part of a template's words that a block must hold, and of its pairs of words for a label; the smallest step of blocks.
+THRESHOLD, ORDERED, STEP = 0.85, 0.6, 24
 
 # Phrases that label a place by themselves.
 PHRASES = (
@@ -46,6 +46,11 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(_GAPS, text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))) if w]
 
 
+def pairs_of(words: list[str]) -> list[str]:
+    """The words that follow each other, two by two; a single word is a pair by itself."""
+    return list(dict.fromkeys([f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] or words))
+
+
 def step_for(words: int) -> int:
     """Words from a block to the next for a template of so many: STEP doubled until a quarter more than the template fits."""
     step = STEP
@@ -90,6 +95,7 @@ class Join:
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.steps = [step_for(len(template_words(t))) for *_, t in templates]
         self.prefixes = [s[: len(s) - n + 1] for s, n in zip(self.sets, self.need, strict=True)]
+        self.pairs = [pairs_of(template_words(t)) for *_, t in templates]
 
     def tokens_of(self, step: int) -> list[str]:
         """Tokens of the templates whose blocks have this step, in global order."""
@@ -100,11 +106,14 @@ class Join:
         mine = {t for p, k in zip(self.prefixes, self.steps, strict=True) if k == step for t in p}
         return [t for t in self.order if t in mine]
 
+    def paired(self, step: int) -> list[str]:
+        return sorted({p for pairs, k in zip(self.pairs, self.steps, strict=True) if k == step for p in pairs})
+
     def index(self) -> list[tuple]:
-        return [(step, token, i, k, tokens, need) for k, (tokens, need, step, prefix) in enumerate(zip(self.sets, self.need, self.steps, self.prefixes, strict=True)) for i, token in enumerate(prefix)]
+        return [(step, token, i, k, tokens, need, self.pairs[k]) for k, (tokens, need, step, prefix) in enumerate(zip(self.sets, self.need, self.steps, self.prefixes, strict=True)) for i, token in enumerate(prefix)]
 
     def blocks(self, words: Column) -> Column:
-        """(step, block, own) of the blocks of a text that share a prefix token: ``own`` holds its template tokens in global order."""
+        """(step, block, own, pairs) of the blocks of a text that share a prefix token: ``own`` holds its template tokens in global order, ``pairs`` its pairs of words that templates have."""
         return F.concat(*[self._blocks_of(words, step) for step in sorted(set(self.steps))])
 
     def _blocks_of(self, words: Column, step: int) -> Column:
@@ -112,12 +121,15 @@ class Join:
         starts = F.sequence(F.lit(0), F.greatest(F.size(words) - step - 1, F.lit(0)), F.lit(step))
         cut = F.transform(starts, lambda s: F.struct(F.lit(step).alias("step"), s.alias("block"), F.array_intersect(tokens, F.slice(words, s + 1, 2 * step)).alias("own")))
         some = F.filter(cut, lambda b: F.arrays_overlap(b["own"], prefix))
-        return F.when(F.arrays_overlap(words, prefix), some).otherwise(F.array().cast("array<struct<step:int,block:int,own:array<string>>>"))
+        known = _literal(self.paired(step))
+        two = lambda b: F.zip_with(F.slice(words, b["block"] + 1, 2 * step), F.slice(words, b["block"] + 2, 2 * step - 1), lambda x, y: F.concat_ws(" ", x, y))
+        some = F.transform(some, lambda b: F.struct(b["step"].alias("step"), b["block"].alias("block"), b["own"].alias("own"), F.array_intersect(known, two(b)).alias("pairs")))
+        return F.when(F.arrays_overlap(words, prefix), some).otherwise(F.array().cast("array<struct<step:int,block:int,own:array<string>,pairs:array<string>>>"))
 
 
 def _met(blocks: DataFrame, keys: list[str], join: Join, templates: tuple) -> DataFrame:
-    """(keys, step, block, template, label, containment) of rows (keys, step, block, own)."""
-    index = blocks.sparkSession.createDataFrame(join.index(), "step int, token string, i int, template int, tokens array<string>, need int")
+    """(keys, step, block, template, label, containment, ordered) of rows (keys, step, block, own, pairs)."""
+    index = blocks.sparkSession.createDataFrame(join.index(), "step int, token string, i int, template int, tokens array<string>, need int, in_order array<string>")
     probes = [F.struct(F.lit(step).alias("step"), _literal(join.prefix_of(step)).alias("prefix")) for step in sorted(set(join.steps))]
     prefix = F.filter(F.array(*probes), lambda p: p["step"] == F.col("step"))[0]["prefix"]
     pairs = blocks.withColumn("token", F.explode(F.array_intersect("own", prefix))).join(F.broadcast(index), ["step", "token"])
@@ -126,7 +138,7 @@ def _met(blocks: DataFrame, keys: list[str], join: Join, templates: tuple) -> Da
     shared = F.size(F.array_intersect("tokens", "own"))
     met = pairs.where((F.size("own") >= F.col("need")) & (left >= F.col("need")) & first).withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
     label = _literal([t[0] for t in templates])
-    return met.select(*keys, "step", "block", "template", F.get(label, F.col("template")).alias("label"), (F.col("shared") / F.size("tokens")).alias("containment"), "own")
+    return met.select(*keys, "step", "block", "template", F.get(label, F.col("template")).alias("label"), (F.col("shared") / F.size("tokens")).alias("containment"), (F.size(F.array_intersect("in_order", "pairs")) / F.size("in_order")).alias("ordered"), "own")
 
 
 def similar_blocks(docs: DataFrame, keys: list[str], text: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -139,7 +151,7 @@ def similar_blocks(docs: DataFrame, keys: list[str], text: str = "text", templat
     """
     join = Join(token_order(docs, sorted({w for *_, t in templates for w in template_words(t)}), text), templates, threshold)
     rows = docs.select(*keys, words_of(F.col(text)).alias("words"))
-    return _met(rows.select(*keys, F.inline(join.blocks(F.col("words")))), keys, join, templates).drop("own")
+    return _met(rows.select(*keys, F.inline(join.blocks(F.col("words")))), keys, join, templates).drop("own", "ordered")
 
 
 def _rivals(join: Join, templates: tuple) -> list[list[int]]:
@@ -155,7 +167,7 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple = TEMPLATES, phra
     and largest start, null without one), base_labels, labels (with the joined
     templates' labels; distinct, sorted, joined by commas) and score, the largest
     containment (1 where a phrase stands).  A template gives its label where the
-    block has the words that its label asks for, unless a template of another label
+    block has the words that its label asks for and ORDERED of its pairs, unless a template of another label
     explains the block better: one that holds enough of this one's words by itself and
     is contained to a larger part, or to the same part with more words.  Null and
     empty texts have no words and no labels.  Repeated rows give repeated rows, rows
@@ -178,7 +190,7 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple = TEMPLATES, phra
 
     met = _met(base.where(F.size("blocks") > 0).select("row", F.inline("blocks")), ["row"], join, templates)
     asked = F.array(*[_literal(list(t[1])) for t in templates])
-    met = met.where(F.size(F.array_except(F.get(asked, F.col("template")), F.col("own"))) == 0)
+    met = met.where((F.size(F.array_except(F.get(asked, F.col("template")), F.col("own"))) == 0) & (F.col("ordered") >= ORDERED - 1e-9))
     # one row for each text and block, then for each text: both are small, a block having at most one row for each template
     by_block = met.groupBy("row", "step", "block").agg(F.collect_set(F.struct("template", "label", "containment")).alias("m"))
     rivals = F.array(*[F.array(*[F.lit(u) for u in r]).cast("array<int>") for r in _rivals(join, templates)])

@@ -70,5 +70,20 @@ TEMPLATES = (
     ("isc", ("permission", "fee"), "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", ("permission", "tortious"), ISC_TEXT),
     ("zlib", ("misrepresented", "altered"), ZLIB_TEXT),
+    ("mit", ("spdx", "mit"), "spdx license identifier mit"),
+    ("apache-2", ("spdx", "apache"), "spdx license identifier apache 2 0"),
+    ("gpl-2", ("spdx", "gpl", "2"), "spdx license identifier gpl 2 0"),
+    ("gpl-3", ("spdx", "gpl", "3"), "spdx license identifier gpl 3 0"),
+    ("lgpl-3", ("spdx", "lgpl", "3"), "spdx license identifier lgpl 3 0"),
+    ("mpl-2", ("spdx", "mpl"), "spdx license identifier mpl 2 0"),
+    ("bsd", ("spdx", "bsd"), "spdx license identifier bsd 3 clause"),
+    ("bsd", ("spdx", "bsd"), "spdx license identifier bsd 2 clause"),
+    ("cc-by", ("spdx", "cc", "by"), "spdx license identifier cc by 4 0"),
+    ("cc-by-sa", ("spdx", "cc", "sa"), "spdx license identifier cc by sa 4 0"),
+    ("cc-by-nc", ("spdx", "cc", "nc"), "spdx license identifier cc by nc 4 0"),
+    ("cc0", ("spdx", "cc0"), "spdx license identifier cc0 1 0"),
+    ("isc", ("spdx", "isc"), "spdx license identifier isc"),
+    ("zlib", ("spdx", "zlib"), "spdx license identifier zlib"),
+    ("unlicense", ("spdx", "unlicense"), "spdx license identifier unlicense"),
     ("unlicense", ("unencumbered", "domain"), UNLICENSE_TEXT),
 )

@@ -34,7 +34,7 @@ BSD_LINE = "Redistribution and use in source and binary forms, with or without m
 TEXTS = [
     (None, ""), ("", ""), (" ,. ", ""), ("Released under the MIT License.", "mit"), ("UNDER THE MIT LICENSE under the mit license", "mit"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
     ("licensed under cc by 4.0", "cc-by"), ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"), ("the apache license, version 2.0", "apache-2"),
-    ("Licensed under the\nApache License, Version 2.0.", "apache-2"), ("license under released the mit words in any order", "mit"), ("é under the mit licenseé", ""),
+    ("Licensed under the\nApache License, Version 2.0.", "apache-2"), ("license under released the mit words in any order", ""), ("é under the mit licenseé", ""),
     ("x " * 5000 + BSD_LINE + " y" * 5000, "bsd"), ("MIT license under the", ""), ("cc by nc", "cc-by-nc"), ("by cc nc", ""), ("KKelvin İ É", ""),
     ("Licensed under CC-BY-SA 3.0", "cc-by-sa"), ("licensed under the GNU General Public License v3", "gpl-3"), ("licensed under the Foo Public License version 2.0", ""),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this material and associated documentation files", "mit"),
@@ -80,3 +80,19 @@ def test_a_long_template_of_the_caller_matches_its_own_text(spark):
     docs = spark.createDataFrame([(1, "before " * 33 + text + " after"), (2, text.replace("word7", "x", 60)), (3, " ".join(text.split()[:500]))], "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, templates=(("own", ("word1",), text),)).collect()}
     assert got[1] == ("own", 1.0) and got[2][0] == "own" and got[3] == ("", 0.0)
+
+
+def test_prose_that_holds_the_words_here_and_there_has_no_label(spark):
+    prose = [
+        "A team at MIT showed a camera in the spring. It was released to press as a license plate reader under test.",
+        "You need a license to drive there. Creative people licensed 4 songs, sa va, under cc of 0 and by hand.",
+        "The public was licensed by a general under the gnu herd, version 2 of the tale, and the license expired.",
+        "Permission to copy was granted for a fee; use of this software or any modification and distribution hereby needs a purpose without doubt, with care.",
+        "The author has waived, under law and to the extent it was possible, rights: all related, the copyright and more.",
+        "Mozilla said that version 2 of the public terms is subject to license 0.",
+    ]
+    identifiers = {"SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: Apache-2.0": "apache-2", "# SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3", "SPDX-License-Identifier: BSD-3-Clause": "bsd", "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by-sa", "SPDX-License-Identifier: LGPL-3.0-only": "lgpl-3", "SPDX-License-Identifier: ISC": "isc"}
+    near = {f"{a} {b}": "mit" for a in ("Some prose before it.", "") for b in ("released under the MIT license", "Released, under the MIT License!")}
+    rows = [(k, t, "", "", 0) for k, t in enumerate([*prose, *identifiers, *near])]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k] for k in range(len(rows))] == [""] * len(prose) + [*identifiers.values(), *near.values()]
