@@ -13,6 +13,8 @@ every run of other characters than letters and digits as one space.
 
 from __future__ import annotations
 
+import contextlib
+import pickle
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from runscope.llm.batches import map_batches, struct
+from runscope.llm.batches import BATCH_ROWS, struct
+from runscope.session import materialize
 
 #: Characters of a q-gram, of a window, and for each of which a window may have an edit.
 Q, WINDOW, EDIT_CHARS = 12, 50, 25
@@ -316,28 +320,52 @@ def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, i
     return [(t, i, int(places[t][b]), int(places[t][e - 1]) + 1, k) for (t, i), (k, b, e) in sorted(found.items())]
 
 
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's distinct items (item_id, text) in blocks of a bounded size, one partition at a time; an item's texts are never parted."""
-    held, size = [], 0
-    rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null").distinct().sort("item_id", "text")
-    for r in rows.toLocalIterator():
-        if held and size + len(r["text"]) > chars and held[-1][0] != r["item_id"]:
-            yield held
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if held:
-        yield held
+class Blocks:
+    """The benchmark's index in blocks of about BLOCK_CHARS characters; the texts of an item are in one block.
+
+    One block goes to the tasks as items, and a worker builds its index once.  Of several
+    the indexes are built by tasks, written, and handed to all as they are, so that a
+    worker holds one after the other, whatever their number.
+    """
+
+    def __init__(self, benchmark: DataFrame, chars: int | None = None):
+        spark = benchmark.sparkSession
+        chars = chars or BLOCK_CHARS
+        items = benchmark.select("item_id", "text").where("text is not null and item_id is not null").distinct()
+        n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // chars)
+        self.name = uuid.uuid4().hex
+        if n <= 1:
+            self.held = [spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.sort("item_id", "text").collect()])] if n else []  # BLOCK_CHARS at most
+            return
+
+        def built(table: pa.Table) -> pa.Table:
+            rows = sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+            return pa.table({"index": pa.array([pickle.dumps(Index(rows))], pa.binary())})
+
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+        made = materialize(dealt.groupBy("block").applyInArrow(built, "index binary"), "leak_index")
+        self.held = [spark.sparkContext.broadcast(pickle.loads(r["index"])) for r in made.toLocalIterator()]  # the driver holds one at a time
+
+    def __iter__(self) -> Iterator[Index]:
+        """In a task: one index after the other, the one before let go."""
+        if len(self.held) == 1:
+            yield _index_of(self.name, self.held[0])
+            return
+        for block in self.held:
+            yield block.value
+            with contextlib.suppress(AttributeError):
+                del block._value  # what a worker keeps of a broadcast it has read
 
 
 _ready: dict[str, Index] = {}
 
 
 def _index_of(name: str, block) -> Index:
-    """The worker's index of a broadcast block; a worker holds one at a time."""
+    """The worker's index of a single broadcast block."""
     if name not in _ready:
         _ready.clear()
-        _ready[name] = Index(block.value)
+        value = block.value
+        _ready[name] = value if isinstance(value, Index) else Index(value)
     return _ready[name]
 
 
@@ -356,38 +384,46 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     table of either kind gives no row; rows of one item_id are one item; other
     columns are ignored.
 
-    The benchmark reaches tasks in broadcast blocks of BLOCK_CHARS characters, and
-    the driver holds one block at a time.
+    Documents are read once, by one worker a task, whatever the benchmark's size (see
+    ``Blocks``).
     """
-    out = docs.sparkSession.createDataFrame([], struct(("doc_id", docs.schema["doc_id"].dataType), *MATCHES))
-    for block in blocks(benchmark):
-
-        def make(block=docs.sparkSession.sparkContext.broadcast(block), name=uuid.uuid4().hex):
-            def run(batch: pa.RecordBatch):
-                hits = search(_index_of(name, block), batch.column(1).to_pylist())
-                return [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), *[[h[k] for h in hits] for k in range(1, 5)]]
+    held = Blocks(benchmark)
+    schema = struct(("doc_id", docs.schema["doc_id"].dataType), *MATCHES)
+    if not held.held:
+        return docs.sparkSession.createDataFrame([], schema)
+    arrow = to_arrow_schema(schema)
 
-            return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for index in held:
+                for at in range(0, len(texts), BATCH_ROWS):
+                    if hits := search(index, texts[at : at + BATCH_ROWS]):
+                        cols = [b.column(0).take(pa.array([at + h[0] for h in hits], pa.int64())), *[[h[k] for h in hits] for k in range(1, 5)]]
+                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
-        out = out.unionByName(map_batches(docs.select("doc_id", F.col(f"`{text}`")), make, out.schema))
-    return out
+    return docs.select("doc_id", F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark (see ``matches``), with all their columns.
 
     Each row is judged where it lies by its own text: null and empty texts stay,
-    repeated rows stay or go together.
+    repeated rows stay or go together; an empty table of either kind drops nothing.
     """
-    for block in blocks(benchmark):
-
-        def make(block=docs.sparkSession.sparkContext.broadcast(block), name=uuid.uuid4().hex, at=docs.columns.index(text)):
-            def run(batch: pa.RecordBatch):
-                stay = np.ones(batch.num_rows, bool)
-                stay[[h[0] for h in search(_index_of(name, block), batch.column(at).to_pylist())]] = False
-                return batch.filter(pa.array(stay)).columns
-
-            return run
-
-        docs = map_batches(docs, make, docs.schema)
-    return docs
+    held = Blocks(benchmark)
+    if not held.held:
+        return docs
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            stay = np.ones(len(texts), bool)
+            for index in held:
+                for k in range(0, len(texts), BATCH_ROWS):
+                    own = k + np.flatnonzero(stay[k : k + BATCH_ROWS])
+                    stay[[own[h[0]] for h in search(index, [texts[i] for i in own])]] = False
+            yield b.filter(pa.array(stay))
+
+    return docs.mapInArrow(run, docs.schema)

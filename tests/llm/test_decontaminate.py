@@ -101,17 +101,23 @@ def test_empty_tables(spark):
     assert d.without_leaks(some, items).count() == 1
 
 
-def test_benchmark_in_blocks_gives_the_same_rows(spark):
+def test_benchmark_in_blocks_gives_the_same_rows_in_one_pass(spark, monkeypatch):
     items, docs = cases()
     items += [(0, items[1][1]), (0, items[1][1])]  # rows of one item
     bench = spark.createDataFrame(items, "item_id long, text string")
-    parts = list(d.blocks(bench, 200))
-    assert sum(map(len, parts)) == len({i for i in items if i[1] is not None}) and len(parts) > 2
-    assert all(not {i for i, _ in a} & {i for i, _ in b} for a, b in zip(parts, parts[1:], strict=False))
-    assert np.array_equal(d.gram_codes(d.normalized("Ab, c" * 20)[0]), d.gram_codes(d.normalized("aB  c" * 20)[0]))
-    texts = [t for _, t in docs]
-    apart = sorted(h for p in parts for h in d.search(d.Index(p), texts))
-    assert apart == d.search(d.Index([x for p in parts for x in p]), texts)
+    table = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, item_id string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    one, clean = rows(d.matches(table, bench)), rows(d.without_leaks(table, bench))
+    assert len(d.Blocks(bench).held) == 1 and one and len(clean) < len(docs)
+    monkeypatch.setattr(d, "BLOCK_CHARS", 60)
+    assert len(d.Blocks(bench).held) > 4
+    several = d.matches(table, bench)
+    assert rows(several) == one and rows(d.without_leaks(table, bench)) == clean
+    for plan in (several, d.without_leaks(table, bench)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("MapInArrow") == 1 and text.count("Scan") == 1  # one worker and one scan for all blocks
+    c = d.gram_codes(d.normalized("Ab, c" * 20)[0])
+    assert np.array_equal(c, d.gram_codes(d.normalized("aB  c" * 20)[0]))
 
 
 def test_every_window_of_a_hundred_characters_with_five_edits_is_found():
