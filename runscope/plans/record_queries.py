@@ -378,3 +378,50 @@ def merged_packet_states(spark, d):
         state = materialize(A.merge_states(state, new, 10) if state else new, "packet_states")
     kinds = F.array_join(F.transform(F.sort_array(F.map_entries("kinds")), lambda k: F.concat(k["key"], F.lit("="), k["value"].cast("string"))), ",")
     return state.select("session_id", "from_offset", "to_offset", us("opened_at").alias("opened_us"), F.array_join(F.transform("recent", lambda x: x["e"]["id"]), ",").alias("recent"), kinds.alias("kinds"))
+
+
+@query("SELECT 'd' || doc_id AS session_id, CASE WHEN quality = 1 THEN 'progressing' ELSE 'stalled' END AS status, toxic = 1 AS needs_attention FROM labels")
+def stored_labels(spark, d):
+    """Human labels from JSON lines as a labelling tool leaves them."""
+    path = scratch_path(spark, "labels.json")
+    made = read_table(spark, d, "labels").select(F.concat(F.lit("d"), "doc_id").alias("session_id"), F.when(F.col("quality") == 1, "progressing").otherwise("stalled").alias("status"), (F.col("toxic") == 1).alias("needs_attention"))
+    made.write.json(path)
+    return V.read_labels(spark, path).select("session_id", "status", "needs_attention")
+
+
+@query(f"WITH {EV} SELECT event_id AS packet_id, session_id, CASE WHEN k % 2 = 0 THEN 'progressing' ELSE 'stalled' END AS status, k / 100 AS confidence FROM ev WHERE kind = 'command_result'")
+def replayed_answers(spark, d):
+    """Stored answers of a model, half of them JSON lines, half Parquet."""
+    made = events(spark, d).where("kind = 'command_result'").select(F.col("event_id").alias("packet_id"), "session_id", F.when(number() % 2 == 0, "progressing").otherwise("stalled").alias("status"), (number() / 100).alias("confidence"), "source_offset")
+    lines, table = scratch_path(spark, "answers.json"), scratch_path(spark, "answers")
+    made.where("source_offset % 2 = 0").drop("source_offset").write.json(lines)
+    made.where("source_offset % 2 = 1").drop("source_offset").write.parquet(table)
+    schema = "packet_id string, session_id string, status string, confidence double"
+    return V.read_model_outputs(spark, lines, schema).unionByName(V.read_model_outputs(spark, table, schema))
+
+
+@query(f"WITH {EV} SELECT c.session_id, 'c' || c.k AS call_id, c.event_id AS command_id, r.event_id AS result_id, CAST(r.exit_code AS BIGINT) AS exit_code, epoch_us(c.event_ts) AS started_us, epoch_us(r.event_ts) AS ended_us FROM ev c LEFT JOIN ev r ON r.kind = 'command_result' AND r.session_id = c.session_id AND r.k = c.k WHERE c.kind = 'test_result'")
+def paired_by_call(spark, d):
+    """Test runs stand for commands and clicks for results, their numbers for call ids; a call may have no result or several."""
+    ev = events(spark, d).where("kind in ('test_result', 'command_result')").withColumn("call_id", F.concat(F.lit("c"), number()))
+    ev = ev.withColumn("kind", F.when(F.col("kind") == "test_result", "command").otherwise(F.col("kind")))
+    return E.pair_commands(ev).select("session_id", "call_id", "command_id", "result_id", F.col("exit_code").cast("long").alias("exit_code"), us("started").alias("started_us"), us("ended").alias("ended_us"))
+
+
+@query(f"WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_ts DESC, source_offset DESC) AS r FROM ev), c AS (SELECT session_id, unnest(CASE k % 3 WHEN 0 THEN ['bearer'] WHEN 1 THEN ['cookie', 'api_key'] ELSE ['none'] END) AS class FROM n WHERE r <= 3) SELECT session_id, coalesce(string_agg(DISTINCT class, ',' ORDER BY class) FILTER (class <> 'none'), '') AS redactions FROM c GROUP BY ALL")
+def packet_redactions(spark, d):
+    """The classes redacted in a packet's events, each once, never a value."""
+    classes = F.when(number() % 3 == 0, F.array(F.lit("bearer"))).when(number() % 3 == 1, F.array(F.lit("cookie"), F.lit("api_key")))
+    ev = events(spark, d).withColumn("redactions", classes)
+    first = ev.groupBy("session_id").agg(F.min("event_ts").alias("started_at")).withColumns({"workspace": F.lit("/w"), "model": F.lit(None).cast("string"), "state": F.lit("unknown")})
+    none = first.select("session_id", F.lit(None).cast("struct<status:string>").alias("previous"))
+    p = A.build_packets(ev, spark.createDataFrame([], SIGNAL), first, bounds(ev), none, size=3)
+    return p.select("session_id", F.array_join("redactions", ",").alias("redactions"))
+
+
+@query(f"WITH {ALL}, r AS (SELECT session_id, kind || '=' || subject AS c, row_number() OVER (PARTITION BY session_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, kind, subject) AS n FROM signals) SELECT session_id, string_agg(c, ',' ORDER BY n) AS concerns FROM r WHERE n <= 3 GROUP BY ALL")
+def capped_concerns(spark, d):
+    """The three most severe of each session's concerns, equals in a fixed order."""
+    sig = signals(stored_events(spark, d)).select("session_id", F.struct("severity", "kind", F.col("subject").alias("explanation")).alias("c"))
+    few = sig.groupBy("session_id").agg(F.collect_list("c").alias("all")).withColumn("top", A.cap_arrays(F.col("all"), 3))
+    return few.select("session_id", F.array_join(F.transform("top", lambda c: F.concat(c["kind"], F.lit("="), c["explanation"])), ",").alias("concerns"))
