@@ -20,6 +20,8 @@ from runscope.llm.batches import fresh, map_batches, struct
 
 #: N-grams of a profile; longest n-gram; documents of a language that a profile is learned from, at most about so many.
 PROFILE, LONGEST, LEARN_PER_LANG = 300, 3, 1000
+#: Languages that are learned at most, the most frequent ones.
+LANGUAGES = 500
 UNDETERMINED = "und"
 
 
@@ -81,9 +83,10 @@ def remainder(key: Column, n: int) -> Column:
 
 
 def _sample(labelled: DataFrame, per_lang: int) -> DataFrame | None:
-    """(lang, text) of about ``per_lang`` rows of each language, by hashed doc_id; None without a language."""
+    """(lang, text) of about ``per_lang`` rows of each of the LANGUAGES most frequent languages, by hashed doc_id; None without a language."""
     known = labelled.where("lang is not null and text is not null")
-    shares = {r["lang"]: min(1.0, per_lang / r["count"]) for r in known.groupBy("lang").count().collect()}  # a row for each language
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    shares = {r["lang"]: min(1.0, per_lang / r["count"]) for r in most.collect()}
     if not shares:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang"))

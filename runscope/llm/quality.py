@@ -114,13 +114,16 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Ranking
     """From ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1; other values teach nothing).
 
     Fitted on a bounded sample: the labels whose hashed doc_id is below a share
-    that gives about ``rows`` of them.  The sample is broadcast, and its features
+    that gives about ``rows`` of them, and at most 2 * ``rows`` texts of these (by hash,
+    where a doc_id has many rows).  The sample is broadcast, and its features
     come to the driver, where one class alone leaves all scores equal.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").distinct()
     share = min(1.0, rows / max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pairs")), F.lit(1 << 30)) < share * (1 << 30))
-    found = _featured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "quality"], "text").orderBy("doc_id", "quality").collect()
+    few = _featured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "quality"], "text")
+    found = few.orderBy(F.xxhash64("doc_id", "quality", "features"), "doc_id", "quality").limit(2 * rows).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["quality"]))
     return Ranking(np.array([r["features"] for r in found]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in found]))
 
 

@@ -121,3 +121,15 @@ def test_weights_are_the_least_of_the_pairwise_loss_and_the_threshold_separates_
     scores = found.score(x)
     assert all((s >= quality.DECIDES) == (v >= found.threshold) for s, v in zip(scores, strength, strict=True))
     assert (np.argsort(scores) == np.argsort(strength)).all()
+
+
+def test_samples_are_bounded_in_rows_and_languages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "Ranking", lambda x, y: seen.append(len(x)))
+    docs = spark.range(300).selectExpr("id % 5 as doc_id", "concat('text number ', id) as text")  # sixty texts for each id
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int")
+    quality.learn(docs, labels, rows=10)
+    assert seen[0] <= 20
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    many = spark.range(400).selectExpr("id as doc_id", "'some words' as text", "concat('l', floor(sqrt(id))) as lang")
+    assert sorted(langid.learn(many)) == ["l17", "l18", "l19"]
