@@ -425,3 +425,21 @@ def capped_concerns(spark, d):
     sig = signals(stored_events(spark, d)).select("session_id", F.struct("severity", "kind", F.col("subject").alias("explanation")).alias("c"))
     few = sig.groupBy("session_id").agg(F.collect_list("c").alias("all")).withColumn("top", A.cap_arrays(F.col("all"), 3))
     return few.select("session_id", F.array_join(F.transform("top", lambda c: F.concat(c["kind"], F.lit("="), c["explanation"])), ",").alias("concerns"))
+
+
+#: JSON of a packet of the two newest events, put together from texts: every null is written, older events are a counter.
+PACKET_TEXT = r"""
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_ts DESC, source_offset DESC) AS r FROM ev),
+spans AS (SELECT session_id, strftime(min(event_ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS opened, strftime(max(event_ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS closed, (epoch_us(max(event_ts)) - epoch_us(min(event_ts))) // 1000000 AS elapsed, max(source_offset) AS off FROM ev GROUP BY ALL),
+es AS (SELECT session_id, string_agg('{"id":"' || event_id || '","timestamp":"' || strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%gZ') || '","kind":"' || kind || '","summary":"' || source_type || ' ' || replace(props, '"', '\"') || '","path":' || coalesce('"' || path || '"', 'null') || ',"exit_code":' || coalesce(CAST(exit_code AS VARCHAR), 'null') || ',"source_type":"' || source_type || '"}', ',' ORDER BY r DESC) AS events FROM n WHERE r <= 2 GROUP BY ALL),
+older AS (SELECT session_id, sum(c)::BIGINT AS folded, '{' || string_agg('\"' || kind || '\":' || c, ',' ORDER BY kind) || '}' AS payload FROM (SELECT session_id, kind, count(*) AS c FROM n WHERE r > 2 GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"""WITH {EV},{PACKET_TEXT} SELECT session_id, '{{"schema_version":"1.0","session":{{"id":"' || session_id || '","workspace":"/w","started_at":"' || opened || '","elapsed_seconds":' || elapsed || ',"state":"unknown","model":null}},"goal":{{"text":"demo","acceptance_criteria":[],"expected_paths":["src","docs"],"forbidden_paths":["secrets"]}},"window":{{"from_cursor":null,"to_cursor":"events/' || substr(session_id, 2) || ':' || off || ':0","opened_at":"' || opened || '","closed_at":"' || closed || '"}},"previous_assessment":null,"events":[' || events || '],"signals":[' || coalesce('{{"id":"' || sha256(session_id || chr(31) || 'other' || chr(31) || 'folded') || '","kind":"other","severity":"info","source":"system","event_ids":[],"observed_at":"' || closed || '","freshness":"current","summary":"' || folded || ' older events","payload":"' || payload || '"}}', '') || '],"redactions":[]}}' AS json FROM spans JOIN es USING (session_id) LEFT JOIN older USING (session_id)""")
+def packet_text(spark, d):
+    """Packets as JSON texts of the contract's form, character by character."""
+    ev = events(spark, d)
+    first = ev.groupBy("session_id").agg(F.min("event_ts").alias("started_at")).withColumns({"workspace": F.lit("/w"), "model": F.lit(None).cast("string"), "state": F.lit("unknown")})
+    none = first.select("session_id", F.lit(None).cast("struct<status:string>").alias("previous"))
+    p = A.build_packets(ev, spark.createDataFrame([], SIGNAL), first, bounds(ev), none, size=2)
+    return A.packet_json(p).join(p.select("packet_id", "session_id"), "packet_id").select("session_id", "json")
