@@ -443,3 +443,14 @@ def packet_text(spark, d):
     none = first.select("session_id", F.lit(None).cast("struct<status:string>").alias("previous"))
     p = A.build_packets(ev, spark.createDataFrame([], SIGNAL), first, bounds(ev), none, size=2)
     return A.packet_json(p).join(p.select("packet_id", "session_id"), "packet_id").select("session_id", "json")
+
+
+@query(f"WITH {EV} SELECT event_id, CASE WHEN k % 5 = 4 THEN NULL WHEN k % 2 = 0 THEN epoch_us(event_ts) ELSE epoch_us(event_ts) // 100000 * 100000 END AS parsed_us FROM ev")
+def offset_times(spark, d):
+    """Times of day in several zones with fractions of six digits or one are read as what they stand for; without a zone they are none."""
+    ev = events(spark, d).withColumn("k", number())
+    minutes = F.element_at(F.array(*[F.lit(m) for m in (0, 120, -330, 0, 0)]), F.col("k") % 5 + 1)
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("Z", "+02:00", "-05:30", "z", "")]), F.col("k") % 5 + 1)
+    micros = F.lpad((us("event_ts") % 1_000_000).cast("string"), 6, "0")
+    text = F.concat(F.date_format(F.col("event_ts") + F.make_interval(mins=minutes), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.when(F.col("k") % 2 == 0, micros).otherwise(F.substring(micros, 1, 1)), zone)
+    return ev.select("event_id", F.unix_micros(X.parse_time(text)).alias("parsed_us"))
