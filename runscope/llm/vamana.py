@@ -12,11 +12,16 @@ differences.  Equal vectors are one node.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from runscope.llm.packing import pack, values
 from runscope.session import materialize
 
 #: Nodes of a shard; edges of a node; beams of building and of queries; relaxation; nodes that join at once.
@@ -26,6 +31,9 @@ SHARD_BYTES = 32 << 20
 #: Nodes expanded at each step of a search; entry nodes; queries searched together in a task.
 WIDTH, ENTRIES, QUERY_BLOCK = 4, 16, 4096
 FOUND = "query long, rep long, score double"
+#: A shard in one row; a block of queries in one row.
+GRAPH = "shard int, reps array<long>, v array<double>, edges array<int>, entries array<int>"
+ASKED = "block long, names array<long>, q array<double>"
 
 
 def search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,47 +224,43 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     # a vector that many queries share is searched once
     queries = materialize(asked.join(classes.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")), "queries")
     query_vectors = classes.join(queries.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("query"), "v")
-    blocks = max(1, -(-queries.select("query").distinct().count() // QUERY_BLOCK))
 
     def grow(table: pa.Table) -> pa.Table:
-        edges, entries = build(lifted(_matrix(table["v"])))
-        entry = np.zeros(table.num_rows, bool)
-        entry[entries] = True
-        links = pa.ListArray.from_arrays(pa.array(np.arange(len(edges) + 1, dtype=np.int32) * edges.shape[1]), pa.array(edges.astype(np.int32).reshape(-1)))
-        at = pa.array(np.arange(table.num_rows, dtype=np.int32))
-        return pa.table({"shard": table["shard"], "place": at, "rep": table["rep"], "v": table["v"], "edges": links, "entry": entry})
+        v = _matrix(table["v"])
+        edges, entries = build(lifted(v))
+        one = {"shard": table["shard"][0], "reps": table["rep"].to_numpy(), "v": v.reshape(-1), "edges": edges.astype(np.int32).reshape(-1), "entries": np.asarray(entries, np.int32)}
+        return pa.table({n: pa.array([x], t) for (n, x), t in zip(one.items(), graph.types, strict=True)})
 
+    graph = to_arrow_schema(T.StructType.fromDDL(GRAPH))
     own_range = place[octave]
     dealt = classes.select((own_range[0] + F.pmod(F.xxhash64("rep"), own_range[1])).cast("int").alias("shard"), "rep", "v")
-    index = materialize(dealt.groupBy("shard").applyInArrow(grow, "shard int, place int, rep long, v array<double>, edges array<int>, entry boolean"), "graphs")
-
-    def ask(nodes: pa.Table, wanted: pa.Table) -> pa.Table:
-        out = {"query": [], "rep": [], "score": []}
-        if nodes.num_rows and wanted.num_rows:
-            nodes = nodes.sort_by("place")
-            v, edges = _matrix(nodes["v"]), _matrix(nodes["edges"]).astype(np.int64)
-            reps, entries = nodes["rep"].to_numpy(), np.flatnonzero(nodes["entry"].to_numpy())
-            x, q = lifted(v), _matrix(wanted["v"])
-            names = wanted["query"].to_numpy()
-            for a in range(0, len(q), BATCH):
-                part = q[a : a + BATCH]
-                ids, _ = search(x, edges, entries, unit(part), min(beam, max(len(x), ENTRIES)))
-                r, c = np.nonzero(ids >= 0)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    score = np.einsum("ij,ij->i", v[ids[r, c]], part[r])
-                score = np.where(np.isnan(score), -np.inf, score)  # sums of both infinities
-                order = np.lexsort((reps[ids[r, c]], -score, r))
-                rank = np.arange(len(r)) - np.searchsorted(r[order], r[order])
-                order = order[rank <= k]
-                out["query"].append(names[a + r[order]])
-                out["rep"].append(reps[ids[r[order], c[order]]])
-                out["score"].append(score[order])
-        kinds = {"query": np.int64, "rep": np.int64, "score": np.float64}
-        return pa.table({n: np.concatenate([np.zeros(0, kinds[n]), *p]).astype(kinds[n]) for n, p in out.items()})
-
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    asked_blocks = query_vectors.select(F.pmod(F.xxhash64("query", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "query", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = index.select("*", block).groupBy("shard", "block").cogroup(asked_blocks.groupBy("shard", "block")).applyInArrow(ask, FOUND)
+    index = materialize(dealt.groupBy("shard").applyInArrow(grow, GRAPH), "graphs")
+    packed = lambda t: {"names": t["query"].to_numpy(), "q": _matrix(t["v"]).reshape(-1)}
+    rows = query_vectors.select("query", "v", F.size("v").alias("dim"))
+    asked_blocks = materialize(pack(rows, ["dim", "query"], ["dim"], QUERY_BLOCK, packed, T.StructType.fromDDL(ASKED), queries.select("query").distinct().count(), spark.sparkContext.defaultParallelism), "query_blocks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                reps, names = values(b, "reps", i), values(b, "names", i)
+                v, q = values(b, "v", i).reshape(len(reps), -1), values(b, "q", i).reshape(len(names), -1)
+                edges, entries = values(b, "edges", i).reshape(len(reps), -1).astype(np.int64), values(b, "entries", i).astype(np.int64)
+                x = lifted(v)
+                for a in range(0, len(q), BATCH):
+                    part = q[a : a + BATCH]
+                    ids, _ = search(x, edges, entries, unit(part), min(beam, max(len(x), ENTRIES)))
+                    r, c = np.nonzero(ids >= 0)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        score = np.einsum("ij,ij->i", v[ids[r, c]], part[r])
+                    score = np.where(np.isnan(score), -np.inf, score)  # sums of both infinities
+                    order = np.lexsort((reps[ids[r, c]], -score, r))
+                    rank = np.arange(len(r)) - np.searchsorted(r[order], r[order])
+                    order = order[rank <= k]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a + r[order]]), pa.array(reps[ids[r[order], c[order]]]), pa.array(score[order])], names=["query", "rep", "score"])
+
+    # each block of queries goes to every shard, as the method says; a shard moves once, however many blocks there are
+    everywhere = asked_blocks.select("names", "q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    found = everywhere.repartition(min(shards, 20_000), "shard").join(index, "shard").mapInArrow(ask, FOUND)
     best = lambda *order: F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), *order))
     found = found.withColumn("n", best("rep")).where(F.col("n") <= k + 1).drop("n")
     listed = found.join(classes.select("rep", "members"), "rep").select("query", "score", F.explode("members").alias("vec_id"))
