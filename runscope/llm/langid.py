@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from runscope.llm.batches import fresh, map_batches, struct
 
-#: N-grams of a profile; longest n-gram; documents of a language that a profile is learned from, at most about so many.
-PROFILE, LONGEST, LEARN_PER_LANG = 300, 3, 1000
+#: N-grams of a profile; longest n-gram.
+PROFILE, LONGEST = 300, 3
 #: Languages that are learned at most, the most frequent ones.
 LANGUAGES = 500
 UNDETERMINED = "und"
@@ -82,27 +82,21 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
-def _sample(labelled: DataFrame, per_lang: int) -> DataFrame | None:
-    """(lang, text) of about ``per_lang`` rows of each of the LANGUAGES most frequent languages, by hashed doc_id; None without a language."""
-    known = labelled.where("lang is not null and text is not null")
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    shares = {r["lang"]: min(1.0, per_lang / r["count"]) for r in most.collect()}
-    if not shares:
-        return None
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang"))
-    return known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("profile")), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+def _labelled(docs: DataFrame) -> DataFrame | None:
+    """(lang, text) of every row of the LANGUAGES most frequent languages; None without a language."""
+    known = docs.where("lang is not null and text is not null")
+    most = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    return known.where(F.col("lang").isin(most)).select("lang", "text") if most else None
 
 
-def learn(labelled: DataFrame, size: int = PROFILE, per_lang: int = LEARN_PER_LANG) -> dict[str, list[int]]:
+def learn(labelled: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles of the languages in ``labelled`` (doc_id, text, lang); rows without text or lang teach nothing.
 
-    Fitted on a bounded sample: of each language the rows whose hashed doc_id is
-    below a share that gives about ``per_lang`` of them.  Counts are added up in
-    the tasks and again after a shuffle by n-gram; ``size`` rows a language reach
-    the driver.
+    Counted over every row of a language.  Counts are added up in the tasks and again
+    after a shuffle by n-gram; ``size`` rows a language reach the driver.
     """
-    sample = _sample(labelled, per_lang)
-    if sample is None:
+    rows = _labelled(labelled)
+    if rows is None:
         return {}
 
     def make():
@@ -121,7 +115,7 @@ def learn(labelled: DataFrame, size: int = PROFILE, per_lang: int = LEARN_PER_LA
 
         return run
 
-    counts = map_batches(sample, make, struct(("lang", T.StringType()), ("code", T.LongType()), ("n", T.LongType()))).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = map_batches(rows, make, struct(("lang", T.StringType()), ("code", T.LongType()), ("n", T.LongType()))).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= size)
     profiles: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "rank").collect():
@@ -165,17 +159,17 @@ def length_class(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double"))).cast("int")
 
 
-def least_scores(docs: DataFrame, profiles: dict[str, list[int]], per_lang: int = LEARN_PER_LANG) -> dict[int, float]:
+def least_scores(docs: DataFrame, profiles: dict[str, list[int]]) -> dict[int, float]:
     """The least score of a text of its language, for each length class; none where few labelled texts are of that length.
 
-    It is just under the lowest score of a labelled text that gets its own language,
+    Taken over every labelled row that is not held out.  It is just under the lowest score of a labelled text that gets its own language,
     and no more than half of their median: where few labelled texts are alike, another
     one of the language may be quite a bit below them all.
     """
-    sample = _sample(docs.where(remainder(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"), per_lang)
-    if sample is None:
+    rows = _labelled(docs.where(remainder(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
+    if rows is None:
         return {}
-    right = identify(sample, profiles, ranked_as="n").where("lang = lang_pred")
+    right = identify(rows, profiles, ranked_as="n").where("lang = lang_pred")
     found = right.groupBy(length_class(F.col("n")).alias("k")).agg(F.min("score").alias("least"), F.percentile_approx("score", 0.5).alias("middle"), F.count("*").alias("rows")).collect()  # nine rows at most
     return {r["k"]: min(r["least"] * LOWEST_SHARE, r["middle"] * MEDIAN_SHARE) for r in found if r["rows"] >= BOUND_ROWS}
 

@@ -133,3 +133,13 @@ def test_samples_are_bounded_in_rows_and_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANGUAGES", 3)
     many = spark.range(400).selectExpr("id as doc_id", "'some words' as text", "concat('l', floor(sqrt(id))) as lang")
     assert sorted(langid.learn(many)) == ["l17", "l18", "l19"]
+
+
+def test_every_labelled_row_counts_for_profiles_and_bounds(spark):
+    """One text of 3,000 is quite another than the rest: its n-grams are in the profile, its score is the bound of its length."""
+    plain, other, odd = "the other thing is in the house and the river runs to the town", "zyxwv vqkjz xqzvk jkqxz zvvkq qxjwk kzwvx wvqzj jzqkx", 46
+    assert zlib.crc32(str(odd).encode()) % 3 != 1 and len({len(langid.grams(t)[0]).bit_length() for t in (plain, other)}) == 1
+    docs = spark.createDataFrame([(k, plain if k != odd else other, "en") for k in range(3000)], "doc_id long, text string, lang string")
+    assert ord("q") in langid.trained_on(docs)["en"]
+    rest = langid.trained_on(docs.where(f"doc_id <> {odd}"))
+    assert list(langid.least_scores(docs, rest).values()) == [langid.Profiles(rest).predict(other)[1] * langid.LOWEST_SHARE]
