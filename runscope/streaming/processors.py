@@ -41,23 +41,41 @@ def _ordered(rows: Iterator) -> list:
     return sorted(rows, key=lambda r: (r["event_ts"], r["source_path"] or "", r["source_offset"] or 0))
 
 
+#: The columns that a processor reads besides the session; no others go to the workers, where each value of a row costs.
+READS = ("event_ts", "source_path", "source_offset", "kind", "phase", "exit_code")
+
+
 class _Processor(StatefulProcessor):
+    """One value of a session and its one timer, whose time is kept in the value: a call to the store costs as much as many rows."""
+
     SCHEMA = ""
+    READS = READS
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.SCHEMA)
+        self.state = handle.getValueState("state", f"{self.SCHEMA}, timer_ms long")
 
     def _get(self, *default):
-        return list(self.state.get()) if self.state.exists() else list(default)
+        *own, self.timer = self.state.get() if self.state.exists() else (*default, None)
+        return own
 
     def _timer(self, ms: int | None) -> None:
-        """The one timer of a session; none for None."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if ms is not None:
+        if self.timer is not None and ms != self.timer:
+            self.handle.deleteTimer(self.timer)
+        if ms is not None and ms != self.timer:
             self.handle.registerTimer(ms)
 
+    def _keep(self, own: tuple, ms: int) -> None:
+        """The session's value and its timer."""
+        self._timer(ms)
+        self.state.update((*own, ms))
+
+    def _forget(self) -> None:
+        """No value and no timer."""
+        if self.timer is not None:
+            self._timer(None)
+        self.state.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         return iter(())
 
@@ -96,19 +114,17 @@ class Lifecycle(_Processor):
                 state = new
                 out.append(Row(session_id=key[0], state=state, at=r["event_ts"]))
             last = _ms(r["event_ts"])
-        self.state.update((state, code, exit_ms))
         pending = exit_ms is not None and not code and state not in ("terminal_completed", "terminal_failed")
-        self._timer(exit_ms + self.grace if pending else last + FORGET_MS)
+        self._keep((state, code, exit_ms), exit_ms + self.grace if pending else last + FORGET_MS)
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         state, code, exit_ms = self._get("unknown", None, None)
         if exit_ms is not None and not code and state not in ("terminal_completed", "terminal_failed"):
-            self.state.update(("terminal_completed", code, exit_ms))
-            self._timer(exit_ms + FORGET_MS)
+            self._keep(("terminal_completed", code, exit_ms), exit_ms + FORGET_MS)
             yield Row(session_id=key[0], state="terminal_completed", at=_at(exit_ms + self.grace))
         else:
-            self.state.clear()
+            self._forget()
 
 
 class Stagnation(_Processor):
@@ -151,11 +167,9 @@ class Stagnation(_Processor):
             elif r["kind"] == "command_result":
                 open_ = None
         if ended:
-            self.state.clear()
-            self._timer(None)
+            self._forget()
         else:
-            self.state.update((marker, open_, reported, last))
-            self._timer(last + FORGET_MS if reported == marker else self._deadline(marker, open_))
+            self._keep((marker, open_, reported, last), last + FORGET_MS if reported == marker else self._deadline(marker, open_))
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -163,19 +177,20 @@ class Stagnation(_Processor):
         if marker is None:
             return
         if reported != marker:
-            self.state.update((marker, open_, marker, last))
-            self._timer(max(last, self._deadline(marker, open_)) + FORGET_MS)
+            self._keep((marker, open_, marker, last), max(last, self._deadline(marker, open_)) + FORGET_MS)
             yield Row(session_id=key[0], last_progress=_at(marker), at=_at(self._deadline(marker, open_)))
         else:
-            self.state.clear()
+            self._forget()
 
 
 class Repetition(StatefulProcessor):
     """A row when a command is run, or an error seen, for the n-th time in a row.
 
-    Counts go when the session has ended or had no event for FORGET_MS.
+    Counts go when the session has ended or had no event for FORGET_MS.  A count is read
+    and written once for the rows of a batch, and not read at all for a new session.
     """
 
+    READS = (*READS, "command_norm", "error_fp")
     OUTPUT = "session_id string, kind string, subject string, n long, at timestamp"
 
     def __init__(self, n: int = 3):
@@ -183,12 +198,13 @@ class Repetition(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.epoch = handle.getValueState("epoch", "epoch long")
+        self.epoch = handle.getValueState("epoch", "epoch long, timer_ms long")
         self.counts = handle.getMapState("counts", "subject string", "n long, outcome int, epoch long")
 
     def handleInputRows(self, key, rows, timerValues):
-        epoch = self.epoch.get()[0] if self.epoch.exists() else 0
-        ended, last = False, 0
+        known = self.epoch.exists()
+        epoch, timer = self.epoch.get() if known else (0, None)
+        ended, last, counts = False, 0, {}
         for r in _ordered(rows):
             kind, last = r["kind"], _ms(r["event_ts"])
             ended = ended if _ends(r) is None else _ends(r)
@@ -201,18 +217,25 @@ class Repetition(StatefulProcessor):
             else:
                 continue
             name = (f"{kind}/{subject}",)
-            n, was, when = self.counts.getValue(name) if self.counts.containsKey(name) else (0, outcome, own)
+            if name not in counts:
+                counts[name] = self.counts.getValue(name) if known and self.counts.containsKey(name) else (0, outcome, own)
+            n, was, when = counts[name]
             n = n + 1 if (was, when) == (outcome, own) else 1
-            self.counts.updateValue(name, (n, outcome, own))
+            counts[name] = (n, outcome, own)
             if n == self.n:
                 yield Row(session_id=key[0], kind=kind, subject=subject, n=n, at=r["event_ts"])
-        self.epoch.update((epoch,))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
+        due = None if ended else last + FORGET_MS
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
         if ended:
-            self._forget()
-        else:
-            self.handle.registerTimer(last + FORGET_MS)
+            if known:
+                self._forget()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.epoch.update((epoch, due))
+        for name, count in counts.items():
+            self.counts.updateValue(name, count)
 
     def _forget(self) -> None:
         self.epoch.clear()
@@ -257,11 +280,9 @@ class Cadence(_Processor):
                 found = ("cadence", ms)
         assessed = found[1] if found else last
         if ended:
-            self.state.clear()
-            self._timer(None)
+            self._forget()
         else:
-            self.state.update((assessed, newest))
-            self._timer(assessed + self.seconds)
+            self._keep((assessed, newest), assessed + self.seconds)
         if found:
             yield Row(session_id=key[0], reason=found[0], at=_at(found[1]))
 
@@ -271,18 +292,18 @@ class Cadence(_Processor):
             return
         ms = expiredTimerInfo.getExpiryTimeInMs()
         if ms > newest + self.quiet * self.seconds:  # beyond the last cadence only the end of the state has a timer
-            self.state.clear()
+            self._forget()
             return
         more = ms + self.seconds <= newest + self.quiet * self.seconds
-        self.state.update((ms, newest))
-        self._timer(ms + self.seconds if more else newest + max(FORGET_MS, (self.quiet + 1) * self.seconds))
+        self._keep((ms, newest), ms + self.seconds if more else newest + max(FORGET_MS, (self.quiet + 1) * self.seconds))
         yield Row(session_id=key[0], reason="cadence", at=_at(ms))
 
 
 def apply(ev: DataFrame, processor, watermark: str = "1 hour") -> DataFrame:
     """The processor over a stream of events, by session."""
     ev.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    late = ev.withWatermark("event_ts", watermark)
+    reads = [c for c in ev.columns if c in ("session_id", *processor.READS)]
+    late = ev.select(*reads).withWatermark("event_ts", watermark)
     return late.groupBy("session_id").transformWithState(statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="append", timeMode="eventTime")
 
 

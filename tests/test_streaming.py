@@ -360,3 +360,29 @@ def test_late_rows_reach_the_store_once(few, tmp_path):
     assert late.isStreaming
     got = spark.read.parquet(f"{store}/events").collect()
     assert sorted((r["event_ts"] - T0).total_seconds() / 60 for r in got) == [0, 1, 5000, 5001] and len({r["day"] for r in got}) == 2
+
+
+def test_processors_read_few_columns_and_call_the_store_little(few, tmp_path):
+    few.createDataFrame([event(0, "message")], EVENT).write.parquet(str(tmp_path / "in"))
+    source = few.readStream.schema(few.createDataFrame([], EVENT).schema).parquet(str(tmp_path / "in"))
+    for made in (P.Lifecycle(), P.Stagnation(), P.Repetition(), P.Cadence()):
+        plan = P.apply(source, made)._jdf.queryExecution().analyzed().toString()
+        child = next(x for x in plan.splitlines() if "Project" in x and "session_id" in x)
+        assert "kind" in child and "payload_sha256" not in child and "summary" not in child
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or {"exists": False, "get": None, "containsKey": False, "getValue": None}.get(name)
+
+        def getValueState(self, *a):
+            return self
+
+        getMapState = getValueState
+
+    for made, most in ((P.Repetition(3), 4), (P.Lifecycle(), 3), (P.Stagnation(), 3), (P.Cadence(), 3)):
+        made.init(Store())
+        calls.clear()
+        rows = [dict(zip(few.createDataFrame([], EVENT).columns, event(m, "command_result", command_norm="make", exit_code=1), strict=True)) for m in range(50)]
+        list(made.handleInputRows(("a",), iter(rows), None))
+        assert len(calls) <= most, (made, calls)
