@@ -173,7 +173,8 @@ def merged_store(spark, d):
 @query(f"WITH {ALL} SELECT strftime(observed_at, '%Y-%m-%d') AS day, kind, count(*) AS n FROM signals GROUP BY ALL")
 def written_signals(spark, d):
     """A table written twice by one writer holds its rows once."""
-    sig, path = signals(stored_events(spark, d)).withColumn("day", F.to_date("observed_at")), scratch_path(spark, "signal_table")
+    sig = materialize(signals(stored_events(spark, d)), "signals").withColumn("day", F.to_date("observed_at"))
+    path = scratch_path(spark, "signal_table")
     for _ in range(2):
         sinks.write_table(sig, path, "first")
     return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "kind").agg(F.count("*").alias("n"))

@@ -21,7 +21,11 @@ def read_store(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_batch(df: DataFrame, batch_id: int | str, path: str, by: tuple[str, ...] = ()) -> None:
-    """A batch as partitions of its own: writing it again replaces them, so a retried batch leaves no second copy."""
+    """A batch as partitions of its own: writing it again replaces them, so a retried batch leaves no second copy.
+
+    Rows are dealt by ``by`` first, so that the files of a partition follow from its size and not from the number of tasks.
+    """
+    df = df.hint("rebalance", *by) if by else df
     df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(path)
 
 

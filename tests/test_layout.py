@@ -82,3 +82,12 @@ def test_scratch_leaves_the_tables_of_other_threads(spark):
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
         kept.count()  # it passed to the outer scope, which did not keep it
     assert "/runscope-" in scratch_path(spark, "x")
+
+
+def test_files_of_a_written_table_follow_from_its_days(spark, tmp_path):
+    from runscope.sources import sinks
+
+    rows = spark.range(0, 4000, 1, 16).selectExpr("id", "date_add(date'2024-01-01', cast(id % 5 as int)) as day")
+    for _ in range(2):
+        sinks.write_table(rows, str(tmp_path / "t"), "first")
+    assert len(list((tmp_path / "t").glob("day=*/batch_id=first/*.parquet"))) == 5 and spark.read.parquet(str(tmp_path / "t")).count() == 4000
