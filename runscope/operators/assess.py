@@ -75,9 +75,9 @@ def window_signals(signals: DataFrame, state: DataFrame, n: int) -> DataFrame:
     """
     own = signals.join(state.select("session_id", "opened_at"), "session_id").where(F.col("observed_at") >= F.col("opened_at"))
     first = Window.partitionBy("session_id").orderBy(F.desc(severity_rank(F.col("severity"))), F.desc("observed_at"), "id")
-    few = own.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= n)
-    listed = few.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*SIGNAL_FIELDS))).alias("signals"), F.count("*").alias("kept"))
-    return listed.join(own.groupBy("session_id").agg(F.count("*").alias("all")), "session_id").select("session_id", "signals", (F.col("all") - F.col("kept")).alias("left"))
+    ranked = own.withColumn("__n", F.row_number().over(first))  # one reading of the signals gives the few and the count of all
+    listed = F.sort_array(F.collect_list(F.when(F.col("__n") <= n, F.struct(*SIGNAL_FIELDS))))
+    return ranked.groupBy("session_id").agg(listed.alias("signals"), F.greatest(F.count("*") - n, F.lit(0)).alias("left"))
 
 
 SIGNAL_FIELDS = ("id", "kind", "severity", "source", "event_ids", "observed_at", "freshness", "summary", "payload")
