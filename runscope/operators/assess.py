@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import multiprocessing
 import signal
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ProcessPoolExecutor
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -252,35 +254,57 @@ def in_form(a: dict) -> bool:
     return number and a["status"] in STATUSES and a["goal_alignment"] in ALIGNMENTS and isinstance(a["needs_attention"], bool)
 
 
-def attempts(packets: DataFrame, assessor: Assessor, name: str, seconds: float, tries: int = 2, partitions: int | None = None) -> DataFrame:
+#: Calls of an assessor that a task has under way at once: they mostly wait, for an answer or for the deadline.
+CALLS = 16
+#: Packets that a task hands to its processes before it gives their rows on.
+ROWS_AT_ONCE = 2000
+#: What the processes of a task call, one row at a time; they have it from the task that they were forked from.
+_tried: Callable[[dict], list[dict]] | None = None
+
+
+def _own(tried: Callable[[dict], list[dict]]) -> None:
+    global _tried
+    _tried = tried
+
+
+def _try(row: dict) -> list[dict]:
+    return _tried(row)
+
+
+def attempts(packets: DataFrame, assessor: Assessor, name: str, seconds: float, tries: int = 2, partitions: int | None = None, calls: int = CALLS) -> DataFrame:
     """ATTEMPT rows of a plug-in over packets: a late or failing call is a row, never a failed job.
 
     A packet is tried at most ``tries`` times, until an answer is in form; the strong
-    assessor is not asked again after a timeout.  So a task takes at most ``tries`` times
-    ``seconds`` for each of its packets.  ``select_attempt`` chooses among the rows.
+    assessor is not asked again after a timeout.  A task has up to ``calls`` packets under
+    way, each in a process of its own, whose main thread has the deadline; so it takes at
+    most ``tries`` times ``seconds`` for each ``calls`` of its packets.  ``select_attempt``
+    chooses among the rows.
     """
     arrow = to_arrow_schema(T.StructType.fromDDL(ATTEMPT))
     names = T.StructType.fromDDL(ASSESSMENT).names
 
-    def tried(row: dict) -> Iterator[dict]:
+    def tried(row: dict) -> list[dict]:
+        rows = []
         for n in range(1, tries + 1):
             began = time.monotonic()
             status, said = call_within(lambda: _answer(row, assessor(json.loads(row["json"])), names), seconds)
             out = {"packet_id": row["packet_id"], "session_id": row["session_id"], "assessor": name, "attempt": n, "call_status": status, "latency_ms": int((time.monotonic() - began) * 1000), "valid": False, "error": said if status == "error" else None, "answer": None}
             if status == "ok":
                 try:
-                    out |= {"valid": in_form(said), "answer": said}
-                    pa.array([said], arrow.field("answer").type)
+                    out |= {"valid": in_form(said), "answer": pa.array([said], arrow.field("answer").type).to_pylist()[0]}
                 except (pa.ArrowInvalid, pa.ArrowTypeError, TypeError) as e:  # values of other kinds
                     out |= {"valid": False, "answer": None, "error": f"{type(e).__name__}: {e}"}
-            yield out
+            rows.append(out)
             if out["valid"] or (status == "timeout" and name == "strong"):
-                return
+                break
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                yield pa.RecordBatch.from_pylist(list(tried(row)), schema=arrow)
+        with ProcessPoolExecutor(calls, multiprocessing.get_context("fork"), _own, (tried,)) as pool:
+            for b in batches:
+                for k in range(0, b.num_rows, ROWS_AT_ONCE):
+                    found = pool.map(_try, b.slice(k, ROWS_AT_ONCE).to_pylist())
+                    yield pa.RecordBatch.from_pylist([a for rows in found for a in rows], schema=arrow)
 
     return _sent(packets, partitions).mapInArrow(run, ATTEMPT)
 
