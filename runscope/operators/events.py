@@ -115,7 +115,9 @@ def all_events(*sources: DataFrame) -> DataFrame:
 
 
 def dedupe(ev: DataFrame) -> DataFrame:
-    return ev.dropDuplicates(["event_id"])
+    """One row for each id.  A row number leaves wide rows as they are, where an aggregate would take each column apart."""
+    nth = Window.partitionBy("event_id").orderBy("event_id")
+    return ev.withColumn("__nth", F.row_number().over(nth)).where("__nth = 1").drop("__nth")
 
 
 def new_events(incoming: DataFrame, stored: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runscope.operators import events as E
 from runscope.session import exists
@@ -32,14 +33,20 @@ def _folder(store: str, table: str, day) -> str:
     return f"{store}/{table}/day={'__HIVE_DEFAULT_PARTITION__' if day is None else day}"
 
 
+def _none(spark: SparkSession, schema) -> DataFrame:
+    """A table without rows, which the planner knows to have none: what is joined with it starts no tasks."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def read_days(spark: SparkSession, store: str, table: str, schema, days: list) -> DataFrame:
     """A table's partitions of these days; the folders of no others are listed."""
     found = [p for d in days if exists(spark, p := _folder(store, table, d))]
-    return spark.read.schema(schema).option("basePath", f"{store}/{table}").parquet(*found) if found else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{store}/{table}").parquet(*found) if found else _none(spark, schema)
 
 
 def read_all(spark: SparkSession, store: str, table: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{store}/{table}") if exists(spark, f"{store}/{table}") else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{store}/{table}") if exists(spark, f"{store}/{table}") else _none(spark, schema)
 
 
 def _join(a: DataFrame, b: DataFrame, *more: str, how: str = "inner", few: bool = False) -> DataFrame:
@@ -109,17 +116,17 @@ def add(ev: DataFrame, batch_id: int, store: str) -> None:
     days of the batch are looked at.
     """
     spark = ev.sparkSession
-    ev = ev.persist()
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in ev.schema)}, batch_id long"
-    days = [r["day"] for r in ev.select("day").distinct().collect()]  # the days of one micro-batch
+    ids = ev.select("day", "event_id").persist()  # whole events are many times as wide: they are made once, for the write
+    days = [r["day"] for r in ids.select("day").distinct().collect()]  # the days of one micro-batch
     merged = read_days(spark, store, "merged", MERGED, days)
     others = counted(read_days(spark, store, "filters", FILTERS, days), merged).where(F.col("batch_id") != batch_id)
-    parts = [(r["day"], r["batch_id"]) for r in hit(ev.select("day", "event_id"), others).collect()]
+    parts = [(r["day"], r["batch_id"]) for r in hit(ids, others).collect()]
+    ids.unpersist()
     stored = read_days(spark, store, "ids", IDS, sorted({d for d, _ in parts}, key=str)).where(_named(parts))
     fresh = E.new_events(E.dedupe(ev), stored).withColumn("batch_id", F.lit(batch_id).cast("long"))
     write_partitions(fresh, f"{store}/events")
     _index(spark, store, days, F.col("batch_id") == batch_id, schema)
-    ev.unpersist()
 
 
 def _named(parts: list[tuple]) -> Column:

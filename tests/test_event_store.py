@@ -118,3 +118,24 @@ def test_the_stream_merges_as_it_goes(few, tmp_path, monkeypatch):
     for b in range(4):
         sinks.store_events(rows(spark, [str(b)], (datetime(2026, 1, 1) + timedelta(days=b)).date()), b, store)
     assert calls == [1, 3]
+
+
+def test_a_batch_is_told_apart_by_ids_and_its_whole_events_are_not_kept(few, tmp_path, monkeypatch):
+    spark, store = few, f"file://{tmp_path}/store"
+    kept, own = [], type(rows(spark, ["a"])).persist
+    monkeypatch.setattr(type(rows(spark, ["a"])), "persist", lambda df, *a: kept.append(set(df.columns)) or own(df, *a))
+    S.add(rows(spark, ["a", "b", "b"]), 0, store)
+    for _ in range(2):
+        S.add(rows(spark, ["b", "c", "c"]).unionByName(rows(spark, ["d"], None)), 1, store)
+    assert kept == [{"day", "event_id"}] * 3 and stored(spark, store) == ["a", "b", "c", "d"]
+    got = S.read_events(spark, store, f"{SCHEMA}, batch_id long")
+    assert {(r["event_id"], r["batch_id"], r["summary"]) for r in got.collect()} == {("a", 0, "x" * 20), ("b", 0, "x" * 20), ("c", 1, "x" * 20), ("d", 1, "x" * 20)}
+
+
+def test_duplicates_go_without_an_aggregate_of_all_columns(spark):
+    from runscope.operators import events as E
+
+    ev = rows(spark, ["a", "a", "b"]).unionByName(spark.createDataFrame([(None, D1, "n"), (None, D1, "n")], SCHEMA))
+    out = E.dedupe(ev)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(r["event_id"]) for r in out.collect()) == ["None", "a", "b"] and out.columns == ev.columns
