@@ -15,6 +15,7 @@ from runscope.functions import text as X
 from runscope.operators import segments as G
 from runscope.operators.segments import ORDER
 from runscope.schemas import EVENT, EVENT_KINDS, MAX_SUMMARY
+from runscope.session import materialize
 
 #: Record types of the raw log and their kinds; a mapping table of the caller may replace it.
 MAPPING = {
@@ -25,6 +26,10 @@ MAPPING = {
 }
 
 
+#: The columns of an event that the rules read.
+RULED = ("session_id", "event_id", *ORDER, "kind", "phase", "path", "exit_code", "call_id", "command_norm", "error_fp", "test_target", "tests_passed", "tests_failed", "summary")
+
+
 def session_window(*more: str) -> Window:
     return Window.partitionBy("session_id", *more).orderBy(*ORDER)
 
@@ -261,12 +266,13 @@ def stagnation_gaps(ev: DataFrame, markers: DataFrame, seconds: int = 1500, asof
     """(session_id, gap_start, gap_end, seconds): stretches of at least ``seconds`` without a marker.
 
     The stretch behind a session's last marker ends at ``asof`` (a literal time) or
-    its last event.  With ``segment_rows`` sessions of more markers are cut.
+    its last event.  With ``segment_rows`` sessions of more markers are cut; the points
+    are written first, as cutting reads them three times.
     """
     ends = ev.groupBy("session_id").agg(F.min("event_ts").alias("event_ts"), F.max("event_ts").alias("last_ts"))
     ends = ends.withColumn("last_ts", F.lit(asof).cast("timestamp")) if asof is not None else ends
     points = markers.select("session_id", "event_ts").unionByName(ends.select("session_id", "event_ts")).unionByName(ends.select("session_id", F.col("last_ts").alias("event_ts"))).distinct()
-    points = G.segmented(points, segment_rows) if segment_rows else points
+    points = G.segmented(materialize(points, "points"), segment_rows) if segment_rows else points
     gaps = G.previous(points, "__from", F.struct("event_ts"), order=("event_ts",)).where("__from is not null")
     gaps = gaps.select("session_id", F.col("__from.event_ts").alias("gap_start"), F.col("event_ts").alias("gap_end"))
     return gaps.withColumn("seconds", X.elapsed(F.col("gap_start"), F.col("gap_end"))).where(F.col("seconds") >= seconds)
@@ -277,14 +283,15 @@ def suppress_active(gaps: DataFrame, commands: DataFrame, max_seconds: int = 360
 
     A sweep: commands by their start and gaps by their end in one order; a gap is covered
     where the latest end of the commands that began before it lies behind its start.  The
-    work is linear in both, whatever overlaps.  With ``segment_rows`` sessions of more are cut.
+    work is linear in both, whatever overlaps.  With ``segment_rows`` sessions of more are cut,
+    and both are written first, as cutting reads them three times.
     """
     limit = F.col("started") + F.make_interval(secs=F.lit(max_seconds))
     none = F.lit(None).cast("timestamp")
     busy = commands.select("session_id", F.col("started").alias("at"), F.lit(1).alias("kind"), F.least(F.coalesce("ended", limit), limit).alias("until"), none.alias("gap_start"), F.lit(None).cast("long").alias("seconds"))
     ends = gaps.select("session_id", F.col("gap_end").alias("at"), F.lit(0).alias("kind"), none.alias("until"), "gap_start", F.col("seconds").cast("long").alias("seconds"))
     both = ends.unionByName(busy)
-    both = G.segmented(both, segment_rows, at="at") if segment_rows else both
+    both = G.segmented(materialize(both, "sweep"), segment_rows, at="at") if segment_rows else both
     swept = G.running(both, "latest", F.col("until"), of=F.max, order=("at", "kind")).where("kind = 0")
     free = swept.where(F.col("latest").isNull() | (F.col("latest") <= F.col("gap_start")))
     return free.select("session_id", "gap_start", F.col("at").alias("gap_end"), F.col("seconds").cast(gaps.schema["seconds"].dataType).alias("seconds"))

@@ -756,8 +756,8 @@ FEW = 20
 
 
 def cut_events(spark: SparkSession, d: str) -> DataFrame:
-    """The events with every session of more than FEW in segments, written once for the rules that follow."""
-    return materialize(GS.segmented(events(spark, d), FEW), "segments")
+    """The events, as far as rules read them, with every session of more than FEW in segments, written once for the rules that follow."""
+    return materialize(GS.segmented(events(spark, d).select(*E.RULED), FEW), "segments")
 
 
 @query(SQL["turns"])

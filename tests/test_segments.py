@@ -83,3 +83,22 @@ def test_one_session_runs_in_as_many_tasks_as_segments(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_what_is_cut_is_computed_once(ev, cut, monkeypatch):
+    """Cutting reads its rows three times: it must find files there, not the rules behind them."""
+    seen, own = [], G.segmented
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(G, "segmented", lambda rows, *a, **k: seen.append(plan(rows)) or own(rows, *a, **k))
+    commands = ev.where("kind = 'error'").select("session_id", F.col("event_ts").alias("started"), F.lit(None).cast("timestamp").alias("ended"))
+    gaps = E.stagnation_gaps(cut, E.progress_markers(cut), 30, segment_rows=20)
+    got = E.suppress_active(gaps, commands, 10, segment_rows=20)
+    assert len(seen) == 2 and not any(w in p for p in seen for w in ("Window", "Exchange", "Union"))
+    plain = E.suppress_active(E.stagnation_gaps(ev, E.progress_markers(ev), 30), commands, 10)
+    assert rows(got) == rows(plain) and got.count()
+
+
+def test_cut_events_hold_what_rules_read_and_no_more(spark):
+    from runscope.plans import queries as Q
+
+    assert set(Q.cut_events(spark, "/root/testdata/sf0.001").columns) == {*E.RULED, *G.columns(G.segmented(Q.events(spark, "/root/testdata/sf0.001"), 20))}
