@@ -309,24 +309,17 @@ def attempts(packets: DataFrame, assessor: Assessor, name: str, seconds: float,
     return _sent(packets, partitions).mapInArrow(run, ATTEMPT)
 
 
-def rule_assessment(sessions: DataFrame, signals: DataFrame, markers: DataFrame, ev: DataFrame) -> DataFrame:
-    """The assessment that rules alone give: session_id, status, alignment, attention, concerns, evidence.
+def rule_status(sessions: DataFrame, signals: DataFrame, markers: DataFrame, ev: DataFrame, *more: Column) -> DataFrame:
+    """What rules alone say of each session: session_id, status, goal_alignment, needs_attention, confidence, assessed_by.
 
     Precedence: ended, waiting, forbidden path, loops, stagnation, between turns,
-    progress, any activity.  ``sessions`` has session_id and state.
+    progress, any activity.  ``sessions`` has session_id and state.  Of the signals only
+    session_id, kind and severity are read, and what ``more``, aggregates of a session's
+    signals that come along, names.
     """
     has = lambda kind: F.coalesce(F.bool_or(F.col("kind").isin(*kind)), F.lit(False))
-    concern_kind = F.create_map(*[F.lit(x) for kv in {
-        "repeated_command": "loop", "recurring_error": "errors", "stagnation": "stagnation", "scope_expansion": "scope", "forbidden_path": "scope", "waiting": "waiting", "turn_failed": "errors",
-        "process_failed": "errors", "test_regression": "tests", "context_growth": "resource", "supplemental_finding": "loop", "dependency_unavailable": "infrastructure", "other": "other",
-    }.items() for x in kv])
-    concern = F.struct("severity", F.element_at(concern_kind, F.col("kind")).alias("kind"), F.col("summary").alias("explanation"), F.array("id").alias("evidence_refs"))
-    # the most severe few are chosen before they are gathered
-    top = Window.partitionBy("session_id").orderBy(F.desc(severity_rank(F.col("severity"))), "kind", "subject", "id")
-    ranked = signals.withColumn("__n", F.row_number().over(top))
-    found = ranked.groupBy("session_id").agg(
-        has(["forbidden_path"]).alias("forbidden"), has(["repeated_command", "recurring_error"]).alias("looping"), has(["stagnation"]).alias("stalled"), F.coalesce(F.bool_or(F.col("severity") == "critical"), F.lit(False)).alias("critical"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("__n") <= 8, F.struct("__n", concern.alias("c"))))), lambda x: x["c"]).alias("concerns"),
+    found = signals.groupBy("session_id").agg(
+        has(["forbidden_path"]).alias("forbidden"), has(["repeated_command", "recurring_error"]).alias("looping"), has(["stagnation"]).alias("stalled"), F.coalesce(F.bool_or(F.col("severity") == "critical"), F.lit(False)).alias("critical"), *more
     )
     active = ev.groupBy("session_id").agg(F.count("*").alias("n_events"))
     progressed = markers.groupBy("session_id").agg(F.count("*").alias("n_markers"))
@@ -336,10 +329,28 @@ def rule_assessment(sessions: DataFrame, signals: DataFrame, markers: DataFrame,
         F.when(F.col("state").isin("terminal_failed", "terminal_completed", "waiting"), F.col("state")).when(no("forbidden"), "off_scope").when(no("looping"), "looping").when(no("stalled"), "stalled")
         .when(F.col("state") == "between_turns", "between_turns").when(F.col("n_markers") > 0, "progressing").when(F.col("n_events") > 0, "investigating").otherwise("unknown")
     )
-    concerns = F.coalesce("concerns", F.array().cast(found.schema["concerns"].dataType))
+    own = {"session_id", "forbidden", "looping", "stalled", "critical"}
+    return out.select(
+        "session_id", status.alias("status"), F.when(no("forbidden"), "misaligned").otherwise("unknown").alias("goal_alignment"), no("critical").alias("needs_attention"),
+        F.lit(1.0).alias("confidence"), F.lit("rules").alias("assessed_by"), *[c for c in found.columns if c not in own],
+    )
+
+
+def rule_assessment(sessions: DataFrame, signals: DataFrame, markers: DataFrame, ev: DataFrame) -> DataFrame:
+    """The assessment that rules alone give: what ``rule_status`` says, with concerns and evidence."""
+    concern_kind = F.create_map(*[F.lit(x) for kv in {
+        "repeated_command": "loop", "recurring_error": "errors", "stagnation": "stagnation", "scope_expansion": "scope", "forbidden_path": "scope", "waiting": "waiting", "turn_failed": "errors",
+        "process_failed": "errors", "test_regression": "tests", "context_growth": "resource", "supplemental_finding": "loop", "dependency_unavailable": "infrastructure", "other": "other",
+    }.items() for x in kv])
+    concern = F.struct("severity", F.element_at(concern_kind, F.col("kind")).alias("kind"), F.col("summary").alias("explanation"), F.array("id").alias("evidence_refs"))
+    # the most severe few are chosen before they are gathered
+    top = Window.partitionBy("session_id").orderBy(F.desc(severity_rank(F.col("severity"))), "kind", "subject", "id")
+    ranked = signals.withColumn("__n", F.row_number().over(top))
+    most = F.transform(F.sort_array(F.collect_list(F.when(F.col("__n") <= 8, F.struct("__n", concern.alias("c"))))), lambda x: x["c"])
+    out = rule_status(sessions, ranked, markers, ev, most.alias("concerns"))
     return out.select(
-        "session_id", status.alias("status"), F.when(no("forbidden"), "misaligned").otherwise("unknown").alias("goal_alignment"), no("critical").alias("needs_attention"), concerns.alias("concerns"),
-        F.array(F.struct(F.lit("system").alias("ref_type"), F.lit("rules").alias("ref_id"), F.lit("assessed by rules").alias("claim"))).alias("evidence"), F.lit(1.0).alias("confidence"), F.lit("rules").alias("assessed_by"),
+        "session_id", "status", "goal_alignment", "needs_attention", F.coalesce("concerns", F.array().cast(out.schema["concerns"].dataType)).alias("concerns"),
+        F.array(F.struct(F.lit("system").alias("ref_type"), F.lit("rules").alias("ref_id"), F.lit("assessed by rules").alias("claim"))).alias("evidence"), "confidence", "assessed_by",
     )
 
 

@@ -116,11 +116,11 @@ def context_growth_signals(correlated: DataFrame, limit: int) -> DataFrame:
     return make_signal(correlated.where(F.col("context_tokens") >= limit), "context_growth", F.lit("context"), F.array().cast("array<string>"), F.col("observed_at"), F.concat(F.lit("context of "), F.col("context_tokens"), F.lit(" tokens")), F.struct("context_tokens"), source="supplemental")
 
 
-def all_signals(ev: DataFrame, goals: DataFrame, seconds: int = 1500, asof=None, n: int = 3, markers: DataFrame | None = None) -> DataFrame:
-    """Every local rule's signals; ``markers`` are the events' progress markers where they are at hand."""
+def all_signals(ev: DataFrame, goals: DataFrame, seconds: int = 1500, asof=None, n: int = 3, markers: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """Every local rule's signals; ``markers`` and ``states`` are the events' progress markers and lifecycle where they are at hand."""
     markers = E.progress_markers(ev) if markers is None else markers
     out = repeated_command_signals(ev, n)
-    for more in (recurring_error_signals(ev, n), test_regression_signals(ev), scope_signals(ev, goals), stagnation_signals(ev, markers, seconds, asof=asof), lifecycle_signals(ev, lifecycle(ev, asof))):
+    for more in (recurring_error_signals(ev, n), test_regression_signals(ev), scope_signals(ev, goals), stagnation_signals(ev, markers, seconds, asof=asof), lifecycle_signals(ev, lifecycle(ev, asof) if states is None else states)):
         out = out.unionByName(more)
     return out
 

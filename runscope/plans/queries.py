@@ -94,9 +94,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_events(read_table(spark, sf_dir, "events"))
 
 
-def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For queries of many rules: one scan and one shuffle serve all of them, until the event files change."""
-    return by_session(events(spark, sf_dir), store=state_of(read_table(spark, sf_dir, "events")))
+def stored_events(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """For queries of many rules: one scan and one shuffle serve all of them, until the event files change.
+
+    The columns are those that rules read; all of them if ``whole``, for packets.
+    """
+    ev = events(spark, sf_dir)
+    return by_session(ev if whole else ev.select(*E.RULED), store=state_of(read_table(spark, sf_dir, "events")))
 
 
 def bounds(ev: DataFrame) -> DataFrame:
@@ -105,14 +109,22 @@ def bounds(ev: DataFrame) -> DataFrame:
     return ev.select("session_id").distinct().withColumns({"goal_text": F.lit("demo"), "expected_paths": lit(EXPECTED), "forbidden_paths": lit(FORBIDDEN), "acceptance_criteria": F.array().cast("array<string>")})
 
 
-def signals(ev: DataFrame, markers: DataFrame | None = None) -> DataFrame:
-    return G.all_signals(ev, bounds(ev), DAY, markers=markers)
+def signals(ev: DataFrame) -> DataFrame:
+    return G.all_signals(ev, bounds(ev), DAY)
 
 
-def found(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signals, progress markers), each written once for a query that uses them more than once."""
-    markers = materialize(E.progress_markers(ev), "markers")
-    return materialize(signals(ev, markers), "signals"), markers
+def found(ev: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signals, times of progress markers, states of sessions), each written once for a query that uses them more than once.
+
+    The signals have these columns, and what makes up the others is not computed.
+    """
+    markers = materialize(E.progress_markers(ev).select("session_id", "event_ts"), "markers")
+    states = materialize(G.lifecycle(ev), "states")
+    return materialize(G.all_signals(ev, bounds(ev), DAY, markers=markers, states=states).select(*columns), "signals"), markers, states
+
+
+#: The columns of signals that the status of a session follows from, and those that its concerns are made of.
+JUDGED, EXPLAINED = ("session_id", "kind", "severity"), ("id", "subject", "summary")
 
 
 @query(f"WITH {EV} SELECT event_id, session_id, kind, source_type, path, CAST(exit_code AS BIGINT) AS exit_code, phase, command_norm, error_fp, test_target, CAST(tests_failed AS BIGINT) AS tests_failed, epoch_us(event_ts) AS at_us, strftime(event_ts, '%Y-%m-%d') AS day FROM ev")
@@ -325,8 +337,8 @@ def due_retries(spark, d):
 @query(f"WITH {ALL},{RULED} SELECT session_id, status, goal_alignment, needs_attention, CAST(n_concerns AS BIGINT) AS n_concerns FROM ruled")
 def rule_assessment(spark, d):
     ev = stored_events(spark, d)
-    sig, marks = found(ev)
-    a = A.rule_assessment(G.lifecycle(ev), sig, marks, ev)
+    sig, marks, states = found(ev, *JUDGED, *EXPLAINED)
+    a = A.rule_assessment(states, sig, marks, ev)
     return a.select("session_id", "status", "goal_alignment", "needs_attention", F.size("concerns").cast("long").alias("n_concerns"))
 
 
@@ -348,9 +360,9 @@ def escalations(spark, d):
 @query(f"WITH {ALL},{RULED},{DEMO},{ROUTINE}, strong AS (SELECT * FROM routine WHERE c % 5 = 0) SELECT r.session_id, coalesce(CASE WHEN s.session_id IS NOT NULL THEN 'investigating' END, a.status, r.status) AS status, CASE WHEN s.session_id IS NOT NULL THEN 'strong' WHEN a.session_id IS NOT NULL THEN 'routine' ELSE 'rules' END AS assessed_by, (r.needs_attention OR coalesce(CASE WHEN s.session_id IS NOT NULL THEN false END, a.needs_attention, r.needs_attention)) AS needs_attention FROM ruled r LEFT JOIN routine a USING (session_id) LEFT JOIN strong s USING (session_id)")
 def reconciled(spark, d):
     ev = stored_events(spark, d)
-    (sig, marks), states, first = found(ev), G.lifecycle(ev), routine(ev)
+    (sig, marks, states), first = found(ev, *JUDGED), routine(ev)
     strong = first.where("event_cursor % 5 = 0").withColumns({"status": F.lit("investigating"), "needs_attention": F.lit(False), "assessed_by": F.lit("strong")})
-    out = A.reconcile(A.rule_assessment(states, sig, marks, ev), first, strong, sig, states)
+    out = A.reconcile(A.rule_status(states, sig, marks, ev), first, strong, sig, states)
     return out.select("session_id", "status", "assessed_by", "needs_attention")
 
 
@@ -675,8 +687,8 @@ def retention(spark, d):
 def session_health(spark, d):
     """The flagship: one row for each session."""
     ev = stored_events(spark, d)
-    (sig, marks), states = found(ev), G.lifecycle(ev)
-    status = A.rule_assessment(states, sig, marks, ev).select("session_id", "status", "needs_attention")
+    sig, marks, states = found(ev, *JUDGED)
+    status = A.rule_status(states, sig, marks, ev).select("session_id", "status", "needs_attention")
     last = marks.groupBy("session_id").agg(us_max("event_ts").alias("last_progress_us"))
     out = states.join(status, "session_id").join(G.attention(sig).select("session_id", "n_signals", "max_severity"), "session_id", "left").join(last, "session_id", "left")
     return out.select("session_id", "state", "status", F.coalesce("n_signals", F.lit(0).cast("long")).alias("n_signals"), "max_severity", "needs_attention", "last_progress_us")
@@ -794,7 +806,7 @@ def segmented_stagnation(spark, d):
 @query()
 def packets(spark, d):
     """Whole observation packets as JSON; lists of structs are checked by tests."""
-    ev = stored_events(spark, d)
+    ev = stored_events(spark, d, whole=True)
     first = ev.groupBy("session_id").agg(F.min("event_ts").alias("started_at")).withColumns({"workspace": F.lit("/w"), "model": F.lit(None).cast("string")})
     states = G.lifecycle(ev).select("session_id", "state").join(first, "session_id")
     a = demo_assessments(ev)

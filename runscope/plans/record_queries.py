@@ -194,7 +194,7 @@ def unique_words(spark, d):
 
 
 def demo_packets(spark, d) -> DataFrame:
-    ev = stored_events(spark, d)
+    ev = stored_events(spark, d, whole=True)
     first = ev.groupBy("session_id").agg(F.min("event_ts").alias("started_at")).withColumns({"workspace": F.lit("/home/w/proj"), "model": F.lit(None).cast("string")})
     states = G.lifecycle(ev).select("session_id", "state").join(first, "session_id")
     previous = S.latest(demo_assessments(ev), order="event_cursor").select("session_id", F.struct("status", "assessed_at").alias("previous"))

@@ -91,3 +91,29 @@ def test_files_of_a_written_table_follow_from_its_days(spark, tmp_path):
     for _ in range(2):
         sinks.write_table(rows, str(tmp_path / "t"), "first")
     assert len(list((tmp_path / "t").glob("day=*/batch_id=first/*.parquet"))) == 5 and spark.read.parquet(str(tmp_path / "t")).count() == 4000
+
+
+@pytest.mark.parametrize("name", ["session_health", "reconciled"])
+def test_a_query_writes_of_signals_markers_and_states_what_it_reads(spark, monkeypatch, name):
+    from runscope.operators import events as E
+    from runscope.operators import rules as G
+    from runscope.plans import queries as Q
+
+    seen, own, scans, life = {}, Q.materialize, [], G.lifecycle
+    monkeypatch.setattr(Q, "materialize", lambda df, n: seen.update({n: df.columns}) or own(df, n))
+    monkeypatch.setattr(G, "lifecycle", lambda ev, *a: scans.append(set(ev.columns)) or life(ev, *a))
+    assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert seen["signals"] == ["session_id", "kind", "severity"] and seen["markers"] == ["session_id", "event_ts"]
+    assert scans == [set(E.RULED)]  # states are found once, for the signals too
+
+
+def test_status_of_rules_is_that_of_their_assessment(spark):
+    from runscope.operators import assess as A
+    from runscope.plans import queries as Q
+
+    ev = Q.stored_events(spark, "/root/testdata/sf0.001")
+    sig, marks, states = Q.found(ev, *Q.JUDGED, *Q.EXPLAINED)
+    status = A.rule_status(states, sig.select(*Q.JUDGED), marks, ev)
+    whole = A.rule_assessment(states, sig, marks, ev)
+    key = lambda df: sorted(map(tuple, df.select(status.columns).collect()))
+    assert key(status) == key(whole) and whole.where("size(concerns) > 0").count() and "__n" not in whole.columns
