@@ -188,7 +188,7 @@ def repeated_command(ev: DataFrame, n: int = 3) -> DataFrame:
 
     Other commands between do not break a run.  One row for each run.
     """
-    epoch = G.running(ev, "epoch", (F.col("kind") == "file_changed").cast("int"))
+    epoch = G.running(ev.where("kind in ('file_changed', 'command_result')"), "epoch", (F.col("kind") == "file_changed").cast("int"))
     own = G.previous(epoch.where("kind = 'command_result' and command_norm is not null"), "__before", F.struct("exit_code"), "command_norm", "epoch")
     same = F.col("__before").isNull() | F.col("__before.exit_code").eqNullSafe(F.col("exit_code"))
     own = G.running(own.withColumn("changed", F.when(same, 0).otherwise(1)), "island", F.col("changed"), "command_norm", "epoch")

@@ -117,3 +117,15 @@ def test_status_of_rules_is_that_of_their_assessment(spark):
     whole = A.rule_assessment(states, sig, marks, ev)
     key = lambda df: sorted(map(tuple, df.select(status.columns).collect()))
     assert key(status) == key(whole) and whole.where("size(concerns) > 0").count() and "__n" not in whole.columns
+
+
+def test_rows_of_a_bucket_are_in_order_of_kind(spark, tmp_path):
+    ev = spark.range(400).selectExpr("concat('s', id % 20) as session_id", "concat('k', id % 3) as kind", "id")
+    for _ in range(2):  # written, then taken as kept files
+        out = layout.by_session(ev, 2, store="kinds", keep=f"file://{tmp_path}/kept")
+        files = out.select("_metadata.file_path").distinct().collect()
+        assert len(files) == 2 and sorted(r["id"] for r in out.collect()) == list(range(400))
+        for f in files:
+            got = [(r["kind"], r["session_id"]) for r in spark.read.parquet(f[0]).collect()]
+            assert got == sorted(got)
+        spark.sql(f"DROP TABLE {[t.name for t in spark.catalog.listTables() if t.name.startswith(layout.PREFIX) and spark.table(t.name).columns == ev.columns][0]}")
